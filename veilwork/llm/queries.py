@@ -5,12 +5,34 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilwork.llm import consensus, encoding, packing, ranking, splits
+from veilwork.llm import consensus, encoding, packing, pii, ranking, splits
 from veilwork.llm.near_duplicates import NearDuplicates
 from veilwork.llm.shared_spans import SharedSpans
 from veilwork.runtime import clean_key, table
 
 
+def _sanitiser(spark: SparkSession, sf_dir: str) -> pii.Sanitiser:
+    texts = table(spark, sf_dir, "scan_documents").select("content").unionByName(table(spark, sf_dir, "messages").select("content"))
+    return pii.Sanitiser(pii.Disclosure(texts, "content", table(spark, sf_dir, "dictionary_terms")))
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s, out = _sanitiser(spark, sf_dir), None
+    for name in ("scan_documents", "messages"):
+        part = s.found(table(spark, sf_dir, name), "id", "content")
+        part = part.select(F.lit(name).alias("source_table"), F.col("id").alias("record_id"), "start_idx", "end_idx", "kind")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def p1_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s, out = _sanitiser(spark, sf_dir), None
+    for name in ("scan_documents", "messages"):
+        part = s.redacted(table(spark, sf_dir, name), "id", "content").select(F.lit(name).alias("source_table"), F.col("id").alias("record_id"), "redacted")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def p2_near(spark: SparkSession, sf_dir: str) -> NearDuplicates:
     return NearDuplicates(table(spark, sf_dir, "scan_documents"), "id", "content", threshold=0.7, words_per=3)
 
@@ -93,7 +115,7 @@ def p9_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries():
-    names = "p2_found p2_groups p3_found p3_consensus p3_reliability p3_agreement p4_found p4_ranking p5_found p5_splits p7_ids p8_packing p8_fill p9_found p9_coverage"
+    names = "p1_found p1_redacted p2_found p2_groups p3_found p3_consensus p3_reliability p3_agreement p4_found p4_ranking p5_found p5_splits p7_ids p8_packing p8_fill p9_found p9_coverage"
     return {n: globals()[n] for n in names.split()}
 
 
