@@ -2,12 +2,21 @@
 
 from __future__ import annotations
 
-from veilwork.plans import references
+from importlib import import_module
+
+FAMILIES = ["detection", "suppression", "references"]
+
+
+def _collect(what: str):
+    out = {}
+    for f in FAMILIES:
+        out |= getattr(import_module(f"veilwork.plans.{f}"), what)()
+    return out
 
 
 def queries():
-    return {**references.queries()}
+    return _collect("queries")
 
 
 def oracle_sql():
-    return {**references.oracle_sql()}
+    return _collect("oracle_sql")

@@ -73,3 +73,12 @@ def clean_key(col: Column) -> Column:
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the project's Parquet tables."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over at least as many partitions as there are cores, for work that is heavy per row.
+
+    A large input has more partitions than that and is left as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
