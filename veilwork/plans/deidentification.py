@@ -15,6 +15,12 @@ _LAYOUTS = ["MM/dd/yyyy", "MM-dd-yyyy", "MM/dd/yy", "yyyy-MM-dd", "yyyy/MM/dd",
 _PRINT = {"MM/dd/yyyy": "%m/%d/%Y", "MM-dd-yyyy": "%m-%d-%Y", "MM/dd/yy": "%m/%d/%y", "yyyy-MM-dd": "%Y-%m-%d", "yyyy/MM/dd": "%Y/%m/%d", "MMMM dd, yyyy": "%B %d, %Y", "dd MMM yyyy": "%d %b %Y"}
 
 
+def _print_sql(layout: str, moved: str) -> str:
+    show = f"strftime({moved}, '{_PRINT[layout]}')"
+    # "05 May 1998" is read, and so written, with the full name of the month
+    return f"CASE WHEN month(CAST(o_orderdate AS DATE)) = 5 THEN strftime({moved}, '%d %B %Y') ELSE {show} END" if layout == "dd MMM yyyy" else show
+
+
 def date_shift(spark, sf_dir):
     o = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderdate").cast("date").alias("d"), F.col("o_custkey").cast("string").alias("conv"))
     pick = F.lit(None).cast("string")
@@ -94,7 +100,7 @@ def oracle_sql():
 
     off = "CAST(CAST(concat('0x', substr(sha256(CAST(o_custkey AS VARCHAR)), 1, 8)) AS BIGINT) % 335 + 30 AS INT)"
     moved = "(CAST(o_orderdate AS DATE) + CAST(days AS INT))"
-    shifted = "CASE o_orderkey % 8 " + " ".join(f"WHEN {k} THEN strftime({moved}, '{_PRINT[f]}')" for k, f in enumerate(_LAYOUTS) if f in _PRINT) + " ELSE strftime(CAST(o_orderdate AS DATE), '%d.%m.%Y') END"
+    shifted = "CASE o_orderkey % 8 " + " ".join(f"WHEN {k} THEN {_print_sql(f, moved)}" for k, f in enumerate(_LAYOUTS) if f in _PRINT) + " ELSE strftime(CAST(o_orderdate AS DATE), '%d.%m.%Y') END"
     year = f"CASE WHEN o_orderkey % 8 = 7 THEN CAST(year(CAST(o_orderdate AS DATE)) + days // 365 AS VARCHAR) ELSE CAST(year({moved}) AS VARCHAR) END"
     z = "concat(lpad(CAST((c_custkey * 37) % 100000 AS VARCHAR), 5, '0'), CASE WHEN c_custkey % 3 = 0 THEN '-1234' ELSE '' END)"
     small = B.quoted(SMALL_ZIP_PREFIXES)
