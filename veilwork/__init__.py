@@ -1 +1,5 @@
 """A Spark-native engine that finds, scores, removes and audits sensitive data in text."""
+
+from veilwork.api import Client, Config, ConfigurationError, DetectionError, SessionExpired, VeilworkError, redact, restore, scan
+
+__all__ = ["Client", "Config", "ConfigurationError", "DetectionError", "SessionExpired", "VeilworkError", "redact", "restore", "scan"]

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-FAMILIES = ["detection", "suppression", "fusion", "deidentification", "storage", "evaluation", "references"]
+FAMILIES = ["detection", "suppression", "fusion", "deidentification", "storage", "evaluation", "curation", "ingestion", "streams", "references"]
 
 
 def _collect(what: str):
