@@ -66,7 +66,7 @@ def best_fit(sizes: np.ndarray, capacity: tuple[float, float, float], weights: t
 
 
 def _pack(capacity, weights, rule):
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["n", "id", "piece"], ascending=[False, True, True], kind="stable").reset_index(drop=True)
         n = pdf["n"].to_numpy()
         where, place, offset = np.zeros(len(n), int), np.zeros(len(n), int), np.zeros(len(n), int)
