@@ -96,7 +96,7 @@ def word_tags(texts: DataFrame, spans: DataFrame) -> DataFrame:
     joined = w.join(s, (w["id"] == s["doc"]) & (w["start"] < s["e"]) & (s["s"] < w["end"]), "left")
     best = joined.groupBy("id", "start", "text").agg(F.max(F.struct((F.least("e", "end") - F.greatest("s", "start")).alias("o"), F.col("s").alias("s"), F.col("entity_type").alias("t"), F.col("span_id").alias("i"))).alias("b"))
     first = F.row_number().over(Window.partitionBy("id", F.col("b.i")).orderBy("start")) == 1
-    tag = F.when(F.col("b.o").isNull(), "O").when(first, F.concat(F.lit("B-"), "b.t")).otherwise(F.concat(F.lit("I-"), "b.t"))
+    tag = F.when(F.col("b.i").isNull(), "O").when(first, F.concat(F.lit("B-"), "b.t")).otherwise(F.concat(F.lit("I-"), "b.t"))
     pos = F.row_number().over(Window.partitionBy("id").orderBy("start")) - 1
     return best.select(F.col("id").alias("doc"), pos.alias("pos"), F.col("text").alias("word"), tag.alias("tag"))
 
