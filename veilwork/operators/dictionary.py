@@ -5,11 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veilwork.catalog.rules import Rule
-from veilwork.functions.spans import extract
 from veilwork.functions.validators import npi_strict
 from veilwork.operators.suppress import term_reason
-from veilwork.runtime import stage
+from veilwork.runtime import spread, stage
 
 PRIORITY = ["HEALTH_PLAN", "DRUG", "DIAGNOSIS", "LAB_TEST", "FACILITY"]
 
@@ -20,51 +18,44 @@ def load_terms(rows: DataFrame, col: str, min_length: int = 4) -> DataFrame:
     return rows.select(t.alias("term")).where(~F.col("term").startswith("#") & term_reason(F.col("term"), min_length).isNull()).select(F.lower("term").alias("term")).distinct()
 
 
+_WORD = r"[\p{L}\p{N}]+"
+
+
+def _starts(low: Column, term: Column) -> Column:
+    """Places of ``term`` in ``low`` that stand between other than letters and digits; overlapping ones too."""
+    pieces = F.split(low, F.concat(F.lit(r"(?=\Q"), term, F.lit(r"\E)")), -1)
+    none = F.array().cast("array<int>")
+    ends = F.aggregate(pieces, F.struct(F.lit(0).alias("at"), none.alias("s")), lambda acc, p: F.struct((acc["at"] + F.length(p)).alias("at"), F.concat(acc["s"], F.array(acc["at"])).alias("s")), lambda acc: acc["s"])
+    n = F.length(term)
+    # substring counts a place before the first character as the first
+    left = lambda p: (p == 0) | ~F.substring(low, p, F.lit(1)).rlike(r"[\p{L}\p{N}]")
+    right = lambda p: ~F.substring(low, p + n + 1, F.lit(1)).rlike(r"[\p{L}\p{N}]")
+    return F.filter(ends, lambda p: (F.substring(low, p + 1, n) == term) & left(p) & right(p))
+
+
 def dictionary_hits(texts: DataFrame, terms: DataFrame, id_col: str = "doc", text_col: str = "doc_text", min_length: int = 4) -> DataFrame:
     """(id, term, category, start, end): every place at which a term stands between non-word characters.
 
-    Texts are cut into words with their places; runs of one to n words (n: the
-    words of the longest term) are joined to the terms by equality.  No text
-    meets a term that shares none of its runs.  Terms that begin or end with
-    other than a letter or digit are searched by a pattern each.
+    The distinct runs of one to n words of each text (n: the words of the
+    longest term) are joined to the terms by equality, which leaves the few
+    terms that a text can hold; only those are looked for in it.  Terms
+    without any letter or digit match nothing.
     """
     usable = terms.select(F.lower(F.trim("term")).alias("term"), "category").where(F.length("term") >= min_length).distinct()
-    plain = usable.where(F.col("term").rlike(r"^[\p{L}\p{N}].*[\p{L}\p{N}]$"))
-    sized = plain.withColumn("n", F.size(F.regexp_extract_all("term", F.lit(r"[\p{L}\p{N}]+"), F.lit(0))))
-    longest = sized.agg(F.max("n")).first()[0] or 0
-    words = extract(texts, id_col, text_col, [Rule("word", "WORD", 1.0, r"[\p{L}\p{N}]+", need=())])
-    per = words.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("w"))
-    src = texts.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).dropDuplicates(["id"])
-    base = stage(per.join(src, "id"))  # read once per run length
-    found = None
-    for n in range(1, longest + 1):
-        runs = base.where(F.size("w") >= n).select("id", "t", F.explode(_runs(n)).alias("x"))
-        runs = runs.select("id", "x.start", "x.end", F.lower(F.substring(F.col("t"), F.col("x.start") + 1, F.col("x.end") - F.col("x.start"))).alias("term"))
-        hit = runs.join(sized.where(F.col("n") == n).select("term", "category"), "term")
-        found = hit if found is None else found.unionByName(hit)
-    odd = usable.join(plain, ["term", "category"], "left_anti")
-    if found is None:
-        found = texts.sparkSession.createDataFrame([], f"term string, id {texts.schema[id_col].dataType.simpleString()}, start int, end int, category string")
-    rare = odd.limit(1001).collect()
-    if len(rare) > 1000:
-        raise ValueError("more than 1000 terms begin or end with other than a letter or digit")
-    for t in rare:
-        own = extract(texts, id_col, text_col, [Rule("term", "TERM", 1.0, rf"(?iu)(?<![\p{{L}}\p{{N}}]){_quoted(t['term'])}(?![\p{{L}}\p{{N}}])", need=())])
-        found = found.unionByName(own.select(F.lit(t["term"]).alias("term"), "id", "start", "end", F.lit(t["category"]).alias("category")))
-    return found.select("id", "term", "category", "start", "end")
-
-
-def _quoted(term: str) -> str:
-    return "\\Q" + term.replace("\\E", "") + "\\E"
-
-
-def _runs(n: int) -> Column:
-    """Runs of ``n`` neighbouring words of the array ``w``."""
-
-    def at(i: Column) -> Column:
-        return F.struct(F.get("w", i)["start"].alias("start"), F.get("w", i + (n - 1))["end"].alias("end"))
-
-    return F.transform(F.sequence(F.lit(0), F.size("w") - n), at)
+    words = F.regexp_extract_all(F.col("term"), F.lit(_WORD), F.lit(0))
+    sized = stage(usable.withColumns({"n": F.size(words), "key": F.array_join(words, " ")}).where("n > 0"))
+    sizes = sorted(r["n"] for r in sized.select("n").distinct().collect())  # a few numbers
+    src = texts.select(F.col(id_col).alias("id"), F.lower(F.col(text_col)).alias("low")).where("low IS NOT NULL").dropDuplicates(["id"])
+    cut = spread(src).select("id", F.regexp_extract_all("low", F.lit(_WORD), F.lit(0)).alias("w"))
+
+    def runs(n: int) -> Column:
+        listed = F.transform(F.sequence(F.lit(1), F.size("w") - n + 1), lambda i: F.array_join(F.slice("w", i, n), " "))
+        return F.when(F.size("w") >= n, listed).otherwise(F.array().cast("array<string>"))
+
+    keys = F.array_distinct(F.concat(*map(runs, sizes))) if sizes else F.array().cast("array<string>")
+    held = cut.select("id", F.explode(keys).alias("key")).join(sized.select("key", "term", "category"), "key").select("id", "term", "category")
+    found = src.join(held, "id").select("id", "term", "category", F.explode(_starts(F.col("low"), F.col("term"))).alias("start"))
+    return found.withColumn("end", F.col("start") + F.length("term"))
 
 
 def lookup(keys: DataFrame, terms: DataFrame, priority: list[str] | None = None) -> DataFrame:
