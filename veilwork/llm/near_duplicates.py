@@ -129,8 +129,11 @@ class NearDuplicates:
         leads = stage(self.members.where("id = rep").select("id", "cls", "n"))
         sketch = rows.withColumn("cls", F.xxhash64("k1", "k2")).join(leads.select("id", "cls"), ["id", "cls"], "left_semi").dropDuplicates(["id", "cls"])
         held = sketch.select("id", "cls", "n", F.explode("bands").alias("band"))
-        full = stage(held.groupBy("band").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("id", "cls", "n")).alias("m")).where("c > 1").select("band", "m"))
-        star = join_sized(held, full, "band", limit_rows=500_000).where("cls <> m.cls")
+        # only buckets of two or more texts matter; to find them the band alone is shuffled
+        shared = stage(held.groupBy("band").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("band"))
+        inside = stage(join_sized(held, shared, "band", "left_semi"))
+        centre = inside.groupBy("band").agg(F.min(F.struct("id", "cls", "n")).alias("m"))
+        star = inside.join(centre, "band").where("cls <> m.cls")
         star = star.select(F.col("m.id").alias("a"), F.col("m.cls").alias("ca"), F.col("m.n").alias("na"), F.col("id").alias("b"), F.col("cls").alias("cb"), F.col("n").alias("nb"))
         # a smaller set is at most its share of the larger one
         star = stage(star.where(F.least("na", "nb") >= F.lit(near) * F.greatest("na", "nb")).distinct())
