@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from veilwork.llm import consensus, encoding, packing, pii, ranking, splits
 from veilwork.llm.near_duplicates import NearDuplicates
 from veilwork.llm.shared_spans import SharedSpans
+from veilwork.llm.sql import oracle_sql  # noqa: F401
 from veilwork.runtime import clean_key, table
 
 
@@ -117,7 +118,3 @@ def p9_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries():
     names = "p1_found p1_redacted p2_found p2_groups p3_found p3_consensus p3_reliability p3_agreement p4_found p4_ranking p5_found p5_splits p7_ids p8_packing p8_fill p9_found p9_coverage"
     return {n: globals()[n] for n in names.split()}
-
-
-def oracle_sql() -> dict[str, str]:
-    return {}
