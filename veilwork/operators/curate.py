@@ -197,3 +197,65 @@ def fit_platt(rows: DataFrame, score: str, actual: str) -> tuple[float, float]:
     r = VectorAssembler(inputCols=["x"], outputCol="features").transform(rows.select(F.col(score).cast("double").alias("x"), F.col(actual).cast("double").alias("label")).dropna())
     m = LogisticRegression(maxIter=50, regParam=0.0, standardization=False).fit(r)
     return float(m.coefficients[0]), float(m.intercept)
+
+# Labels of public data sets and the types they mean.
+LABEL_ALIASES = {
+    "NAME_PERSON": "GIVENNAME SURNAME MIDDLENAME NAME PREFIX SUFFIX FIRSTNAME LASTNAME".split(), "EMAIL": ["EMAIL"], "PHONE": "PHONE TELEPHONENUM PHONE_NUMBER TELEPHONENUMBER PHONENUMBER".split(),
+    "SSN": "SSN SOCIALNUM SOCIAL_SECURITY".split(), "CREDIT_CARD": "CREDITCARDNUMBER CREDIT_CARD".split(), "IBAN": ["IBAN"], "ACCOUNT_NUMBER": "ACCOUNTNUM ACCOUNTNAME BIC ACCOUNT_NUMBER".split(),
+}
+
+
+def label_type(label: Column) -> Column:
+    """The type that a data set's label means (B- and I- marks aside); an unknown label stays."""
+    bare = F.upper(F.regexp_replace(F.trim(label), "^[BbIi]-", ""))
+    out = F.lit(None).cast("string")
+    for kind, labels in LABEL_ALIASES.items():
+        out = F.when(bare.isin(labels), kind).otherwise(out)
+    return F.coalesce(out, bare)
+
+
+def training_mix(production: DataFrame, adversarial: DataFrame, synthetic: DataFrame, share: float = 0.2, seed: int = 42) -> DataFrame:
+    """All production and adversarial rows and a share of the synthetic ones (a sampling operator), tagged by origin."""
+    tag = lambda df, name: df.withColumn("_source", F.lit(name))
+    return tag(production, "production").unionByName(tag(adversarial, "adversarial"), allowMissingColumns=True).unionByName(tag(synthetic.sample(share, seed), "synthetic"), allowMissingColumns=True)
+
+
+# Own note templates: text parts, and {kind} where a value goes.
+NOTES = {
+    "progress": "Progress note. {NAME_PATIENT}, MRN {MRN}, was seen by Dr. {NAME_PROVIDER} on {DATE}. Call {PHONE}.",
+    "discharge": "{NAME_PATIENT} went home on {DATE}; follow-up with {NAME_PROVIDER}, {PHONE}.",
+    "letter": "Dear {NAME_PATIENT}, your number is {SSN}. Regards, {NAME_PROVIDER}",
+    "adversarial": "Ward B-12, lot 123-45, code 555-0100, version 1.2.3: no patient is named here.",
+}
+NOTE_VALUES = {
+    "NAME_PATIENT": ["Ana Abel", "Boris Bauer", "Chloe Costa"], "NAME_PROVIDER": ["Egger", "Ferri", "Gruber"], "MRN": ["4711001", "4711002"], "DATE": ["03/04/2024", "2024-05-06"], "PHONE": ["312-555-0142", "312-555-0187"], "SSN": ["123-45-6789", "219-09-9998"],
+}
+
+
+def generate_notes(spark: SparkSession, n: int, seed: int = 1) -> DataFrame:
+    """``n`` notes (id, doc_type, text, entities with places and co-reference cluster), the same for the same seed."""
+    kinds = list(NOTES)
+    pick = lambda values, *salt: F.element_at(F.array(*map(F.lit, values)), (F.pmod(F.xxhash64("id", F.lit(seed), *salt), F.lit(len(values))) + 1).cast("int"))
+    base = spark.range(n).withColumn("doc_type", pick(kinds, F.lit("type")))
+    template = F.lit("")
+    for k in kinds:
+        template = F.when(F.col("doc_type") == k, F.lit(NOTES[k])).otherwise(template)
+    slots = F.regexp_extract_all(template, F.lit(r"\{([A-Z_]+)\}"), F.lit(1))
+    gaps = F.split(template, r"\{[A-Z_]+\}", -1)
+
+    def value(kind: Column) -> Column:
+        out = F.lit("")
+        for k, values in NOTE_VALUES.items():
+            out = F.when(kind == k, pick(values, F.lit(k))).otherwise(out)
+        return out
+
+    parts = F.zip_with(F.transform(slots, lambda k: F.struct(k.alias("k"), value(k).alias("v"))), F.slice(gaps, 2, F.size(slots)), lambda s, g: F.struct(s["k"].alias("k"), s["v"].alias("v"), g.alias("g")))
+    entity = "array<struct<start:int,end:int,text:string,entity_type:string,cluster:string>>"
+
+    def step(acc: Column, p: Column) -> Column:
+        s = F.length(acc["t"])
+        e = F.struct(s.alias("start"), (s + F.length(p["v"])).alias("end"), p["v"].alias("text"), p["k"].alias("entity_type"), p["v"].alias("cluster"))
+        return F.struct(F.concat(acc["t"], p["v"], p["g"]).alias("t"), F.concat(acc["e"], F.array(e)).alias("e"))
+
+    made = F.aggregate(parts, F.struct(gaps[0].alias("t"), F.array().cast(entity).alias("e")), step)
+    return base.withColumn("m", made).select("id", "doc_type", F.col("m.t").alias("text"), F.col("m.e").alias("entities"))

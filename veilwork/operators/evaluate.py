@@ -233,3 +233,45 @@ def run_trend(runs: DataFrame) -> DataFrame:
     w = Window.partitionBy("dataset").orderBy("at", "run_id")
     newest = F.row_number().over(Window.partitionBy("dataset").orderBy(F.desc("at"), F.desc("run_id"))) == 1
     return runs.withColumns({"delta_f1": F.round(F.col("f1") - F.lag("f1").over(w), 9), "is_latest": newest})
+
+
+# Parts of type names that tell a category, in order.
+CATEGORY_PARTS = [
+    ("NAME", "NAME FIRST LAST MIDDLE"), ("CONTACT", "EMAIL PHONE FAX URL TEL"), ("LOCATION", "ADDRESS STREET CITY STATE ZIP COUNTRY GPS COORDINATE LOCATION"), ("DATE", "DATE DOB BIRTH TIME"),
+    ("IDNUM", "SSN PASSPORT LICENSE ACCOUNT IBAN MRN RECORD"), ("FINANCIAL", "CREDIT CARD CVV PIN BANK"), ("DIGITAL", "IP MAC USER PASSWORD AGENT"), ("CRYPTO", "BITCOIN ETHEREUM LITECOIN CRYPTO"),
+    ("VEHICLE", "VIN VEHICLE DEVICE IMEI SERIAL"), ("ORG", "COMPANY ORG FACILITY HOSPITAL EMPLOYER"),
+]
+
+
+def category(entity_type: Column) -> Column:
+    """Broad category of a type name, by its parts; OTHER without any."""
+    t = norm_type(entity_type)
+    out = F.when(entity_type.isNull() | (t == ""), "OTHER")
+    for name, parts in CATEGORY_PARTS:
+        out = out.when(t.rlike("|".join(parts.split())), name)
+    return out.otherwise("OTHER")
+
+
+def errors_as_corrections(pred: DataFrame, matches: DataFrame, texts: DataFrame, window: int = 50) -> DataFrame:
+    """Predictions of an evaluation as review decisions: matched ones confirmed, others rejected, with the words around them."""
+    hit = matches.select("doc", F.col("pred").alias("span_id"), F.lit(True).alias("hit"))
+    x = pred.join(hit, ["doc", "span_id"], "left").join(texts, "doc")
+    s = F.greatest(F.col("start") - window, F.lit(0))
+    return x.select(
+        "doc", "span_id", F.col("text").alias("entity_text"), F.col("entity_type").alias("detected_type"), F.when(F.col("hit"), "confirmed").otherwise("rejected").alias("decision"),
+        F.substring(F.col("doc_text"), s + 1, F.col("start") - s).alias("context_before"), F.substring(F.col("doc_text"), F.col("end") + 1, F.lit(window)).alias("context_after"),
+    )
+
+
+def trace_missed(gold: DataFrame, final: DataFrame, stages: dict[str, DataFrame]) -> DataFrame:
+    """Gold spans that the final result misses, with the stages that had seen them; ``lost in merge`` if any had."""
+    edge = lambda df: df.select(F.col("doc").alias("_d"), F.col("start").alias("_s"), F.col("end").alias("_e"))
+    touch = (F.col("doc") == F.col("_d")) & (F.col("start") < F.col("_e")) & (F.col("_s") < F.col("end"))
+    out = gold.join(edge(final), touch, "left_anti")
+    for name, df in stages.items():
+        ids = out.join(edge(df), touch, "left_semi").select("span_id").distinct().withColumn(f"seen_{name}", F.lit(True))
+        out = out.join(ids, "span_id", "left").fillna(False, [f"seen_{name}"])
+    some = F.lit(False)
+    for name in stages:
+        some = some | F.col(f"seen_{name}")
+    return out.withColumn("issue", F.when(some, "lost in merge").otherwise("never detected"))

@@ -178,3 +178,40 @@ def coref_spans(mentions: DataFrame, spans: DataFrame) -> DataFrame:
     free = mentions.join(hit, (mentions["doc"] == hit["doc"]) & (F.col("m_start") < F.col("_e")) & (F.col("_s") < F.col("m_end")), "left_anti")
     free = free.where(~F.lower("mention").isin(PRONOUNS) & (F.length("mention") > 2))
     return free.join(anchors, ["doc", "cluster"]).select("doc", F.col("m_start").alias("start"), F.col("m_end").alias("end"), F.col("mention").alias("text"), F.col("anchor_type").alias("entity_type"), F.round(F.col("anchor_conf") * 0.8, 9).alias("confidence"))
+
+
+def apply_lists(spans: DataFrame, allowed: DataFrame, blocked: DataFrame) -> DataFrame:
+    """Spans whose text is on the allow list go; on the block list (term, entity_type) they are certain and take its type."""
+    key = F.lower(F.trim(F.col("text")))
+    a = allowed.select(F.lower(F.trim("term")).alias("_a")).distinct()
+    b = blocked.select(F.lower(F.trim("term")).alias("_b"), F.col("entity_type").alias("_t")).groupBy("_b").agg(F.min("_t").alias("_t"))
+    out = spans.join(a, key == F.col("_a"), "left_anti").join(b, key == F.col("_b"), "left")
+    hit = F.col("_b").isNotNull()
+    return out.withColumns({"confidence": F.when(hit, 0.99).otherwise(F.col("confidence")), "entity_type": F.coalesce("_t", "entity_type")}).drop("_b", "_t")
+
+
+def accept_by_evidence(signals: DataFrame) -> DataFrame:
+    """Acceptance without a trained model: the first sure detector, else two weak ones, else one.
+
+    Needs ``<detector>_detected/_conf/_type`` of rule, presidio, pii_bert and phi_bert, merged_type, merged_conf and sources_agree_count.
+    """
+    ladder = [("rule", 0.9), ("presidio", 0.7), ("pii_bert", 0.7), ("phi_bert", 0.7)]
+    on = lambda d: F.coalesce(F.col(f"{d}_detected").cast("int"), F.lit(0)) == 1
+    kind, conf = None, None
+    for d, least in ladder:
+        sure = on(d) & (F.col(f"{d}_conf") >= least)
+        kind = F.when(sure, F.col(f"{d}_type")) if kind is None else kind.when(sure, F.col(f"{d}_type"))
+        conf = F.when(sure, F.col(f"{d}_conf")) if conf is None else conf.when(sure, F.col(f"{d}_conf"))
+    agree = F.coalesce(F.col("sources_agree_count"), F.lit(0))
+    top = F.greatest(*(F.coalesce(F.col(f"{d}_conf"), F.lit(0.0)) for d, _ in ladder))
+    kind = kind.when(agree >= 1, F.col("merged_type")).otherwise("NONE")
+    conf = conf.when(agree >= 2, F.least(F.lit(0.8), top + 0.1)).when(agree == 1, F.col("merged_conf")).otherwise(0.0)
+    return signals.withColumns({"evidence_type": kind, "evidence_conf": conf, "evidence_ok": kind != "NONE"})
+
+
+def stack_status() -> dict[str, object]:
+    """What the engine can do here."""
+    from veilwork.catalog.rules import CHECKSUM_RULES, RULES
+    from veilwork.operators.plugins import detectors
+
+    return {"rules": len(RULES), "checksum_rules": len(CHECKSUM_RULES), "detectors": detectors(), "calibrated": sorted(L.PLATT)}

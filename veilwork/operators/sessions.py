@@ -48,3 +48,41 @@ def tokenise_messages(messages: DataFrame, spans: DataFrame) -> DataFrame:
     out = messages.join(per, messages["id"] == per["message_id"], "left")
     none = F.array().cast("array<struct<start:int,end:int,token:string>>")
     return out.select("id", F.when(F.col("s").isNull(), F.col("content")).otherwise(splice(F.col("content"), F.coalesce("s", none))).alias("redacted"))
+
+
+def process_user_messages(messages: DataFrame, spans: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(id, redacted) of messages, and the conversations' tokens (doc, token, original).
+
+    Dates, ages and postcodes are generalised first, so their tokens lead back
+    to the general value only; ``spans`` are keyed by ``message_id``.
+    """
+    from veilwork.operators.deidentify import generalise
+
+    order = messages.select(F.col("id").alias("message_id"), F.col("conversation_id").alias("doc"), F.struct("created_at", "id").alias("seq"))
+    tokens = assign_tokens(spans.join(order, "message_id"), "doc", "seq")
+    per = tokens.groupBy("message_id").agg(F.collect_set(F.struct("start", "end", "token")).alias("s"))
+    none = F.array().cast("array<struct<start:int,end:int,token:string>>")
+    out = messages.join(per, messages["id"] == per["message_id"], "left").select("id", F.when(F.col("s").isNull(), F.col("content")).otherwise(splice(F.col("content"), F.coalesce("s", none))).alias("redacted"))
+    kept = tokens.groupBy("doc", "token").agg(F.min(generalise(F.col("text"), F.col("entity_type"), F.col("doc"))).alias("original"))
+    return out, kept
+
+
+def process_assistant_messages(messages: DataFrame, tokens: DataFrame) -> DataFrame:
+    """(id, content): an answer's tokens replaced by what they stand for in its conversation."""
+    from veilwork.operators.deidentify import restore
+
+    maps = tokens.groupBy(F.col("doc").alias("conversation_id")).agg(F.map_from_entries(F.collect_list(F.struct("token", "original"))).alias("m"))
+    out = messages.join(maps, "conversation_id", "left")
+    return out.select("id", F.when(F.col("m").isNull(), F.col("content")).otherwise(restore(F.col("content"), F.coalesce("m", F.create_map().cast("map<string,string>")))).alias("content"))
+
+
+def recent_conversations(messages: DataFrame, limit: int = 20) -> DataFrame:
+    """The conversations written to last (a top-k report)."""
+    g = messages.groupBy("conversation_id").agg(F.max("created_at").alias("last_at"), F.count(F.lit(1)).alias("n_messages"))
+    return g.orderBy(F.desc_nulls_last("last_at"), "conversation_id").limit(limit)
+
+
+def expired_conversations(messages: DataFrame, now: Column, days: int = 30) -> DataFrame:
+    """Conversations without a message in the last ``days``; deleting them deletes their messages and tokens."""
+    g = messages.groupBy("conversation_id").agg(F.max("created_at").alias("last_at"))
+    return g.where(F.col("last_at") < now - F.expr(f"INTERVAL {days} DAYS")).select("conversation_id")

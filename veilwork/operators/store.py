@@ -101,3 +101,44 @@ def should_train(labelled: int, least: int = 1000, last_f1: float | None = None,
     if last_f1 is not None and new_f1 is not None and new_f1 < last_f1 - drop:
         return False, f"F1 falls from {last_f1:.3f} to {new_f1:.3f}"
     return True, "ready"
+
+
+def scan_unscanned(documents: DataFrame, detect, now: Column, threshold: float = 0.95) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(entities, documents as scanned, tally) of the documents not scanned yet; ``detect(df)`` gives spans keyed by ``id``."""
+    todo = documents.where("scanned_at IS NULL")
+    found = detect(todo)
+    done = documents.withColumn("scanned_at", F.coalesce("scanned_at", now))
+    tally = found.agg(F.count_if(F.col("confidence") >= threshold).alias("n_auto"), F.count_if(F.col("confidence") < threshold).alias("n_review"))
+    return found, done, tally
+
+
+def apply_decisions(entities: DataFrame, decisions: DataFrame, texts: DataFrame, now: Column, window: int = 50) -> DataFrame:
+    """Review decisions (span_id, decision, correct_type) as corrections, with the words around each entity."""
+    e = entities.join(decisions, "span_id").join(texts, "doc", "left")
+    s = F.greatest(F.col("start") - window, F.lit(0))
+    return e.select(
+        F.sha2(F.concat_ws("|", "span_id", "decision"), 256).alias("id"),
+        F.col("span_id").alias("entity_id"),
+        F.col("doc").alias("document_id"),
+        F.col("text").alias("entity_text"),
+        F.col("start").alias("entity_start"),
+        F.col("end").alias("entity_end"),
+        F.col("entity_type").alias("detected_type"),
+        "decision",
+        F.when(F.col("decision") == "changed", F.col("correct_type")).alias("correct_type"),
+        F.substring(F.col("doc_text"), s + 1, F.col("start") - s).alias("context_before"),
+        F.substring(F.col("doc_text"), F.col("end") + 1, F.lit(window)).alias("context_after"),
+        F.col("confidence").alias("ner_confidence"),
+        now.alias("reviewed_at"),
+    )
+
+
+def capture_uncertain(signals: DataFrame, threshold: float = 0.95) -> DataFrame:
+    """Signals worth asking about, as pending."""
+    return signals.where(F.col("merged_conf") < threshold).withColumn("status", F.lit("pending"))
+
+
+def missed_reports(reports: DataFrame, texts: DataFrame) -> DataFrame:
+    """Reports of missed text (doc, missed_text, correct_type) with its first place, or null if it is not there."""
+    at = F.call_function("instr", F.col("doc_text"), F.col("missed_text"))
+    return reports.join(texts, "doc", "left").select("doc", "missed_text", "correct_type", F.when(at > 0, at - 1).alias("missed_start"), F.when(at > 0, at - 1 + F.length("missed_text")).alias("missed_end"))

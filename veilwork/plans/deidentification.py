@@ -91,8 +91,16 @@ def recent_messages(spark, sf_dir):
     return C.recent_messages(_messages(spark, sf_dir), 3).select("conversation_id", "id")
 
 
+def recent_conversations(spark, sf_dir):
+    return C.recent_conversations(_messages(spark, sf_dir)).select("conversation_id", "n_messages")
+
+
+def expired_conversations(spark, sf_dir):
+    return C.expired_conversations(_messages(spark, sf_dir), F.expr("TIMESTAMP '2025-03-01 00:00:00'"))
+
+
 def queries():
-    return {f.__name__: f for f in (date_shift, zip_generalise, age_generalise, lookup_hashes, token_assign, redact_texts, restore_texts, message_tokens, encrypted_roundtrip, conversation_context, compaction_split, recent_messages)}
+    return {f.__name__: f for f in (date_shift, zip_generalise, age_generalise, lookup_hashes, token_assign, redact_texts, restore_texts, message_tokens, encrypted_roundtrip, conversation_context, compaction_split, recent_messages, recent_conversations, expired_conversations)}
 
 
 def oracle_sql():
@@ -123,5 +131,7 @@ SELECT t.doc, coalesce(redacted, doc_text) AS redacted, coalesce(n_tokens, 0) AS
         "message_tokens": "SELECT id, coalesce(len(regexp_extract_all(content, '\\[[A-Z_]+_\\d+\\]')), 0) AS n_tokens FROM (SELECT DISTINCT id, content FROM messages)",
         "conversation_context": f"SELECT conversation_id, count(*) AS n_messages, CAST(sum({size}) AS BIGINT) // 4 AS tokens FROM ({msgs}) WHERE NOT coalesce(compacted, false) GROUP BY conversation_id",
         "compaction_split": f"SELECT conversation_id, id, (CAST(sum({size}) OVER (PARTITION BY conversation_id) AS BIGINT) // 4 > 400) AND row_number() OVER (PARTITION BY conversation_id ORDER BY created_at DESC, id DESC) > 10 AS compact FROM ({msgs}) WHERE NOT coalesce(compacted, false)",
+        "recent_conversations": f"SELECT conversation_id, count(*) AS n_messages FROM ({msgs}) GROUP BY conversation_id ORDER BY max(created_at) DESC NULLS LAST, conversation_id LIMIT 20",
+        "expired_conversations": f"SELECT conversation_id FROM ({msgs}) GROUP BY conversation_id HAVING max(created_at) < TIMESTAMP '2025-03-01' - INTERVAL 30 DAYS",
         "recent_messages": f"SELECT conversation_id, id FROM ({msgs}) QUALIFY row_number() OVER (PARTITION BY conversation_id ORDER BY created_at DESC NULLS LAST, id DESC) <= 3",
     }

@@ -103,13 +103,19 @@ def run_trend(spark, sf_dir):
     return M.run_trend(o.select(F.col("o_orderpriority").alias("dataset"), F.col("o_orderkey").alias("run_id"), F.col("o_orderdate").alias("at"), (F.col("o_custkey") % 1000 / 1000).alias("f1"))).select("dataset", "run_id", "delta_f1", "is_latest")
 
 
+def missed_trace(spark, sf_dir):
+    p = _pred(spark, sf_dir)
+    t = M.trace_missed(_gold(spark, sf_dir), p.where("confidence >= 0.9"), {"rule": p.where("source = 'rule'"), "model": p.where("source = 'model'")})
+    return t.select("span_id", "seen_rule", "seen_model", "issue")
+
+
 def type_groups(spark, sf_dir):
     e = table(spark, sf_dir, "entities").select("entity_type").unionByName(table(spark, sf_dir, "detector_labels").select("entity_type")).distinct()
     return e.select("entity_type", M.type_group(F.col("entity_type")).alias("type_group"))
 
 
 def queries():
-    fs = (greedy_matches, score_table, score_by_decision, semeval_modes, correction_scores, exact_counts, confusion_matrix, calibration_bins, calibration_error, threshold_sweep, error_reasons, bio_spans, gold_labels, run_trend, type_groups)
+    fs = (greedy_matches, score_table, score_by_decision, semeval_modes, correction_scores, exact_counts, confusion_matrix, calibration_bins, calibration_error, threshold_sweep, error_reasons, bio_spans, gold_labels, run_trend, missed_trace, type_groups)
     return {f.__name__: f for f in fs}
 
 
@@ -130,5 +136,6 @@ def oracle_sql():
         "error_reasons": f"SELECT span_id, CASE WHEN length(text) <= 2 THEN 'too_short' WHEN regexp_full_match(text, '[0-9]+') AND length(text) < 5 THEN 'short_number' WHEN lower(text) IN ('the', 'a', 'an', 'and', 'or', 'but', 'in', 'on', 'at', 'to', 'for') THEN 'common_word' WHEN entity_type IN ('ADDRESS', 'LOCATION') AND {words} = 1 THEN 'single_word_address' WHEN entity_type IN ('NAME_PERSON', 'NAME_PATIENT') AND {words} = 1 THEN 'single_word_name' WHEN regexp_matches(text, '[0-9]') AND regexp_matches(text, '\\p{{L}}') THEN 'mixed_alphanumeric' ELSE 'unknown' END AS reason FROM ({B.SPANS})",
         "bio_spans": "WITH t AS (SELECT o_custkey AS doc, o_orderkey AS pos, ['O', 'B-NAME', 'I-NAME', 'B-DATE', 'I-DATE'][o_orderkey % 5 + 1] AS tag FROM orders), k AS (SELECT *, CASE WHEN tag <> 'O' THEN substr(tag, 3) END AS kind FROM t), f AS (SELECT *, CASE WHEN kind IS NOT NULL AND (tag LIKE 'B-%' OR coalesce(lag(kind) OVER w <> kind, true)) THEN 1 ELSE 0 END AS fresh FROM k WINDOW w AS (PARTITION BY doc ORDER BY pos)) SELECT doc, kind AS entity_type, min(pos) AS first, max(pos) AS last FROM (SELECT *, sum(fresh) OVER (PARTITION BY doc ORDER BY pos ROWS UNBOUNDED PRECEDING) AS run FROM f) WHERE kind IS NOT NULL GROUP BY doc, run, kind",
         "gold_labels": f"""SELECT doc, span_id, coalesce(arg_max(g_t, row(near, ratio, g_t)) FILTER (WHERE near OR ratio > 0.5), 'NONE') AS truth FROM (SELECT p.doc, span_id, g_t, abs(start - g_s) <= 2 AND abs("end" - g_e) <= 2 AS near, {shared} AS ratio FROM ({_PRED}) p LEFT JOIN (SELECT doc AS gd, start AS g_s, "end" AS g_e, entity_type AS g_t FROM ({_GOLD})) g ON p.doc = g.gd) GROUP BY doc, span_id""",
+        "missed_trace": f"""SELECT span_id, r AS seen_rule, m AS seen_model, CASE WHEN r OR m THEN 'lost in merge' ELSE 'never detected' END AS issue FROM (SELECT span_id, EXISTS (SELECT 1 FROM p WHERE p.doc = g.doc AND source = 'rule' AND g.start < p."end" AND p.start < g."end") AS r, EXISTS (SELECT 1 FROM p WHERE p.doc = g.doc AND source = 'model' AND g.start < p."end" AND p.start < g."end") AS m FROM ({_GOLD}) g WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.doc = g.doc AND confidence >= 0.9 AND g.start < p."end" AND p.start < g."end"))""".replace(" p WHERE", f" ({_PRED}) p WHERE"),
         "run_trend": "SELECT o_orderpriority AS dataset, o_orderkey AS run_id, round(f1 - lag(f1) OVER (PARTITION BY o_orderpriority ORDER BY o_orderdate, o_orderkey), 9) AS delta_f1, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderdate DESC, o_orderkey DESC) = 1 AS is_latest FROM (SELECT *, o_custkey % 1000 / 1000 AS f1 FROM orders)",
     }

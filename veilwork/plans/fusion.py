@@ -44,6 +44,12 @@ def two_model_decision(spark, sf_dir):
     return s.select("signal_id", ok.alias("accepted"), F.round(conf, 8).alias("confidence"), kind.alias("entity_type"), F.round(F.coalesce(F.col("phi_conf") * F.col("pii_conf"), F.lit(0.0)), 8).alias("agreement"))
 
 
+def evidence_decision(spark, sf_dir):
+    cols = [f"{d}_{x}" for d in ("rule", "presidio", "pii_bert", "phi_bert") for x in ("detected", "conf", "type")]
+    s = table(spark, sf_dir, "span_signals").select("id", *cols, "sources_agree_count", "merged_type", "merged_conf").distinct()
+    return E.accept_by_evidence(s).select("id", "evidence_type", F.round("evidence_conf", 9).alias("evidence_conf"), "evidence_ok")
+
+
 def type_confusion(spark, sf_dir):
     s = B.entity_spans(spark, sf_dir)
     digits = F.concat(F.col("text"), F.lit(" "), F.regexp_replace("span_id", "[^0-9]", ""))
@@ -77,7 +83,7 @@ def coref_propagation(spark, sf_dir):
 
 
 def queries():
-    return {f.__name__: f for f in (overlap_islands, signal_vector, tiered_merge, staged_decision, two_model_decision, type_confusion, person_refine, document_features, coref_propagation)}
+    return {f.__name__: f for f in (overlap_islands, signal_vector, tiered_merge, staged_decision, two_model_decision, evidence_decision, type_confusion, person_refine, document_features, coref_propagation)}
 
 
 _ISLANDS = f"""SELECT *, CAST(sum(fresh) OVER (PARTITION BY doc ORDER BY start, "end" DESC, span_id ROWS UNBOUNDED PRECEDING) AS INT) AS grp FROM (SELECT *, CASE WHEN reach IS NULL OR start >= reach THEN 1 ELSE 0 END AS fresh FROM (SELECT *, max("end") OVER (PARTITION BY doc ORDER BY start, "end" DESC, span_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM ({B.SPANS})))"""
@@ -105,7 +111,12 @@ def oracle_sql():
 FROM (SELECT *, {_platt('phi_conf', 'phi')} AS phi_cal, {_platt('pii_conf', 'pii')} AS pii_cal, CASE WHEN has_checksum THEN 3 WHEN coalesce(rule_conf, 0) >= 0.9 THEN 2 WHEN coalesce(rule_conf, 0) > 0 THEN 1 ELSE 0 END AS tier, coalesce(phi_type, pii_type, rule_type) AS lead_type, list_distinct(list_filter([phi_type, pii_type, rule_type], lambda x: x IS NOT NULL)) AS kinds FROM ({_SIGNALS})))"""
     a, b = "coalesce(phi_conf, 0)", "coalesce(pii_conf, 0)"
     best = "list_last(list_sort([row(coalesce(phi_conf, 0), phi_type), row(coalesce(pii_conf, 0), pii_type), row(coalesce(rule_conf, 0), rule_type)], 'ASC', 'NULLS FIRST'))[2]"
+    sure = [("rule", 0.9), ("presidio", 0.7), ("pii_bert", 0.7), ("phi_bert", 0.7)]
+    kinds = " ".join(f"WHEN {d}_detected = 1 AND {d}_conf >= {t} THEN {d}_type" for d, t in sure)
+    confs = " ".join(f"WHEN {d}_detected = 1 AND {d}_conf >= {t} THEN {d}_conf" for d, t in sure)
+    top = "greatest(" + ", ".join(f"coalesce({d}_conf, 0)" for d, _ in sure) + ")"
     return {
+        "evidence_decision": f"SELECT id, t AS evidence_type, round(c, 9) AS evidence_conf, t <> 'NONE' AS evidence_ok FROM (SELECT DISTINCT id, CASE {kinds} WHEN coalesce(sources_agree_count, 0) >= 1 THEN merged_type ELSE 'NONE' END AS t, CASE {confs} WHEN coalesce(sources_agree_count, 0) >= 2 THEN least(0.8, {top} + 0.1) WHEN sources_agree_count = 1 THEN merged_conf ELSE 0 END AS c FROM span_signals)",
         "overlap_islands": f"SELECT doc, span_id, grp FROM ({_ISLANDS})",
         "signal_vector": f"""SELECT *, length(text) AS span_length, regexp_matches(text, '[0-9]') AS has_digits, regexp_matches(text, '\\p{{L}}') AS has_letters, regexp_matches(replace(replace(text, '-', ''), ' ', ''), '^[0-9]+$') AS all_digits, regexp_matches(text, '\\p{{Lu}}') AND NOT regexp_matches(text, '\\p{{Ll}}') AS all_caps, regexp_matches(text, '\\p{{Lu}}') AND regexp_matches(text, '\\p{{Ll}}') AS mixed_case, n_types = 1 AS consensus
 FROM (SELECT doc, grp, {first('start', longest)} AS start, {first('"end"', longest)} AS "end", {first('text', longest)} AS text, {first('entity_type', surest)} AS best_type, max(confidence) AS best_conf, max(CASE WHEN source = 'model' THEN confidence END) AS model_conf, max(CASE WHEN source = 'rule' THEN confidence END) AS rule_conf, max(CASE WHEN source = 'dictionary' THEN confidence END) AS dictionary_conf, count(DISTINCT source) AS n_sources, count(DISTINCT entity_type) AS n_types, count(*) AS n_spans FROM ({_ISLANDS}) GROUP BY doc, grp)""",
