@@ -51,13 +51,15 @@ def drop_staged() -> None:
 atexit.register(drop_staged)
 
 
-def join_sized(big: DataFrame, small: DataFrame, on, how: str = "inner", limit_rows: int = 500_000) -> DataFrame:
-    """Join with ``small``, a staged table whose rows are narrow keys.
+def join_sized(big: DataFrame, small: DataFrame, on, how: str = "inner", limit_rows: int = 500_000, weigh: Column | None = None) -> DataFrame:
+    """Join with ``small``, a staged table of narrow rows.
 
-    It is broadcast only when its counted rows are at most ``limit_rows``;
-    beyond that Spark shuffles both sides.
+    It is broadcast only when its rows, each counted as ``weigh`` (1 unless
+    given, the length of an array column for instance), come to at most
+    ``limit_rows``; beyond that Spark shuffles both sides.
     """
-    return big.join(F.broadcast(small) if small.count() <= limit_rows else small, on, how)
+    size = small.count() if weigh is None else small.agg(F.sum(weigh)).first()[0] or 0
+    return big.join(F.broadcast(small) if size <= limit_rows else small, on, how)
 
 
 def clean_key(col: Column) -> Column:
