@@ -141,7 +141,7 @@ class SharedSpans:
         shared = stage(held.select(F.explode(F.array_distinct("hashes")).alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("h"))
         held = held.select("id", "digest", F.explode(F.arrays_zip("hashes", "places")).alias("x")).select("id", "digest", F.col("x.hashes").alias("h"), F.col("x.places").alias("at"))
         wanted = stage(join_sized(held, shared, "h", "left_semi", limit_rows=2_000_000).groupBy("id", "digest").agg(F.collect_list(F.struct("h", "at")).alias("anchors")))
-        texts = join_sized(own.withColumn("digest", F.md5("text")), wanted, ["id", "digest"], limit_rows=100_000)
+        texts = join_sized(own.withColumn("digest", F.md5("text")), wanted, ["id", "digest"], limit_rows=2_000_000, weigh=F.size("anchors") + 4)
         self.blocks = stage(
             texts.dropDuplicates(["id", "digest"]).select("id", F.xxhash64("digest").alias("digest"), "text", F.explode("anchors").alias("x")).select(
                 "id",
