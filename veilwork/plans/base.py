@@ -36,3 +36,15 @@ def quoted(words) -> str:
 
 def alternatives(patterns) -> str:
     return "|".join(f"(?:{p})" for p in patterns).replace("'", "''")
+
+
+def long_counts(sql: str) -> str:
+    """``count_if(x)`` as ``count(*) FILTER (WHERE x)``, which is a BIGINT in every engine."""
+    out, rest = "", sql
+    while (at := rest.find("count_if(")) >= 0:
+        out, rest, depth, end = out + rest[:at], rest[at + 9 :], 1, 0
+        while depth:
+            depth += {"(": 1, ")": -1}.get(rest[end], 0)
+            end += 1
+        out, rest = f"{out}count(*) FILTER (WHERE {rest[: end - 1]})", rest[end:]
+    return out + rest

@@ -118,7 +118,7 @@ FROM (SELECT *, {_platt('phi_conf', 'phi')} AS phi_cal, {_platt('pii_conf', 'pii
     return {
         "evidence_decision": f"SELECT id, t AS evidence_type, round(c, 9) AS evidence_conf, t <> 'NONE' AS evidence_ok FROM (SELECT DISTINCT id, CASE {kinds} WHEN coalesce(sources_agree_count, 0) >= 1 THEN merged_type ELSE 'NONE' END AS t, CASE {confs} WHEN coalesce(sources_agree_count, 0) >= 2 THEN least(0.8, {top} + 0.1) WHEN sources_agree_count = 1 THEN merged_conf ELSE 0 END AS c FROM span_signals)",
         "overlap_islands": f"SELECT doc, span_id, grp FROM ({_ISLANDS})",
-        "signal_vector": f"""SELECT *, length(text) AS span_length, regexp_matches(text, '[0-9]') AS has_digits, regexp_matches(text, '\\p{{L}}') AS has_letters, regexp_matches(replace(replace(text, '-', ''), ' ', ''), '^[0-9]+$') AS all_digits, regexp_matches(text, '\\p{{Lu}}') AND NOT regexp_matches(text, '\\p{{Ll}}') AS all_caps, regexp_matches(text, '\\p{{Lu}}') AND regexp_matches(text, '\\p{{Ll}}') AS mixed_case, n_types = 1 AS consensus
+        "signal_vector": f"""SELECT *, CAST(length(text) AS INT) AS span_length, regexp_matches(text, '[0-9]') AS has_digits, regexp_matches(text, '\\p{{L}}') AS has_letters, regexp_matches(replace(replace(text, '-', ''), ' ', ''), '^[0-9]+$') AS all_digits, regexp_matches(text, '\\p{{Lu}}') AND NOT regexp_matches(text, '\\p{{Ll}}') AS all_caps, regexp_matches(text, '\\p{{Lu}}') AND regexp_matches(text, '\\p{{Ll}}') AS mixed_case, n_types = 1 AS consensus
 FROM (SELECT doc, grp, {first('start', longest)} AS start, {first('"end"', longest)} AS "end", {first('text', longest)} AS text, {first('entity_type', surest)} AS best_type, max(confidence) AS best_conf, max(CASE WHEN source = 'model' THEN confidence END) AS model_conf, max(CASE WHEN source = 'rule' THEN confidence END) AS rule_conf, max(CASE WHEN source = 'dictionary' THEN confidence END) AS dictionary_conf, count(DISTINCT source) AS n_sources, count(DISTINCT entity_type) AS n_types, count(*) AS n_spans FROM ({_ISLANDS}) GROUP BY doc, grp)""",
         "tiered_merge": f"""WITH i AS ({_ISLANDS}), v AS (SELECT doc, grp, arg_max(entity_type, row(s, entity_type)) AS entity_type FROM (SELECT doc, grp, entity_type, round(sum(confidence), 6) AS s FROM i GROUP BY ALL) GROUP BY doc, grp)
 SELECT e.doc, e.grp, start, "end", text, entity_type, round(CASE WHEN n > 1 THEN least(c + 0.05, 0.99) ELSE c END, 6) AS confidence FROM (SELECT doc, grp, arg_max(start, row({rank}, confidence, span_id)) AS start, arg_max("end", row({rank}, confidence, span_id)) AS "end", arg_max(text, row({rank}, confidence, span_id)) AS text, max(confidence) AS c, count(DISTINCT source) AS n FROM i GROUP BY doc, grp) e JOIN v ON e.doc = v.doc AND e.grp = v.grp""",

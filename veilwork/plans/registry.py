@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from importlib import import_module
 
+from veilwork.plans.base import long_counts
+
 FAMILIES = ["detection", "suppression", "fusion", "deidentification", "storage", "evaluation", "curation", "ingestion", "streams", "references"]
 
 
@@ -19,4 +21,4 @@ def queries():
 
 
 def oracle_sql():
-    return _collect("oracle_sql")
+    return {name: long_counts(sql) for name, sql in _collect("oracle_sql").items()}
