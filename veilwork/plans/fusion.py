@@ -41,7 +41,7 @@ def staged_decision(spark, sf_dir):
 def two_model_decision(spark, sf_dir):
     s = _signals(spark, sf_dir)
     ok, conf, kind = E.resolve_two(F.col("phi_conf"), F.col("pii_conf"), F.col("phi_type"), F.col("pii_type"))
-    return s.select("signal_id", ok.alias("accepted"), F.round(conf, 8).alias("confidence"), kind.alias("entity_type"), F.round(F.coalesce(F.col("phi_conf") * F.col("pii_conf"), F.lit(0.0)), 8).alias("agreement"))
+    return s.select("signal_id", ok.alias("accepted"), F.round(conf, 8).alias("confidence"), kind.alias("entity_type"), F.round(F.coalesce(F.col("phi_conf") * F.col("pii_conf"), F.lit(0.0)), 12).alias("agreement"))
 
 
 def evidence_decision(spark, sf_dir):
@@ -123,7 +123,7 @@ FROM (SELECT doc, grp, {first('start', longest)} AS start, {first('"end"', longe
         "tiered_merge": f"""WITH i AS ({_ISLANDS}), v AS (SELECT doc, grp, arg_max(entity_type, row(s, entity_type)) AS entity_type FROM (SELECT doc, grp, entity_type, round(sum(confidence), 6) AS s FROM i GROUP BY ALL) GROUP BY doc, grp)
 SELECT e.doc, e.grp, start, "end", text, entity_type, round(CASE WHEN n > 1 THEN least(c + 0.05, 0.99) ELSE c END, 6) AS confidence FROM (SELECT doc, grp, arg_max(start, row({rank}, confidence, span_id)) AS start, arg_max("end", row({rank}, confidence, span_id)) AS "end", arg_max(text, row({rank}, confidence, span_id)) AS text, max(confidence) AS c, count(DISTINCT source) AS n FROM i GROUP BY doc, grp) e JOIN v ON e.doc = v.doc AND e.grp = v.grp""",
         "staged_decision": f"""SELECT signal_id, round(phi_cal, 8) AS phi_cal, round(pii_cal, 8) AS pii_cal, tier, round(combined, 8) AS combined, round(final_conf, 8) AS final_conf, final_conf >= 0.2 AS accepted, CASE WHEN has_checksum AND rule_type IS NOT NULL THEN rule_type WHEN len(kinds) = 1 THEN kinds[1] WHEN phi_type IN ({clinical}) THEN phi_type WHEN pii_type IN ({general}) THEN pii_type ELSE {best} END AS final_type, final_conf >= 0.2 AND final_conf < 0.95 AS needs_review FROM ({decided})""",
-        "two_model_decision": f"""SELECT signal_id, conf >= 0.25 AS accepted, round(conf, 8) AS confidence, CASE WHEN phi_type IS NULL THEN pii_type WHEN pii_type IS NULL THEN phi_type WHEN phi_type = pii_type THEN phi_type WHEN {a} > {b} THEN phi_type ELSE pii_type END AS entity_type, round(coalesce(phi_conf * pii_conf, 0), 8) AS agreement FROM (SELECT *, CASE WHEN {a} > 0 AND {b} > 0 THEN least(greatest({a}, {b}) + 0.1, 0.99) ELSE greatest({a}, {b}) END AS conf FROM ({_SIGNALS}))""",
+        "two_model_decision": f"""SELECT signal_id, conf >= 0.25 AS accepted, round(conf, 8) AS confidence, CASE WHEN phi_type IS NULL THEN pii_type WHEN pii_type IS NULL THEN phi_type WHEN phi_type = pii_type THEN phi_type WHEN {a} > {b} THEN phi_type ELSE pii_type END AS entity_type, round(coalesce(phi_conf * pii_conf, 0), 12) AS agreement FROM (SELECT *, CASE WHEN {a} > 0 AND {b} > 0 THEN least(greatest({a}, {b}) + 0.1, 0.99) ELSE greatest({a}, {b}) END AS conf FROM ({_SIGNALS}))""",
         "type_confusion": f"""SELECT span_id, CASE WHEN entity_type = 'MRN' AND {n} IN (15, 16) AND length({bare}) <= 19 OR entity_type = 'DATE' AND {n} IN (15, 16) AND regexp_full_match({bare}, '[0-9]+') THEN 'CREDIT_CARD' ELSE entity_type END AS entity_type, round(CASE WHEN entity_type = 'MRN' AND {n} IN (15, 16) AND length({bare}) <= 19 THEN confidence * 0.95 WHEN entity_type = 'DATE' AND {n} IN (15, 16) AND regexp_full_match({bare}, '[0-9]+') THEN confidence * 0.9 ELSE confidence END, 8) AS confidence FROM (SELECT *, CASE WHEN entity_type IN ('MRN', 'DATE') THEN concat(text, ' ', regexp_replace(span_id, '[^0-9]', '', 'g')) ELSE text END AS t FROM ({B.SPANS}))""",
         "person_refine": f"SELECT span_id, CASE WHEN {staff} THEN 'NAME_PROVIDER' ELSE 'NAME_PATIENT' END AS entity_type FROM ({B.IN_TEXTS}) WHERE entity_type LIKE 'NAME%'",
         "document_features": f"""SELECT doc, bool_or(entity_type = 'SSN') AS has_ssn, bool_or(entity_type IN ('DATE', 'DATE_DOB')) AS has_dates, bool_or(entity_type IN ('MRN', 'DRUG', 'LAB_TEST', 'FACILITY')) AS has_medical, count(*) AS n_entities, round(least(1, sum(greatest("end" - start, 0)) / max(length(doc_text))), 9) AS density FROM ({B.IN_TEXTS}) GROUP BY doc""",
