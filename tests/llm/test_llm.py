@@ -195,9 +195,22 @@ def test_ranking_dirt(spark):
     scores = [ranking.Score("s", "on"), ranking.Score("t")]
     got = dict(rows(ranking.best(df, scores, "doc")))
     assert got == {"d1": "a", "doc-1": "e", "d3": "g"}
-    full = ranking.ranked(df, scores, "doc").where("grp = 'd1'").orderBy("place").collect()
+    full = ranking.placed(ranking.ranked(df, scores, "doc")).where("grp = 'd1'").orderBy("place").collect()
     assert [r["id"] for r in full] == ["a", "b", "c"] and all(r["rank_value"] > 0 for r in full)
     assert rows(ranking.best(df.where("id = 'z'"), scores, "doc")) == []
+    assert rows(ranking.placed(ranking.ranked(df.where("id = 'z'"), scores, "doc"))) == []
+
+
+def test_places_of_one_large_group(spark):
+    rng = random.Random(2)
+    df = spark.createDataFrame([("d" if i % 3 else f"e{i % 5}", f"s{i:04d}", rng.choice([0.1, 0.5, rng.random()])) for i in range(3000)], "doc string, id string, s double")
+    got = ranking.placed(ranking.ranked(df, [ranking.Score("s")], "doc")).collect()
+    by = collections.defaultdict(list)
+    for r in got:
+        by[r["grp"]].append(r)
+    for own in by.values():
+        own.sort(key=lambda r: (-r["rank_value"], r["id"]))
+        assert [r["place"] for r in own] == list(range(1, len(own) + 1))
 
 
 # ---- splits ----

@@ -77,7 +77,7 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p4_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = ranking.ranked(table(spark, sf_dir, "span_signals"), ranking.SPAN_SCORES, "document_id", only=_reviewed(spark, sf_dir))
+    rows = ranking.placed(ranking.ranked(table(spark, sf_dir, "span_signals"), ranking.SPAN_SCORES, "document_id", only=_reviewed(spark, sf_dir)))
     return rows.select(F.col("grp").alias("document_id"), "id", "rank_value", "place")
 
 

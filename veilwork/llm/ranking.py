@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from veilwork.llm.workers import by_value
-from veilwork.runtime import clean_key
+from veilwork.runtime import clean_key, stage
 
 
 @dataclass(frozen=True)
@@ -87,7 +87,7 @@ def _combine(curves, weights):
 
 @by_value
 def ranked(rows: DataFrame, scores: list[Score], group_col: str, id_col: str = "id", only: DataFrame | None = None, grid: int = 2000, accuracy: int = 20_000) -> DataFrame:
-    """grp, id, rank_value, place (1 is best) of the rows, or of the groups in ``only`` (column ``grp``).
+    """grp, id, rank_value of the rows, or of the groups in ``only`` (column ``grp``).
 
     ``only`` limits which groups are returned; the standings always come from all rows.
     """
@@ -105,11 +105,30 @@ def ranked(rows: DataFrame, scores: list[Score], group_col: str, id_col: str = "
         own = own.join(only.select("grp").distinct(), "grp", "left_semi")
     own = once(own)
     out = own.select("grp", "id", *names).mapInArrow(_combine(curves, [s.weight for s in scores]), "grp string, id string, rank_value double")
-    return out.withColumn("place", F.row_number().over(Window.partitionBy("grp").orderBy(F.desc("rank_value"), "id")))
+    return out
+
+
+def placed(ranks: DataFrame, cuts: int = 64) -> DataFrame:
+    """Adds ``place`` (1 is best) within each group.
+
+    Values are cut at ``cuts`` quantiles of all of them; a row's place is the
+    number of its group's rows in higher bands plus its place in its own band,
+    so that no task sorts a whole large group.
+    """
+    ranks = stage(ranks)
+    probs = F.array(*[F.lit(k / cuts) for k in range(1, cuts)])
+    edges = ranks.agg(F.percentile_approx("rank_value", probs, 10_000).alias("e")).first()["e"] or []
+    band = F.size(F.filter(F.array(*map(F.lit, sorted(set(edges)))), lambda e: e <= F.col("rank_value"))) if edges else F.lit(0)
+    banded = ranks.withColumn("band", band)
+    sizes = banded.groupBy("grp", "band").agg(F.count(F.lit(1)).alias("n"))
+    above = sizes.select("grp", "band", (F.sum("n").over(Window.partitionBy("grp").orderBy(F.desc("band"))) - F.col("n")).alias("above"))
+    own = F.row_number().over(Window.partitionBy("grp", "band").orderBy(F.desc("rank_value"), "id"))
+    out = banded.withColumn("own", own).join(above, ["grp", "band"])
+    return out.select("grp", "id", "rank_value", (F.col("above") + F.col("own")).cast("int").alias("place"))
 
 
 def best(rows: DataFrame, scores: list[Score], group_col: str, id_col: str = "id", only: DataFrame | None = None, **options) -> DataFrame:
     """grp, id of the first row of each group; one row of state per group, so no group is too large."""
-    out = ranked(rows, scores, group_col, id_col, only, **options).drop("place")
+    out = ranked(rows, scores, group_col, id_col, only, **options)
     first = out.groupBy("grp").agg(F.min(F.struct((-F.col("rank_value")).alias("v"), F.col("id"))).alias("m"))
     return first.select("grp", F.col("m.id").alias("id"))
