@@ -116,12 +116,24 @@ def test_near_duplicates_match_brute_force(spark, k, threshold):
     g = {i: grams(t, k) for i, t in zip(ids, docs) if t and grams(t, k)}
     want = {(a, b) for a, b in itertools.combinations(sorted(g), 2) if len(g[a] & g[b]) >= threshold * len(g[a] | g[b])}
     assert want and got == want
+    par = {i: i for i in g}
+
+    def find(x):
+        while par[x] != x:
+            x = par[x]
+        return x
+
+    for a, b in want:
+        x, y = sorted((find(a), find(b)))
+        par[y] = x
+    grouped = {r["id"]: r["group_id"] for r in NearDuplicates(df, "key", "text", threshold, k).groups().collect()}
+    assert grouped == {i: find(i) for i in g}
 
 
 def test_near_duplicate_groups(spark):
     t = " ".join(WORDS * 3)
     df = spark.createDataFrame([("a", t), ("b", t), ("c", t + " end"), ("d", "quite another text that stands alone"), ("e", None)], "id string, text string")
-    assert sorted(rows(NearDuplicates(df, "id", "text").groups())) == [("a", "a", 1), ("b", "a", 1), ("c", "a", 1), ("d", "d", 0)]
+    assert sorted(rows(NearDuplicates(df, "id", "text").groups())) == [("a", "a", 3), ("b", "a", 3), ("c", "a", 3), ("d", "d", 1)]
     assert rows(NearDuplicates(df.where("id > 'x'"), "id", "text").pairs()) == []
 
 

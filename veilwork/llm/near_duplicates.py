@@ -30,7 +30,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veilwork.llm.components import components
@@ -115,7 +115,7 @@ def _sets(words_per: int):
 
 
 class NearDuplicates:
-    """``members`` (id, rep, n) of each class of equal shingle sets, ``links`` (a, b, similarity) between classes."""
+    """``members`` (id, rep, n, cls) of each class of equal shingle sets, ``links`` between classes, ``groups``."""
 
     @by_value
     def __init__(self, docs: DataFrame, id_col: str, text_col: str, threshold: float = 0.8, words_per: int = 5, bands: int = 32, width: int = 4, near: float = 0.35):
@@ -141,15 +141,27 @@ class NearDuplicates:
         sets = join_sized(own, wanted, "id", "left_semi").mapInArrow(_sets(words_per), f"id {kind}, set array<long>")
         # an id with several texts has several sets: the class is told by its sums, as above
         self._sets = stage(sets.join(leads.select("id", "cls", "n"), "id").where(F.size("set") == F.col("n")).dropDuplicates(["id", "cls"]).select("cls", "set"))
-        checked = stage(self._similar(star, near))
-        strong = checked.where(F.col("similarity") >= threshold).select("a", "ca", "b", "cb", "similarity")
-        x = checked.select("ca", F.col("b").alias("a2"), F.col("cb").alias("c2"), F.col("nb").alias("n2"))
-        y = checked.select("ca", F.col("b").alias("b3"), F.col("cb").alias("c3"), F.col("nb").alias("n3"))
-        leaves = x.join(y, "ca").where("c2 < c3").where(F.least("n2", "n3") >= F.lit(threshold) * F.greatest("n2", "n3"))
-        leaves = leaves.select(F.col("a2").alias("a"), F.col("c2").alias("ca"), F.col("n2").alias("na"), F.col("b3").alias("b"), F.col("c3").alias("cb"), F.col("n3").alias("nb")).distinct()
-        done = star.select("ca", "cb").unionByName(star.select(F.col("cb").alias("ca"), F.col("ca").alias("cb")))
-        leaves = self._similar(leaves.join(done, ["ca", "cb"], "left_anti"), threshold).select("a", "ca", "b", "cb", "similarity")
-        self.links = stage(strong.unionByName(leaves))
+        self.threshold, self._star = threshold, star
+        self._near = stage(self._similar(star, near))
+        self._links: DataFrame | None = None
+
+    @property
+    def links(self) -> DataFrame:
+        """(a, ca, b, cb, similarity) of every two similar classes."""
+        if self._links is None:
+            strong = self._near.where(F.col("similarity") >= self.threshold).select("a", "ca", "b", "cb", "similarity")
+            self._links = stage(strong.unionByName(self._leaf_links(F.lit(True))))
+        return self._links
+
+    def _leaf_links(self, wanted: Column) -> DataFrame:
+        """Similar leaves of one centre; ``wanted`` may use their similarities to it, s2 and s3."""
+        near = self._near
+        x = near.select("ca", F.col("b").alias("b2"), F.col("cb").alias("c2"), F.col("nb").alias("n2"), F.col("similarity").alias("s2"))
+        y = near.select("ca", F.col("b").alias("b3"), F.col("cb").alias("c3"), F.col("nb").alias("n3"), F.col("similarity").alias("s3"))
+        both = x.join(y, "ca").where("c2 < c3").where(wanted & (F.least("n2", "n3") >= F.lit(self.threshold) * F.greatest("n2", "n3")))
+        both = both.select(F.col("b2").alias("a"), F.col("c2").alias("ca"), F.col("n2").alias("na"), F.col("b3").alias("b"), F.col("c3").alias("cb"), F.col("n3").alias("nb")).distinct()
+        done = self._star.select("ca", "cb").unionByName(self._star.select(F.col("cb").alias("ca"), F.col("ca").alias("cb")))
+        return self._similar(both.join(done, ["ca", "cb"], "left_anti"), self.threshold).select("a", "ca", "b", "cb", "similarity")
 
     def _similar(self, pairs: DataFrame, least: float) -> DataFrame:
         """The pairs whose shingle sets have a similarity of ``least`` or more."""
@@ -169,8 +181,13 @@ class NearDuplicates:
         return both.select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).distinct()
 
     def groups(self) -> DataFrame:
-        """(id, group_id, n_links): one row per record; links are counted between different texts of the group's classes."""
-        by = components(self.links.select(F.col("a"), F.col("b")).unionByName(self.members.select(F.col("rep").alias("a"), F.col("id").alias("b"))))
-        deg = self.links.select(F.col("ca").alias("cls")).unionByName(self.links.select(F.col("cb").alias("cls"))).groupBy("cls").agg(F.count(F.lit(1)).alias("n_links"))
-        out = self.members.join(deg, "cls", "left").groupBy("id").agg(F.coalesce(F.sum("n_links"), F.lit(0)).alias("n_links"))
-        return out.join(by, out["id"] == by["node"]).select("id", F.col("label").alias("group_id"), "n_links")
+        """(id, group_id, n_members): one row per record; group_id is the smallest id of its group.
+
+        Leaves that are both similar to their centre are in one group by it,
+        so only the other leaves are compared; a large group costs a star.
+        """
+        strong = self._near.where(F.col("similarity") >= self.threshold).select("a", "b")
+        rest = self._leaf_links((F.col("s2") < self.threshold) | (F.col("s3") < self.threshold)).select("a", "b")
+        by = stage(components(strong.unionByName(rest).unionByName(self.members.select(F.col("rep").alias("a"), F.col("id").alias("b")))))
+        size = by.groupBy("label").agg(F.count(F.lit(1)).alias("n_members"))
+        return by.join(size, "label").select(F.col("node").alias("id"), F.col("label").alias("group_id"), "n_members")
