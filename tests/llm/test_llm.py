@@ -344,6 +344,8 @@ def test_shared_spans_match_brute_force(spark):
     pairs, cover = shared_brute(docs, 60)
     assert set(rows(got.pairs())) == pairs
     assert {i: s for i, _, s in rows(got.coverage())} == cover
+    got.crowd = 1  # every anchor is crowded
+    assert {i: s for i, _, s in rows(got.coverage())} == cover
     none = SharedSpans(df.where("doc > 999"), "doc", "body", span=60, k=40)
     assert rows(none.pairs()) == [] and rows(none.coverage()) == []
 

@@ -123,10 +123,10 @@ def _factors(span: int):
 
 
 class SharedSpans:
-    """Classes of exact copies (``members``) and factors between their representatives (``factors``)."""
+    """Classes of exact copies (``members``), factors between their representatives (``factors``), pairs and coverage."""
 
     @by_value
-    def __init__(self, docs: DataFrame, id_col: str, text_col: str, span: int = 200, k: int = 128):
+    def __init__(self, docs: DataFrame, id_col: str, text_col: str, span: int = 200, k: int = 128, crowd: int = 64):
         kind = docs.schema[id_col].dataType.simpleString()
         own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("id IS NOT NULL").where(F.length("text") >= span)
         rows = own.select("id", "text", F.md5("text").alias("digest")).mapInArrow(
@@ -152,10 +152,43 @@ class SharedSpans:
                 F.expr(f"substring(text, x.at + 1, {span})").alias("right"),
             )
         )
-        a = self.blocks.select("h", *(F.col(c).alias(f"{c}_a") for c in ("id", "digest", "at", "left", "right")))
-        b = self.blocks.select("h", *(F.col(c).alias(f"{c}_b") for c in ("id", "digest", "at", "left", "right")))
+        self.kind, self.span, self.k, self.crowd = kind, span, k, crowd
+        self._factors: DataFrame | None = None
+
+    def _parsed(self, blocks: DataFrame) -> DataFrame:
+        """Factors of ``span`` or more between the documents of ``blocks``."""
+        a = blocks.select("h", *(F.col(c).alias(f"{c}_a") for c in ("id", "digest", "at", "left", "right")))
+        b = blocks.select("h", *(F.col(c).alias(f"{c}_b") for c in ("id", "digest", "at", "left", "right")))
         pairs = a.join(b, "h").where("digest_a < digest_b").select("id_a", "at_a", "left_a", "right_a", "id_b", "at_b", "left_b", "right_b")
-        self.factors = stage(pairs.mapInArrow(_factors(span), f"id_a {kind}, id_b {kind}, start_a int, start_b int, n int"))
+        return stage(pairs.mapInArrow(_factors(self.span), f"id_a {self.kind}, id_b {self.kind}, start_a int, start_b int, n int"))
+
+    @property
+    def factors(self) -> DataFrame:
+        """(id_a, id_b, start_a, start_b, n) between class representatives."""
+        if self._factors is None:
+            self._factors = self._parsed(self.blocks)
+        return self._factors
+
+    def _stretches(self) -> DataFrame:
+        """(rep, s, e) of stretches that stand in another text too.
+
+        For an anchor that more than ``crowd`` texts hold, a document is not
+        factored against each of them: its windows around the anchor are
+        hashed, and those that another text has too are its stretches.
+        """
+        crowded = stage(self.blocks.groupBy("h").agg(F.count_distinct("digest").alias("c")).where(F.col("c") > self.crowd).select("h"))
+        f = self._parsed(join_sized(self.blocks, crowded, "h", "left_anti"))
+        own = f.select(F.col("id_a").alias("rep"), F.col("start_a").alias("s"), "n").unionByName(f.select(F.col("id_b").alias("rep"), F.col("start_b").alias("s"), "n"))
+        own = own.select("rep", "s", (F.col("s") + F.col("n")).alias("e"))
+        held = join_sized(self.blocks, crowded, "h", "left_semi")
+        room = F.length("left")
+        back = F.sequence(F.lit(0), room)
+        x = held.select("id", "digest", "h", "at", room.alias("room"), F.concat("left", "right").alias("t"), F.explode(back).alias("o"))
+        x = x.where(F.col("room") - F.col("o") + self.span <= F.length("t"))
+        x = x.select("id", "digest", "h", "o", (F.col("at") - F.col("o")).alias("s"), F.md5(F.substring(F.col("t"), F.col("room") - F.col("o") + 1, F.lit(self.span))).alias("w"))
+        met = x.groupBy("h", "o", "w").agg(F.min("digest").alias("u"), F.max("digest").alias("v")).where("u <> v").select("h", "o", "w")
+        near = x.join(met, ["h", "o", "w"], "left_semi").select(F.col("id").alias("rep"), "s", (F.col("s") + self.span).alias("e"))
+        return own.unionByName(near).distinct()
 
     def pairs(self) -> DataFrame:
         """(a, b), a < b: every two documents that share a span, copies included."""
@@ -168,9 +201,7 @@ class SharedSpans:
 
     def passages(self) -> DataFrame:
         """(id, start, end): maximal stretches of a document that also stand in another one."""
-        f = self.factors
-        own = f.select(F.col("id_a").alias("rep"), F.col("start_a").alias("s"), "n").unionByName(f.select(F.col("id_b").alias("rep"), F.col("start_b").alias("s"), "n"))
-        own = own.select("rep", "s", (F.col("s") + F.col("n")).alias("e")).distinct()
+        own = self._stretches()
         own = self.members.select("id", "rep").distinct().join(own, "rep").select("id", "s", "e")
         copied = self.members.groupBy("rep").agg(F.count_distinct("id").alias("c"), F.max("n").alias("n")).where("c > 1").select("rep", "n")
         whole = self.members.select("id", "rep").join(copied, "rep").select("id", F.lit(0).alias("s"), F.col("n").alias("e"))
