@@ -67,12 +67,14 @@ def assign_splits(
     conversation_col: str = "conversation_id",
     label_col: str = "merged_type",
     large_share: int = 500,
+    steering_labels: int = 1000,
     seed: int = 7,
 ) -> DataFrame:
     """(id, group, split), one row per id.
 
     A group is large if it holds more than one in ``large_share`` of the rows,
-    so at most ``large_share`` groups are assigned on the driver.
+    so at most ``large_share`` groups are assigned on the driver, by the
+    counts of the ``steering_labels`` most frequent labels.
     """
     proportions = proportions or {"train": 0.8, "validation": 0.1, "test": 0.1}
     names, whole = list(proportions), sum(proportions.values())
@@ -91,8 +93,9 @@ def assign_splits(
     )
     total = sizes.agg(F.sum("n")).first()[0] or 0
     large = sizes.where(F.col("n") > F.lit(total / large_share)).orderBy(F.desc("n"), "grp").collect()
-    labels = own.join(F.broadcast(sizes.where(F.col("n") > F.lit(total / large_share)).select("grp")), "grp").groupBy("grp", "label_of").count().collect() if large else []
-    overall = {r["label_of"]: r["n"] for r in own.groupBy("label_of").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "label_of").limit(1000).collect()}
+    overall = {r["label_of"]: r["n"] for r in own.groupBy("label_of").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "label_of").limit(steering_labels).collect()}
+    chosen_groups = F.broadcast(sizes.where(F.col("n") > F.lit(total / large_share)).select("grp"))
+    labels = own.where(F.col("label_of").isin(list(overall))).join(chosen_groups, "grp").groupBy("grp", "label_of").count().collect() if large else []
     mix: dict[str, dict[str, int]] = {}
     for r in labels:
         mix.setdefault(r["grp"], {})[r["label_of"]] = r["count"]
@@ -102,12 +105,12 @@ def assign_splits(
         def cost(k: int) -> float:
             """Squared miss of size and label counts in units of the split's share, were the group put into split k."""
             miss = max(0.0, filled[k] + r["n"] - target[k] * total) / (target[k] * total)
-            skew = sum(((have[k].get(x, 0) + n) / (target[k] * max(1, overall.get(x, n))) - 1) for x, n in mix[r["grp"]].items() if x in overall)
-            return 1000 * miss + skew / max(1, len(mix[r["grp"]]))
+            skew = sum(((have[k].get(x, 0) + n) / (target[k] * max(1, overall.get(x, n))) - 1) for x, n in mix.get(r["grp"], {}).items())
+            return 1000 * miss + skew / max(1, len(mix.get(r["grp"], {})))
 
         k = min(range(len(names)), key=lambda k: (cost(k), k))
         filled[k] += r["n"]
-        for x, n in mix[r["grp"]].items():
+        for x, n in mix.get(r["grp"], {}).items():
             have[k][x] = have[k].get(x, 0) + n
         chosen.append((r["grp"], names[k]))
     rest = [max(0.0, target[k] * total - filled[k]) for k in range(len(names))]
