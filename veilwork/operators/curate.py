@@ -183,6 +183,8 @@ def train_acceptor(labelled: DataFrame, trees: int = 50, depth: int = 6, seed: i
 
     rows = labelled.select("id", "label", *(F.coalesce(F.nanvl(F.col(c).cast("double"), F.lit(0.0)), F.lit(0.0)).alias(c) for c in FEATURES))
     held = F.pmod(F.xxhash64("id"), F.lit(5)) == 0
+    if rows.where(~held).isEmpty():
+        raise ValueError("there are no labelled rows to train on")
     model = Pipeline(stages=[VectorAssembler(inputCols=FEATURES, outputCol="features"), RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed)]).fit(rows.where(~held))
     p = model.transform(rows.where(held))
     m = p.agg(F.count_if((F.col("prediction") == 1) & (F.col("label") == 1)).alias("tp"), F.count_if((F.col("prediction") == 1) & (F.col("label") == 0)).alias("fp"), F.count_if((F.col("prediction") == 0) & (F.col("label") == 1)).alias("fn"))

@@ -79,6 +79,8 @@ def reinjected(spark, sf_dir):
 def acceptor_metrics(spark, sf_dir):
     s = table(spark, sf_dir, "span_signals").where("ground_truth_type IS NOT NULL")
     labelled = s.select("id", *L.FEATURES, (F.upper("merged_type") == F.upper("ground_truth_type")).cast("int").alias("label")).where("label IS NOT NULL").distinct()
+    if labelled.isEmpty():
+        return spark.createDataFrame([], "tp long, fp long, fn long")
     return L.train_acceptor(labelled, trees=20)[1]
 
 
