@@ -147,6 +147,22 @@ def test_large_bucket_loses_no_pair(spark):
     assert NearDuplicates(df, "id", "text").pairs().count() == want > 1000
 
 
+@pytest.mark.parametrize("size", [70, 80])
+def test_leaves_far_from_their_centre_are_compared(spark, size):
+    # all longer texts quote the pair; they have the smaller ids, so they are the centres of its buckets
+    rng = random.Random(4)
+    word = lambda: f"w{rng.randrange(10**6)}"
+    short = [word() for _ in range(26)]
+    docs = [" ".join([word() for _ in range(size - 24)] + short) for _ in range(120)]
+    docs += [" ".join(short), " ".join([*short[:-1], "other"]), " ".join(["other", *short[1:]])]
+    df = spark.createDataFrame([(f"d{n:03d}", t) for n, t in enumerate(docs)], "id string, text string")
+    g = {n: grams(docs[n], 3) for n in (120, 121, 122)}
+    want = {(f"d{a}", f"d{b}") for a, b in itertools.combinations(g, 2) if len(g[a] & g[b]) >= 0.7 * len(g[a] | g[b])}
+    near = NearDuplicates(df, "id", "text", 0.7, 3, bands=8, width=1)
+    assert len(want) >= 2 and set(rows(near.pairs())) == want
+    assert {r["id"] for r in near.groups().where("n_members > 1").collect()} == {f"d{n}" for n in g}
+
+
 def test_densification_fills_every_bin():
     d, s = np.array([0, 0, 1]), np.sort(np.array([5, 1 << 60, 1 << 62], np.uint64))
     sketch = __import__("veilwork.llm.near_duplicates", fromlist=["x"]).densified(d, s, 3, 128)

@@ -5,10 +5,15 @@ top bits choose one of ``bins`` bins, whose smallest hash is kept.  Empty bins
 borrow from full ones by optimal densification (bin and attempt, hashed, name
 the lender).  The bins are cut into bands; texts that agree in a whole band
 fall into one bucket.  A bucket is a star: every member is a candidate of the
-bucket's smallest member only, so a bucket of m members gives m - 1 edges.
-Star edges are checked exactly; two leaves that are both near their centre are
-candidates of one another and checked exactly too, so that no link between
-leaves is lost.
+bucket's smallest member, so a bucket of m members gives m - 1 edges, which are
+checked exactly.  Members that are near a centre are done with that bucket; the
+others stay and form stars around the next smallest of them, round by round
+with eight times as many centres, until each has a near centre or is alone.
+
+No link between leaves is lost: the distance 1 - similarity obeys the triangle
+inequality, so when a leaf is done by its centre, each leaf that is similar to
+it is at most 1 - threshold further from that centre.  Leaves up to there are
+candidates of the near ones and checked exactly too.
 
 Texts with equal shingle sets are one class, whose smallest id stands for it.
 
@@ -30,7 +35,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veilwork.llm.components import components
@@ -132,19 +137,37 @@ class NearDuplicates:
         # only buckets of two or more texts matter; to find them the band alone is shuffled
         shared = stage(held.groupBy("band").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("band"))
         inside = stage(join_sized(held, shared, "band", "left_semi"))
-        centre = inside.groupBy("band").agg(F.min(F.struct("id", "cls", "n")).alias("m"))
-        star = inside.join(centre, "band").where("cls <> m.cls")
-        star = star.select(F.col("m.id").alias("a"), F.col("m.cls").alias("ca"), F.col("m.n").alias("na"), F.col("id").alias("b"), F.col("cls").alias("cb"), F.col("n").alias("nb"))
-        # a smaller set is at most its share of the larger one
-        star = stage(star.where(F.least("na", "nb") >= F.lit(near) * F.greatest("na", "nb")).distinct())
-        wanted = stage(star.select(F.col("a").alias("id")).unionByName(star.select(F.col("b").alias("id"))).distinct())
+        wanted = stage(inside.select("id").distinct())
         sets = join_sized(own, wanted, "id", "left_semi").mapInArrow(_sets(words_per), f"id {kind}, set array<long>")
         # an id with several texts has several sets: the class is told by its sums, as above
         self._sets = stage(sets.join(leads.select("id", "cls", "n"), "id").where(F.size("set") == F.col("n")).dropDuplicates(["id", "cls"]).select("cls", "set"))
-        self.threshold, self._star = threshold, star
-        self._near = stage(self._similar(star, near))
+        self.threshold, self.near = threshold, near
+        self._star, self._reached = self._stars(inside)
+        self._near = self._reached.where(F.col("similarity") >= min(near, threshold))
         self._links: DataFrame | None = None
 
+    def _stars(self, inside: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """The star edges of all rounds, and those of them that reach as far as a leaf similar to a near one."""
+        # what is similar to a near leaf has at least this share of the centre's size, and this similarity to it
+        least, reach = self.near * self.threshold - 1e-9, max(self.near + self.threshold - 1, 0.0) - 1e-9
+        star = reached = None
+        centres = 1
+        while star is None or not inside.isEmpty():
+            place = F.row_number().over(Window.partitionBy("band").orderBy("id", "cls"))
+            heads = inside.withColumn("place", place).where(F.col("place") <= centres).select("band", F.struct("id", "cls").alias("m"), F.col("n").alias("na"))
+            held = inside.join(heads, "band").where(F.struct("id", "cls") > F.col("m"))
+            held = held.select("band", F.col("m.id").alias("a"), F.col("m.cls").alias("ca"), "na", F.col("id").alias("b"), F.col("cls").alias("cb"), F.col("n").alias("nb"))
+            held = stage(held.where(F.least("na", "nb") >= least * F.greatest("na", "nb")))
+            new = held.drop("band").distinct()
+            new = stage(new if star is None else new.join(star, ["ca", "cb"], "left_anti").select(star.columns))
+            similar = stage(self._similar(new, reach))
+            star, reached = (new, similar) if star is None else (star.unionByName(new), reached.unionByName(similar))
+            ended = held.join(reached.where(F.col("similarity") >= self.near).select("ca", "cb"), ["ca", "cb"]).select("band", F.col("cb").alias("cls"))
+            left = inside.join(heads.select("band", F.col("m.cls").alias("cls")).unionByName(ended), ["band", "cls"], "left_anti")
+            inside = stage(left.withColumn("c", F.count(F.lit(1)).over(Window.partitionBy("band"))).where("c > 1").select(inside.columns))
+            centres *= 8
+        return star, reached
+
     @property
     def links(self) -> DataFrame:
         """(a, ca, b, cb, similarity) of every two similar classes."""
@@ -155,11 +178,12 @@ class NearDuplicates:
 
     def _leaf_links(self, wanted: Column) -> DataFrame:
         """Similar leaves of one centre; ``wanted`` may use their similarities to it, s2 and s3."""
-        near = self._near
-        x = near.select("ca", F.col("b").alias("b2"), F.col("cb").alias("c2"), F.col("nb").alias("n2"), F.col("similarity").alias("s2"))
-        y = near.select("ca", F.col("b").alias("b3"), F.col("cb").alias("c3"), F.col("nb").alias("n3"), F.col("similarity").alias("s3"))
-        both = x.join(y, "ca").where("c2 < c3").where(wanted & (F.least("n2", "n3") >= F.lit(self.threshold) * F.greatest("n2", "n3")))
-        both = both.select(F.col("b2").alias("a"), F.col("c2").alias("ca"), F.col("n2").alias("na"), F.col("b3").alias("b"), F.col("c3").alias("cb"), F.col("n3").alias("nb")).distinct()
+        x, y = (d.select("ca", F.struct(F.col("cb").alias("c"), F.col("b").alias("id"), F.col("nb").alias("n")).alias(f"l{k}"), F.col("similarity").alias(f"s{k}")) for k, d in ((2, self._near), (3, self._reached)))
+        both = x.join(y, "ca").where((F.col("l2.c") < F.col("l3.c")) | (F.col("s3") < min(self.near, self.threshold)))
+        # no two similar leaves differ by more than 1 - threshold in their similarity to a third
+        both = both.where(wanted & (F.abs(F.col("s2") - F.col("s3")) <= 1 - self.threshold + 1e-9) & (F.least("l2.n", "l3.n") >= F.lit(self.threshold) * F.greatest("l2.n", "l3.n")))
+        both = both.select(F.least("l2", "l3").alias("p"), F.greatest("l2", "l3").alias("q"))
+        both = both.select(F.col("p.id").alias("a"), F.col("p.c").alias("ca"), F.col("p.n").alias("na"), F.col("q.id").alias("b"), F.col("q.c").alias("cb"), F.col("q.n").alias("nb")).distinct()
         done = self._star.select("ca", "cb").unionByName(self._star.select(F.col("cb").alias("ca"), F.col("ca").alias("cb")))
         return self._similar(both.join(done, ["ca", "cb"], "left_anti"), self.threshold).select("a", "ca", "b", "cb", "similarity")
 
