@@ -89,6 +89,14 @@ def test_pii_without_names(spark):
     assert rows(s.found(df, "id", "t")) == [(1, 5, 16, "EMAIL")]
 
 
+def test_rare_frames_count_in_a_large_corpus(spark):
+    texts = [(f"Matron {g} came in.",) for g in ("Dana", "Nils")] * 10 + [("please mark the left knee again.",)] * 90 + [("Mark the left knee.",)] + [("Ward " * 25_000,)] * 100
+    texts, names = spark.createDataFrame(texts, "t string"), spark.createDataFrame(NAMES, "term string, category string")
+    d = pii.Disclosure(texts, "t", names)
+    for s in (pii.Sanitiser(d), pii.Sanitiser(d, broadcast_frames=0), pii.Sanitiser(d, broadcast_terms=0, broadcast_frames=0)):
+        assert found(spark, s, "Matron Mark came in.", "nothing") == [[("Mark", "NAME")], []]
+
+
 # ---- near duplicates ----
 def grams(t, k):
     w = [x for x in t.lower().replace("\t", " ").replace("\r", " ").replace("\n", " ").split(" ") if x]

@@ -17,8 +17,8 @@ whole corpus, by co-occurrence:
 
 Every mention is replaced by a placeholder of its type; all else is kept.
 
-The tables of terms and frames are bounded by the vocabulary; they are
-broadcast after a check of their size.  Beyond it the terms are joined to the
+The tables of terms and frames grow with the vocabulary; they are broadcast
+after a check of their size.  Beyond it the terms, or frames, are joined to the
 texts that hold them.
 
 Defined results
@@ -109,7 +109,7 @@ class Disclosure:
     evidence for it.
     """
 
-    def __init__(self, texts: DataFrame, text_col: str, names: DataFrame, threshold: float = 0.45, support: int = 3, rounds: int = 2, most_frames: int = 100_000):
+    def __init__(self, texts: DataFrame, text_col: str, names: DataFrame, threshold: float = 0.45, support: int = 3, rounds: int = 2):
         counted = texts.select(F.col(text_col).alias("t")).where("t IS NOT NULL").mapInArrow(_count, "what string, frame string, word string, n long")
         table = stage(counted.groupBy("what", "frame", "word").agg(F.sum("n").alias("n")))
         listed = names.select(F.lower("term").alias("word"), F.upper("category").alias("category")).where("category IN ('GIVEN_NAME', 'SURNAME')")
@@ -134,11 +134,9 @@ class Disclosure:
             over = (F.col("bits") >= F.lit(-threshold * math.log2(prior))) & (F.col("total") >= support)
             known = stage(scored.withColumn("name", ~F.col("common") & (F.col("category").isNotNull() | over)))
         self.prior = prior
-        # names are no frames here (a mention beside a name is found by its neighbour); what is rarer than one in
-        # ``most_frames`` is left out, so there can be at most so many
+        # names are no frames here (a mention beside a name is found by its neighbour)
         cues = shares.join(known.where("name").select(F.col("word").alias("frame")), "frame", "left_anti")
-        least = max(4 * support, (sums["of"] or 0) // most_frames)
-        self.frames = cues.select("frame", "of", (F.col("hits") / (F.col("of") + 2)).alias("share")).where((F.col("of") >= least) & (F.col("share") >= 0.6)).select("frame", "share")
+        self.frames = stage(cues.select("frame", "of", (F.col("hits") / (F.col("of") + 2)).alias("share")).where((F.col("of") >= 4 * support) & (F.col("share") >= 0.6)).select("frame", "share"))
         # a surname is what often stands behind a name
         forenames = known.where("name").select(F.col("word").alias("frame"))
         behind = pairs.join(forenames, "frame").groupBy("word").agg(F.sum("n").alias("behind"))
@@ -349,11 +347,26 @@ def find(text: str, vocab, frames, towns) -> list[tuple[int, int, str]]:
 
 
 def _unpack(b, fixed):
-    """The vocabulary of each row: the broadcast one, or the row's own terms."""
+    """The vocabulary of each row: the broadcast one, or the row's own terms and frames."""
     terms, frames, towns = fixed.value
-    if b.num_columns == 2:
-        return [(kept(("vocabulary", id(terms)), lambda: (vocabulary(terms), terms))[0], frames, towns)] * b.num_rows
-    return [(vocabulary({x["term"]: (x["role"], x["common"]) for x in own or [] if x["role"] != "T"}), frames, {x["term"] for x in own or [] if x["role"] == "T"}) for own in b.column(2).to_pylist()]
+    names = b.schema.names
+    cues = [{x["frame"]: x["share"] for x in own or []} for own in b.column("cues").to_pylist()] if "cues" in names else [frames] * b.num_rows
+    if "own" not in names:
+        vocab = kept(("vocabulary", id(terms)), lambda: (vocabulary(terms), terms))[0]
+        return [(vocab, c, towns) for c in cues]
+    return [(vocabulary({x["term"]: (x["role"], x["common"]) for x in own or [] if x["role"] != "T"}), c, {x["term"] for x in own or [] if x["role"] == "T"}) for own, c in zip(b.column("own").to_pylist(), cues, strict=True)]
+
+
+def _frames_of(batches):
+    """(key, text) -> (key, frame) of every word."""
+    for b in batches:
+        keys, frames = [], []
+        for key, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            low = lowered(text)
+            mine = {frame(text, s) for m in _LETTERS.finditer(low) for s in range(*m.span()) if s == m.start() or not low[s - 1].isalpha()}
+            keys += [key] * len(mine)
+            frames += mine
+        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(frames, pa.string())], ["_key", "frame"])
 
 
 def _find_rows(fixed):
@@ -389,27 +402,36 @@ class Sanitiser:
     """Finds and replaces personal information with the vocabulary of a corpus."""
 
     @by_value
-    def __init__(self, disclosure: Disclosure, broadcast_terms: int = 300_000):
+    def __init__(self, disclosure: Disclosure, broadcast_terms: int = 300_000, broadcast_frames: int = 100_000):
         spark = disclosure.terms.sparkSession
         self.disclosure = disclosure
-        frames = {r["frame"]: r["share"] for r in disclosure.frames.collect()}  # at most ``most_frames``
         self.joined = disclosure.terms.count() + disclosure.towns.count() > broadcast_terms
-        terms, towns = {}, set()
+        self.joined_frames = disclosure.frames.count() > broadcast_frames
+        terms, frames, towns = {}, {}, set()
         if not self.joined:
             terms = {r["term"]: (r["role"], r["common"]) for r in disclosure.terms.collect()}
             towns = {r["term"] for r in disclosure.towns.collect()}
+        if not self.joined_frames:
+            frames = {r["frame"]: r["share"] for r in disclosure.frames.collect()}
         self.fixed = spark.sparkContext.broadcast((terms, frames, towns))
 
+    @by_value
     def _with_terms(self, rows: DataFrame) -> DataFrame:
-        """The rows; with too large a vocabulary, also the terms that each text holds."""
-        if not self.joined:
+        """The rows; with too large a vocabulary, also the terms (``own``) or frames (``cues``) that each text holds."""
+        if not self.joined and not self.joined_frames:
             return rows
-        d = self.disclosure
-        every = d.terms.select("term", "role", "common").unionByName(d.towns.select("term", F.lit("T").alias("role"), F.lit(False).alias("common")))
-        keyed = rows.withColumn("_key", F.md5("text"))
-        words = keyed.select("_key", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0)))).alias("term")).distinct()
-        own = words.join(every, "term").groupBy("_key").agg(F.collect_list(F.struct("term", "role", "common")).alias("own"))
-        return keyed.join(own, "_key", "left").select("id", "text", "own")
+        d, out = self.disclosure, rows.withColumn("_key", F.md5("text"))
+        keyed = out
+        if self.joined:
+            every = d.terms.select("term", "role", "common").unionByName(d.towns.select("term", F.lit("T").alias("role"), F.lit(False).alias("common")))
+            words = keyed.select("_key", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0)))).alias("term")).distinct()
+            own = words.join(every, "term").groupBy("_key").agg(F.collect_list(F.struct("term", "role", "common")).alias("own"))
+            out = out.join(own, "_key", "left")
+        if self.joined_frames:
+            held = keyed.where("text IS NOT NULL").select("_key", "text").mapInArrow(_frames_of, "_key string, frame string").distinct()
+            cues = held.join(d.frames, "frame").groupBy("_key").agg(F.collect_list(F.struct("frame", "share")).alias("cues"))
+            out = out.join(cues, "_key", "left")
+        return out.drop("_key")
 
     @by_value
     def found(self, df: DataFrame, id_col: str, text_col: str) -> DataFrame:
