@@ -149,3 +149,13 @@ def test_position_repair_and_validity(spark):
 def test_rule_suggestions(spark):
     df = spark.createDataFrame([("rejected", "Ward A"), ("rejected", "ward a "), ("rejected", "once"), ("confirmed", "x"), ("rejected", None)], "decision string, entity_text string")
     assert [tuple(r) for r in D.suggest_rules(df).collect()] == [("ward a", 2, r"\bward a\b")]
+
+
+def test_messages_get_every_rule(spark, tmp_path):
+    from veilwork.plans.registry import queries
+
+    text = "Card 4111 1111 1111 1111, see https://example.org/a or mail dana@example.org"
+    spark.createDataFrame([("m1", text), ("m2", None)], "id string, content string").write.parquet(f"{tmp_path}/messages.parquet")
+    got = queries()["message_spans"](spark, str(tmp_path)).collect()
+    assert {"https://example.org/a", "dana@example.org"} <= {r["text"] for r in got} and any(r["text"].startswith("4111") for r in got)
+    assert sorted(queries()["streamed_spans"](spark, str(tmp_path)).collect()) == sorted(got)

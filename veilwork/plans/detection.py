@@ -21,6 +21,12 @@ def detect_messages(spark, sf_dir):
     return hits.select(F.col("id").alias("message_id"), "rule", "entity_type", "start", "end", "text", "confidence")
 
 
+def message_spans(spark, sf_dir):
+    """Every rule on messages; ``detect_messages`` has six kinds of it."""
+    hits = D.detect(table(spark, sf_dir, "messages").select("id", "content").distinct(), "id", "content")
+    return hits.withColumnRenamed("id", "message_id")
+
+
 def rule_hits(spark, sf_dir):
     return D.hits_by_rule(D.detect(table(spark, sf_dir, "documents"), "doc_id", "text"))
 
@@ -131,6 +137,7 @@ def queries():
     return {
         "detect_spans": detect_spans,
         "detect_messages": detect_messages,
+        "message_spans": message_spans,
         "rule_hits": rule_hits,
         "checksum_spans": checksum_spans,
         "secret_spans": secret_spans,

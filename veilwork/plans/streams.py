@@ -11,13 +11,21 @@ from veilwork.runtime import shared_dir, table
 from veilwork.streaming import detection as W
 
 
-def streamed_emails(spark, sf_dir):
-    """The e-mail spans of messages, by a file stream."""
+def _streamed(spark, sf_dir, rules=None):
     base = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
     table(spark, sf_dir, "messages").select("id", "content").distinct().write.parquet(f"{base}/in")
-    rules = D.Catalog([r for r in D.RULES if r.name == "email"])
     W.detect_stream(W.read_texts(spark, f"{base}/in", "id string, content string"), "id", "content", f"{base}/out", f"{base}/state", rules).awaitTermination()
-    return spark.read.parquet(f"{base}/out").select(F.col("id").alias("message_id"), "start", "end", "text")
+    return spark.read.parquet(f"{base}/out").withColumnRenamed("id", "message_id")
+
+
+def streamed_emails(spark, sf_dir):
+    """The e-mail spans of messages, by a file stream."""
+    return _streamed(spark, sf_dir, D.Catalog([r for r in D.RULES if r.name == "email"])).select("message_id", "start", "end", "text")
+
+
+def streamed_spans(spark, sf_dir):
+    """The spans of every rule in messages, by a file stream."""
+    return _streamed(spark, sf_dir)
 
 
 def hourly_counts(spark, sf_dir):
@@ -27,7 +35,7 @@ def hourly_counts(spark, sf_dir):
 
 
 def queries():
-    return {f.__name__: f for f in (streamed_emails, hourly_counts)}
+    return {f.__name__: f for f in (streamed_emails, streamed_spans, hourly_counts)}
 
 
 def oracle_sql():
