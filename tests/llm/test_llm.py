@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from veilwork.llm import consensus, encoding, packing, pii, queries, ranking, rolling, splits
+from veilwork.llm import consensus, encoding, packing, pii, queries, ranking, rolling, shared_spans, splits
 from veilwork.llm.components import components
 from veilwork.llm.near_duplicates import NearDuplicates
 from veilwork.llm.shared_spans import SharedSpans
@@ -347,10 +347,8 @@ def shared_brute(docs, span):
     pairs = {(a, b) for a, b in itertools.combinations(sorted(grams_), 2) if grams_[a] & grams_[b]}
     cover = {}
     for i, t in docs.items():
-        if not t or len(t) < span:
-            continue
-        hit = np.zeros(len(t), bool)
-        for k in range(len(t) - span + 1):
+        hit = np.zeros(len(t or ""), bool)
+        for k in range(len(hit) - span + 1):
             if any(t[k : k + span] in g for j, g in grams_.items() if j != i):
                 hit[k : k + span] = True
         cover[i] = int(hit.sum())
@@ -362,18 +360,47 @@ def test_shared_spans_match_brute_force(spark):
     text = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
     parts = [text(n) for n in (59, 60, 61, 90, 200)]
     docs = {i: "".join(rng.choice([text(rng.randrange(5, 80)), rng.choice(parts), "é😀"]) for _ in range(6)) for i in range(30)}
-    docs |= {100: None, 101: "", 102: docs[3], 103: "a" * 400, 104: "b" + "a" * 300 + parts[4], 105: "ab" * 150, 106: "x" + "ab" * 40, 107: text(20), 108: docs[3]}
+    docs |= {100: None, 101: "", 102: docs[3], 103: "a" * 400, 104: "b" + "a" * 300 + parts[4], 105: "ab" * 150, 106: "x" + "ab" * 40, 107: text(20), 108: docs[3], 109: "ab" * 90 + parts[3], 110: "ab" * 70 + parts[3]}
     df = spark.createDataFrame([(i, t, "x") for i, t in docs.items()] + [(0, docs[0], "y")], "doc long, body string, id string")
-    got = SharedSpans(df, "doc", "body", span=60, k=40)
     pairs, cover = shared_brute(docs, 60)
-    assert set(rows(got.pairs())) == pairs
-    assert {i: s for i, _, s in rows(got.coverage())} == cover
-    got.crowd = 1  # every anchor is crowded
-    assert {i: s for i, _, s in rows(got.coverage())} == cover
+    for options in ({}, {"block_docs": 1}, {"block_docs": 2, "block_chars": 500}):
+        got = SharedSpans(df, "doc", "body", span=60, k=40, **options)
+        assert set(rows(got.pairs())) == pairs
+        assert {i: s for i, _, s in rows(got.coverage())} == cover
+    for i, r, s, p, n in rows(got.factor_list()):
+        assert n >= 60 and docs[i][s : s + n] == docs[r][p : p + n]
     none = SharedSpans(df.where("doc > 999"), "doc", "body", span=60, k=40)
     assert rows(none.pairs()) == [] and rows(none.coverage()) == []
 
 
+def test_parse_loses_no_stretch():
+    rng = random.Random(3)
+    for _ in range(300):
+        alphabet = rng.choice(["ab", "abcd", "abcdefghijkl"])
+        text = lambda n: "".join(rng.choice(alphabet) for _ in range(n))  # noqa: B023, E731
+        parts = [text(rng.randrange(4, 30)) for _ in range(4)] + ["ab" * 12]
+        a, b = ("".join(rng.choice([*parts, text(3)]) for _ in range(8)) for _ in range(2))
+        span, k = 12, 6
+        got = shared_spans.parse(a, rolling.gram_hashes(np.frombuffer(a.encode("utf-32-le"), np.uint32), k), shared_spans.Reference(b, k), span)
+        hit, want = np.zeros(len(a), bool), np.zeros(len(a), bool)
+        for s, p, n in got:
+            assert n >= span and a[s : s + n] == b[p : p + n]
+            hit[s : s + n] = True
+        for s in range(len(a) - span + 1):
+            if a[s : s + span] in b:
+                want[s : s + span] = True
+        assert (hit == want).all()
+
+
+def test_a_footer_of_many_texts_costs_blocks_not_pairs(spark):
+    footer = "".join(random.Random(1).choice("abcdefgh ") for _ in range(260))
+    df = spark.range(600).selectExpr("id", f"concat(repeat(sha(cast(id as string)), 3), '{footer}') AS t")
+    s = SharedSpans(df, "id", "t", block_docs=32)
+    assert s.pairs().count() == 600 * 599 // 2
+    assert s.factors.count() < 5 * 600  # some share a character before the footer too
+    assert min(r["shared_chars"] for r in s.coverage().collect()) == 260
+
+
 def test_rolling_hash_is_positionless():
     codes = np.array([5, 7, 9, 5, 7, 9, 1], np.uint32)
     h = rolling.gram_hashes(codes, 3)

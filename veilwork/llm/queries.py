@@ -115,6 +115,11 @@ def p9_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p9_spans(spark, sf_dir).coverage().withColumnRenamed("id", "doc_id")
 
 
+def p9_factors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The factor list of each document: where it and a reference document have 200 code points or more in common."""
+    return p9_spans(spark, sf_dir).factor_list().withColumnsRenamed({"id": "doc_id", "ref_id": "ref_doc_id"})
+
+
 def queries():
-    names = "p1_found p1_redacted p2_found p2_groups p3_found p3_consensus p3_reliability p3_agreement p4_found p4_ranking p5_found p5_splits p7_ids p8_packing p8_fill p9_found p9_coverage"
+    names = "p1_found p1_redacted p2_found p2_groups p3_found p3_consensus p3_reliability p3_agreement p4_found p4_ranking p5_found p5_splits p7_ids p8_packing p8_fill p9_found p9_coverage p9_factors"
     return {n: globals()[n] for n in names.split()}

@@ -27,6 +27,22 @@ def gram_hashes(codes: np.ndarray, k: int) -> np.ndarray:
     return mix((total[k:] - total[:-k]) * down)
 
 
+class Prefixes:
+    """Hashes of any stretch of one text, many at a time."""
+
+    def __init__(self, codes: np.ndarray):
+        n = len(codes)
+        up = np.cumprod(np.concatenate([[np.uint64(1)], np.full(n, _BASE)]))
+        self.total = np.concatenate([[np.uint64(0)], np.cumsum(codes.astype(np.uint64) * up[:n])])
+        self.down = np.cumprod(np.concatenate([[np.uint64(1)], np.full(n, _INVERSE)]))
+
+    def __len__(self) -> int:
+        return len(self.total) - 1
+
+    def of(self, start: np.ndarray, n: np.ndarray) -> np.ndarray:
+        return (self.total[start + n] - self.total[start]) * self.down[start]
+
+
 def anchors(codes: np.ndarray, ends: np.ndarray, span: int, k: int) -> tuple[np.ndarray, np.ndarray]:
     """(position, hash) of the anchors of texts laid end to end; ``ends`` holds each text's end.
 

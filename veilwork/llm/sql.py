@@ -34,5 +34,5 @@ def oracle_sql() -> dict[str, str]:
         "p4_found": _first_spans(),
         "p5_found": _SPLITS,
         "p9_found": f"{_SHARED} SELECT DISTINCT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM (SELECT DISTINCT doc_id, h FROM s) a JOIN (SELECT DISTINCT doc_id, h FROM s) b ON a.h = b.h AND a.doc_id < b.doc_id",
-        "p9_coverage": f"{_SHARED} SELECT d.doc_id, CAST(length(text) AS INT) AS n_chars, coalesce(c, 0) AS shared_chars FROM documents d LEFT JOIN (SELECT doc_id, CAST(sum(n) AS BIGINT) AS c FROM (SELECT doc_id, least(200, coalesce(lead(p) OVER (PARTITION BY doc_id ORDER BY p) - p, 200)) AS n FROM s) GROUP BY doc_id) x ON x.doc_id = d.doc_id WHERE length(text) >= 200",
+        "p9_coverage": f"{_SHARED} SELECT d.doc_id, CAST(coalesce(length(text), 0) AS INT) AS n_chars, coalesce(c, 0) AS shared_chars FROM documents d LEFT JOIN (SELECT doc_id, CAST(sum(n) AS BIGINT) AS c FROM (SELECT doc_id, least(200, coalesce(lead(p) OVER (PARTITION BY doc_id ORDER BY p) - p, 200)) AS n FROM s) GROUP BY doc_id) x ON x.doc_id = d.doc_id",
     }
