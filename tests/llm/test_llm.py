@@ -67,6 +67,32 @@ def test_pii_names_learned_from_the_corpus(spark, sanitiser):
     assert got[4] == [("Velma", "NAME")]
 
 
+def test_pii_has_no_length_limits(spark, sanitiser):
+    local, name = "ab." * 40 + "c", "Q" + "u" * 71
+    texts = [
+        f"mail {local}@mail.example.org now",
+        f"12 {name} Street, Springfield 12345 is it",
+        "at 12 Elm Street, Saint Bartholomew On The Very Long Water And Hills, Springfield, IL 62704 she",
+        "calle de la Constitución Española Mayor 12, then",
+        "Order\n415-555-2671 and Order no.\n415-555-2671",
+        "12 Isle of the Very Long Name Road again",
+        "five " * 20 + "five",
+        "seen in 2019 he went down the long street",
+    ]
+    got = found(spark, sanitiser, *texts)
+    want = [f"{local}@mail.example.org", f"12 {name} Street, Springfield 12345", texts[2][3:-4], texts[3][:-6], None, texts[5][:-6], texts[6], None]
+    assert [[x for x, _ in g] for g in got] == [[w] if w else [] for w in want]
+
+
+def test_pii_words_are_found_alike_in_short_and_long_texts(spark, sanitiser):
+    short = "Velmaⅷ Velma Dana² Dana"
+    one, two = found(spark, sanitiser, short, short + " x" * 2000)
+    assert one == two == [("Velma", "NAME"), ("Dana", "NAME")]
+    low = pii.lowered(short + " velma" + " x" * 2000)
+    vocab = pii.vocabulary({"velma": ("G", False), "dana": ("G", False)})
+    assert [(s, e) for s, e, _ in pii._places(low, vocab)] == [m.span() for m in pii._LETTERS.finditer(low) if m.group() in vocab]
+
+
 def test_pii_edge_rows(spark, sanitiser):
     df = spark.createDataFrame([(1, None), (2, ""), (3, " \n "), (4, "Dana Okoro"), (4, "Dana Okoro"), (5, "x " * 50_000 + "Dana Okoro")], "id long, start_idx string")
     assert sorted(rows(sanitiser.found(df, "id", "start_idx"))) == [(4, 0, 10, "NAME"), (5, 100_000, 100_010, "NAME")]

@@ -166,6 +166,38 @@ def vocabulary(terms) -> dict[str, tuple[str, bool, str]]:
     return {w: (*terms.get(w, ("", False)), _KEYS.get(w, "")) for w in {*terms, *_KEYS}}
 
 
+def _around(low: str, done: int, s: int, e: int) -> tuple[int, int]:
+    """Bounds of what a street can take up around its word at [s, e): six words before, twelve behind, however long they are."""
+    left, right = max(done, s - 64), min(len(low), e + 90)
+    while left > done and len(low[left:s].split(None, 6)) < 7:
+        left = max(done, left - 64)
+    while right < len(low) and len(low[e:right].split(None, 12)) < 13:
+        right = min(len(low), right + 90)
+    return left, right
+
+
+def _long_street(text: str, tag: int, done: int, s: int, right: int):
+    """A street whose name has more capitalised words than the common shape takes, or None."""
+    if tag < 2:
+        left = max(done, s - 16)
+        return P.LONG_STREETS[tag].search(text, left, right if tag == 0 else len(text)) if text[s - 1 : s].isspace() or tag == 1 else None
+    at, words = s, 0
+    while True:
+        j = at
+        while j > done and text[j - 1].isspace():
+            j -= 1
+        i = j
+        while i > done and not text[i - 1].isspace():
+            i -= 1
+        word = text[i:j]
+        if not (word[:1].isupper() or word in P.SMALL) or not word[-1:].isalnum():
+            break
+        at, words = i, words + 1
+    if words < 3 or not word[:1].isdigit():
+        return None
+    return P.LONG_STREETS[2].search(text, max(done, i - 24), right)
+
+
 def structured(text: str, low: str, keys: list[tuple[int, int, str]], towns, mask: bytearray) -> list[tuple[int, int, str]]:
     """Findings of the structured kinds, none overlapping.
 
@@ -182,7 +214,8 @@ def structured(text: str, low: str, keys: list[tuple[int, int, str]], towns, mas
             mask[s:e] = b"\1" * (e - s)
 
     def other(s: int) -> bool:
-        return low[max(0, s - 12) : s].rstrip(" \t#:").endswith(P.REFERENCE_ENDS) and P.REFERENCES.search(low, max(0, s - 24), s) is not None
+        # the first test is quick, and true wherever the second one is
+        return low[max(0, s - 24) : s].rstrip().rstrip("#:").rstrip().endswith(P.REFERENCE_ENDS) and P.REFERENCES.search(low, max(0, s - 24), s) is not None
 
     def number(m) -> None:
         if m and sum(c.isdigit() for c in m.group()) >= 5:
@@ -192,25 +225,39 @@ def structured(text: str, low: str, keys: list[tuple[int, int, str]], towns, mas
         host = P.MAIL_DOMAIN.match(low, m.end())
         if host:
             at = m.start()
-            local = P.MAIL_LOCAL.search(low[max(0, at - 80) : at])
+            begin = max(0, at - 80)
+            while begin and (low[begin - 1].isalnum() or low[begin - 1] in P.MAIL_INNER):
+                begin -= 1  # never from the middle of a local part on
+            local = P.MAIL_LOCAL.search(low[begin:at])
             if local and any(c.isalpha() for c in local.group()):
-                add(max(0, at - 80) + local.start(), host.end(), "EMAIL")
+                add(begin + local.start(), host.end(), "EMAIL")
     for tag in "012":
         p, done = P.STREETS[int(tag)], 0
         for s, e, _ in [k for k in keys if tag in k[2]]:
             if s < done:
                 continue
-            m = p.search(low, max(done, s - 64), min(len(low), e + 90))
+            left, right = _around(low, done, s, e)
+            m = p.search(low, left, right)
+            long = _long_street(text, int(tag), done, s, right)
+            if m is None or long and long.start() <= m.start() and long.end() > (m.start("tail") if tag == "2" and m.group("tail") else m.end()):
+                m = long
             if m is None:
                 continue
+            begin = m.start()
             done = e = m.end()
-            if tag == "2" and m.group("tail") and not m.group("zip"):
+            if tag == "2":
+                behind = m.start("tail") if m is not long and m.group("tail") else e
+                tail = None if m is not long and m.group("zip") else P.LONG_TAIL.match(text, behind)
+                if tail and tail.end() > e:
+                    done = e = tail.end()
+                    m = long = None
+            if m is not long and tag == "2" and m.group("tail") and not m.group("zip"):
                 # a place without a postcode must be a known town
                 words = _LETTERS.findall(m.group("tail"))
                 done = e = m.start("tail")
                 if words and words[0] in towns:
                     done = e = m.start("tail") + m.group("tail").index(words[0]) + len(words[0])
-            add(m.start(), e, "ADDRESS")
+            add(begin, e, "ADDRESS")
     for m in P.STREET_END.finditer(low):
         s = m.start()
         while s and (low[s - 1].isalpha() or low[s - 1] == "-"):
@@ -236,7 +283,7 @@ def structured(text: str, low: str, keys: list[tuple[int, int, str]], towns, mas
         for m in P.NUMBERS.finditer(low, s, min(len(text), e + 18)):
             if m.start() < e and not other(m.start()):  # what begins behind the run belongs to the next one
                 add(m.start(), m.end(), "PHONE" if m.lastgroup == "phone" else "ID_NUMBER")
-    if spelled >= 7:
+    if spelled >= 7:  # the least a spelled number has
         for m in P.SPELLED.finditer(low):
             add(m.start(), m.end(), "PHONE")
     return out
@@ -318,18 +365,20 @@ def mentions(text: str, hits: list[tuple[int, int, tuple]], mask: bytearray, voc
     return out
 
 
+def _letter(c: str) -> bool:
+    """Whether ``c`` is what words consist of, as in ``_LETTERS``."""
+    return c.isalnum() and not c.isdecimal()
+
+
 def _places(low: str, vocab) -> list[tuple[int, int, tuple]]:
     """(start, end, entry) of the words of ``low`` that are in ``vocab``, in order."""
-    if len(low) > 3000:
-        get = vocab.get
-        return [(m.start(), m.end(), v) for m in _LETTERS.finditer(low) if (v := get(m.group()))]
-    # in a short text it is faster to look for the few words that it has
     out = []
+    # it is faster to look for the few words that a text has than to look every word up
     for w in vocab.keys() & set(_LETTERS.findall(low)):
         v, n, at = vocab[w], len(w), low.find(w)
         while at >= 0:
             e = at + n
-            if not (low[at - 1 : at].isalpha() or low[e : e + 1].isalpha()):
+            if not (_letter(low[at - 1 : at]) or _letter(low[e : e + 1])):
                 out.append((at, e, v))
             at = low.find(w, e)
     return sorted(out, key=_first)
@@ -357,16 +406,27 @@ def _unpack(b, fixed):
     return [(vocabulary({x["term"]: (x["role"], x["common"]) for x in own or [] if x["role"] != "T"}), c, {x["term"] for x in own or [] if x["role"] == "T"}) for own, c in zip(b.column("own").to_pylist(), cues, strict=True)]
 
 
-def _frames_of(batches):
-    """(key, text) -> (key, frame) of every word."""
-    for b in batches:
-        keys, frames = [], []
-        for key, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            low = lowered(text)
-            mine = {frame(text, s) for m in _LETTERS.finditer(low) for s in range(*m.span()) if s == m.start() or not low[s - 1].isalpha()}
-            keys += [key] * len(mine)
-            frames += mine
-        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(frames, pa.string())], ["_key", "frame"])
+def _held(what):
+    """(key, text) -> (key, item) of what a text holds."""
+
+    def run(batches):
+        for b in batches:
+            keys, items = [], []
+            for key, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                mine = what(text)
+                keys += [key] * len(mine)
+                items += mine
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(items, pa.string())], ["_key", "item"])
+
+    return run
+
+
+def _frames_of(text: str) -> set[str]:
+    return {frame(text, m.start()) for m in _LETTERS.finditer(lowered(text))}
+
+
+def _words_of(text: str) -> set[str]:
+    return set(_LETTERS.findall(lowered(text)))
 
 
 def _find_rows(fixed):
@@ -424,11 +484,11 @@ class Sanitiser:
         keyed = out
         if self.joined:
             every = d.terms.select("term", "role", "common").unionByName(d.towns.select("term", F.lit("T").alias("role"), F.lit(False).alias("common")))
-            words = keyed.select("_key", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0)))).alias("term")).distinct()
+            words = keyed.where("text IS NOT NULL").select("_key", "text").mapInArrow(_held(_words_of), "_key string, item string").withColumnRenamed("item", "term").distinct()
             own = words.join(every, "term").groupBy("_key").agg(F.collect_list(F.struct("term", "role", "common")).alias("own"))
             out = out.join(own, "_key", "left")
         if self.joined_frames:
-            held = keyed.where("text IS NOT NULL").select("_key", "text").mapInArrow(_frames_of, "_key string, frame string").distinct()
+            held = keyed.where("text IS NOT NULL").select("_key", "text").mapInArrow(_held(_frames_of), "_key string, item string").withColumnRenamed("item", "frame").distinct()
             cues = held.join(d.frames, "frame").groupBy("_key").agg(F.collect_list(F.struct("frame", "share")).alias("cues"))
             out = out.join(cues, "_key", "left")
         return out.drop("_key")

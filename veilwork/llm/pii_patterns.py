@@ -8,6 +8,8 @@ import re
 
 # the sign of a mail address, its local part before (reversed search) and its domain behind
 MAIL_SIGN = re.compile(r"@|[(\[{]at[)\]}]| at (?=\S+ dot )")
+#: What a local part consists of; it is looked for from the first such character on, however long it is.
+MAIL_INNER = frozenset("._+-%\u200b")
 MAIL_LOCAL = re.compile(r"(?<![\w.+\-%])[\w%](?:[\w.+\-%\u200b]*[\w%])?\u200b?\s?$")
 _DOT = r"(?:\u200b?\.\u200b?|\s?[(\[{]dot[)\]}]\s?|\sdot\s)"
 MAIL_DOMAIN = re.compile(rf"\s?\u200b?[^\W\d_][\w\-]*(?:{_DOT}[^\W\d_][\w\-]*)*{_DOT}[^\W\d_]{{2,}}(?![\w@])")
@@ -19,7 +21,7 @@ _DIGIT_WORDS = {
     "es": "cero|uno|dos|tres|cuatro|cinco|seis|siete|ocho|nueve",
 }
 _WORDS = "|".join(dict.fromkeys("|".join(_DIGIT_WORDS.values()).split("|")))
-SPELLED = re.compile(rf"(?<!\w)(?:(?:{_WORDS})[\s\-,]+){{6,16}}(?:{_WORDS})(?!\w)")
+SPELLED = re.compile(rf"(?<!\w)(?:(?:{_WORDS})[\s\-,]+){{6,}}(?:{_WORDS})(?!\w)")
 _S = r"(?:\s?[\-‑–.]\s?|\s)"
 _EXT = r"(?:,?\s?(?:ext|extension|x|poste|durchwahl|dw|extensión)\.?\s?\d{1,6}(?!\d))?"
 #: Where a number of seven digits or more can be; a date alone is none.
@@ -101,6 +103,24 @@ STREETS = [
         rf"(?:,?\s+{_FLAT})?(?P<tail>(?:,\s*|\s*[\r\n]+\s*)[^\W\d_][\w'’\-]+(?:\s[^\W\d_][\w'’\-]+)?(?:,?\s+(?:[a-z]{{2}}\s+)?(?P<zip>{_ZIP}))?)?",
     ),
 ]
+#: A word of a proper name of any length; small words stand between capitalised ones.
+_CAPS = r"[A-ZÀ-ÖØ-Þ][\w'’\-]*(?:\s(?:(?:of|on|the|de|la|las|los|le|les|du|des|del|y|et|and|und|an|der|am|im|upon|in|sur|von|zu)\s)*[A-ZÀ-ÖØ-Þ][\w'’\-]*)*"
+#: Small words between the capitalised ones.
+SMALL = frozenset("of on the de la las los le les du des del y et and und an der am im upon in sur von zu".split())
+#: The same with names of any number of capitalised words; on the text as it is.
+LONG_STREETS = [
+    re.compile(
+        rf"(?<![\w.\-/:])\d{{1,4}}(?:\s?(?:bis|ter|quater))?,?\s+(?i:rue|avenue|boulevard|impasse|chemin|place|allée|quai|route|cours|square)\s+(?:de\sla\s|de\sl['’]|du\s|des\s|de\s|d['’])?{_CAPS}"
+        rf"(?:,?\s+{_ZIP}\s+[^\W\d_][\w'’\-]+|(?=[,.;:)\r\n]|\s*$))"
+    ),
+    re.compile(
+        rf"(?<![\w\-])(?i:calle|camino|avenida|avda\.?|plaza|paseo|ronda|travesía|carretera)\s+(?:de\slas\s|de\slos\s|de\sla\s|del\s|de\s)?{_CAPS},?\s+\d{{1,4}}(?!\d)[a-z]?"
+        rf"(?i:,\s+(?:bajo|ático|entresuelo|\d{{1,2}}\.?\s?[ºª](?:\s?[a-z]\b)?))?(?:,?\s+{_ZIP}\s+[^\W\d_][\w'’\-]+)?"
+    ),
+    re.compile(rf"(?<![\w.\-/:])(?:(?i:{_FLAT}),?\s+)?\d{{1,5}}[A-Za-z]?\s+{_CAPS}\s+(?i:{_TYPES})\b"),
+]
+#: Town and postcode behind an English street, with names of any number of capitalised words.
+LONG_TAIL = re.compile(rf"(?:,?\s+(?i:{_FLAT}))?(?:,\s*|\s*[\r\n]+\s*){_CAPS}(?:,\s+{_CAPS})*,?\s+(?:[A-Z]{{2}}\s+)?{_ZIP}")
 #: A German street from the ending of its name on.
 STREET_END = re.compile(
     rf"(?:straße|strasse|str\.|weg|allee|gasse|stieg|kamp|platz|ring|damm|ufer)\s+\d{{1,4}}(?!\d)\s?(?:[a-z]\b)?(?:\s?,\s?whg\.?\s\d+)?(?:,?\s+(?P<zip>{_ZIP})\s+[^\W\d_][\w'’\-]+)?"
