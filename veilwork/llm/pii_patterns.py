@@ -111,7 +111,7 @@ SMALL = frozenset("of on the de la las los le les du des del y et and und an der
 LONG_STREETS = [
     re.compile(
         rf"(?<![\w.\-/:])\d{{1,4}}(?:\s?(?:bis|ter|quater))?,?\s+(?i:rue|avenue|boulevard|impasse|chemin|place|allée|quai|route|cours|square)\s+(?:de\sla\s|de\sl['’]|du\s|des\s|de\s|d['’])?{_CAPS}"
-        rf"(?:,?\s+{_ZIP}\s+[^\W\d_][\w'’\-]+|(?=[,.;:)\r\n]|\s*$))"
+        rf",?\s+{_ZIP}\s+[^\W\d_][\w'’\-]+"
     ),
     re.compile(
         rf"(?<![\w\-])(?i:calle|camino|avenida|avda\.?|plaza|paseo|ronda|travesía|carretera)\s+(?:de\slas\s|de\slos\s|de\sla\s|del\s|de\s)?{_CAPS},?\s+\d{{1,4}}(?!\d)[a-z]?"
