@@ -197,6 +197,23 @@ def test_leaves_far_from_their_centre_are_compared(spark, size):
     assert {r["id"] for r in near.groups().where("n_members > 1").collect()} == {f"d{n}" for n in g}
 
 
+def test_excerpts_hide_no_versions(spark):
+    # many excerpts of a text, with the smaller ids, are the centres of the buckets of its versions
+    rng = random.Random(11)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(200)]
+    docs = []
+    for _ in range(1200):
+        at = rng.randrange(140)
+        docs.append(" ".join(base[at : at + 60]))
+    docs += [" ".join(edited(rng, base, rng.choice([0, 2, 4, 8]))) for _ in range(20)]
+    df = spark.createDataFrame([(f"d{n:04d}", t) for n, t in enumerate(docs)], "id string, text string")
+    g = {n: grams(t, 3) for n, t in enumerate(docs)}
+    pairs = set(rows(NearDuplicates(df, "id", "text", 0.7, 3, leaves=50).pairs()))
+    want = {(f"d{a:04d}", f"d{b:04d}") for a, b in itertools.combinations(range(1220), 2) if len(g[a] & g[b]) >= 0.7 * len(g[a] | g[b])}
+    assert pairs <= want and len(pairs) >= 0.999 * len(want)
+    assert {p for p in want if p[0] >= "d1200"} <= pairs
+
+
 def test_densification_fills_every_bin():
     d, s = np.array([0, 0, 1]), np.sort(np.array([5, 1 << 60, 1 << 62], np.uint64))
     sketch = __import__("veilwork.llm.near_duplicates", fromlist=["x"]).densified(d, s, 3, 128)

@@ -13,7 +13,8 @@ with eight times as many centres, until each has a near centre or is alone.
 No link between leaves is lost: the distance 1 - similarity obeys the triangle
 inequality, so when a leaf is done by its centre, each leaf that is similar to
 it is at most 1 - threshold further from that centre.  Leaves up to there are
-candidates of the near ones and checked exactly too.
+candidates of the near ones and checked exactly too.  The leaves of a large
+star are cut into parts of about ``leaves``, so no task holds all its pairs.
 
 Texts with equal shingle sets are one class, whose smallest id stands for it.
 
@@ -123,7 +124,7 @@ class NearDuplicates:
     """``members`` (id, rep, n, cls) of each class of equal shingle sets, ``links`` between classes, ``groups``."""
 
     @by_value
-    def __init__(self, docs: DataFrame, id_col: str, text_col: str, threshold: float = 0.8, words_per: int = 5, bands: int = 32, width: int = 4, near: float = 0.35):
+    def __init__(self, docs: DataFrame, id_col: str, text_col: str, threshold: float = 0.8, words_per: int = 5, bands: int = 32, width: int = 4, near: float = 0.35, leaves: int = 1000):
         if bands * width & (bands * width - 1):
             raise ValueError("bands * width must be a power of two")
         kind = docs.schema[id_col].dataType.simpleString()
@@ -141,7 +142,7 @@ class NearDuplicates:
         sets = join_sized(own, wanted, "id", "left_semi").mapInArrow(_sets(words_per), f"id {kind}, set array<long>")
         # an id with several texts has several sets: the class is told by its sums, as above
         self._sets = stage(sets.join(leads.select("id", "cls", "n"), "id").where(F.size("set") == F.col("n")).dropDuplicates(["id", "cls"]).select("cls", "set"))
-        self.threshold, self.near = threshold, near
+        self.threshold, self.near, self.leaves = threshold, near, leaves
         self._star, self._reached = self._stars(inside)
         self._near = self._reached.where(F.col("similarity") >= min(near, threshold))
         self._links: DataFrame | None = None
@@ -179,7 +180,11 @@ class NearDuplicates:
     def _leaf_links(self, wanted: Column) -> DataFrame:
         """Similar leaves of one centre; ``wanted`` may use their similarities to it, s2 and s3."""
         x, y = (d.select("ca", F.struct(F.col("cb").alias("c"), F.col("b").alias("id"), F.col("nb").alias("n")).alias(f"l{k}"), F.col("similarity").alias(f"s{k}")) for k, d in ((2, self._near), (3, self._reached)))
-        both = x.join(y, "ca").where((F.col("l2.c") < F.col("l3.c")) | (F.col("s3") < min(self.near, self.threshold)))
+        # a centre of many leaves is cut into parts: each leaf of one side meets all parts of the other
+        parts = stage(y.groupBy("ca").agg(F.ceil(F.count(F.lit(1)) / self.leaves).cast("int").alias("parts")))
+        x = x.join(parts, "ca").withColumn("part", F.pmod(F.xxhash64("l2.c"), "parts").cast("int")).drop("parts")
+        y = y.join(parts, "ca").select("ca", "l3", "s3", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+        both = x.join(y, ["ca", "part"]).where((F.col("l2.c") < F.col("l3.c")) | (F.col("s3") < min(self.near, self.threshold)))
         # no two similar leaves differ by more than 1 - threshold in their similarity to a third
         both = both.where(wanted & (F.abs(F.col("s2") - F.col("s3")) <= 1 - self.threshold + 1e-9) & (F.least("l2.n", "l3.n") >= F.lit(self.threshold) * F.greatest("l2.n", "l3.n")))
         both = both.select(F.least("l2", "l3").alias("p"), F.greatest("l2", "l3").alias("q"))
