@@ -11,17 +11,25 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-_staged: list[tuple[SparkSession, str]] = []
+_staged: dict[str, SparkSession] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; a local one only where it is unset (tests)."""
+    """The folder of ``spark.checkpoint.dir``.
+
+    Where it is unset, a folder of this machine serves a session in local mode
+    (tests); on a cluster, whose executors could not reach it, that is an error.
+    """
     there = spark.conf.get("spark.checkpoint.dir", None)
     if not there:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         there = "file://" + tempfile.mkdtemp(prefix="veilwork-")
         spark.conf.set("spark.checkpoint.dir", there)
     return there.rstrip("/")
@@ -32,34 +40,68 @@ def stage(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/staged-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    _staged.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    _staged[path] = spark
+    out = spark.read.schema(df.schema).parquet(path)
+    out._staged_path = path
+    return out
+
+
+def _remove(path: str) -> None:
+    spark = _staged.pop(path, None)
+    try:
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    except Exception:  # the session may be gone already
+        pass
+
+
+def drop(*staged: DataFrame) -> None:
+    """Remove staged tables that nothing reads any more."""
+    for df in staged:
+        _remove(df._staged_path)
 
 
-def drop_staged() -> None:
-    """Remove all staged tables of this process; results that read them must be finished."""
-    while _staged:
-        spark, path = _staged.pop()
-        try:
-            jvm = spark._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
-        except Exception:  # the session may be gone already
-            pass
+def drop_staged(keep: set[str] | None = None) -> None:
+    """Remove all staged tables of this process, but for those in ``keep``; results that read them must be finished."""
+    for path in [p for p in _staged if p not in (keep or ())]:
+        _remove(path)
+
+
+@contextmanager
+def staging():
+    """``with staging(): df = query(...); df.write...`` frees what the query staged when the block is left."""
+    before = set(_staged)
+    try:
+        yield
+    finally:
+        drop_staged(before)
 
 
 atexit.register(drop_staged)
 
 
-def join_sized(big: DataFrame, small: DataFrame, on, how: str = "inner", limit_rows: int = 500_000, weigh: Column | None = None) -> DataFrame:
-    """Join with ``small``, a staged table of narrow rows.
+def _bytes(df: DataFrame) -> Column:
+    """Estimate of a row's size in memory."""
+    out = F.lit(16)
+    for f in df.schema.fields:
+        c = F.col(f"`{f.name}`")
+        if isinstance(f.dataType, T.StringType | T.BinaryType):
+            out = out + F.coalesce(F.octet_length(c), F.lit(0)) + 16
+        elif isinstance(f.dataType, T.ArrayType):
+            out = out + 8 * F.greatest(F.coalesce(F.size(c), F.lit(0)), F.lit(0)) + 24
+        else:
+            out = out + 8
+    return out
+
 
-    It is broadcast only when its rows, each counted as ``weigh`` (1 unless
-    given, the length of an array column for instance), come to at most
-    ``limit_rows``; beyond that Spark shuffles both sides.
+def join_sized(big: DataFrame, small: DataFrame, on, how: str = "inner", limit_bytes: int = 48 << 20) -> DataFrame:
+    """Join with ``small``, a staged table.
+
+    It is broadcast only when its rows come to at most ``limit_bytes``, as
+    measured over all of them; beyond that Spark shuffles both sides.
     """
-    size = small.count() if weigh is None else small.agg(F.sum(weigh)).first()[0] or 0
-    return big.join(F.broadcast(small) if size <= limit_rows else small, on, how)
+    size = small.agg(F.sum(_bytes(small).cast("long"))).first()[0] or 0
+    return big.join(F.broadcast(small) if size <= limit_bytes else small, on, how)
 
 
 def clean_key(col: Column) -> Column:
@@ -77,10 +119,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+
 def spread(df: DataFrame) -> DataFrame:
-    """``df`` over at least as many partitions as there are cores, for work that is heavy per row.
+    """``df`` over all cores where its source is too small to be split among them.
 
-    A large input has more partitions than that and is left as it is.
+    The size is the optimizer's estimate; nothing is run.  A source that fills
+    a partition per core is left as it is read.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    split = int(spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes())
+    return df.repartition(cores) if size < cores * split else df
