@@ -5,12 +5,14 @@ Method: a global shuffle of distinct words.
 1. The JVM cuts every text into pre-tokens.  Blocks of neighbouring documents
    are dictionary-encoded column-wise, so a block keeps each distinct
    pre-token once, and the positions as small integers.
-2. The blocks' distinct pre-tokens are shuffled by pre-token; equal ones meet
-   in one task, which encodes each once.
-3. The ids return to their block, where the positions put them in order.
+2. The blocks' distinct pre-tokens are counted by pre-token (combined on the
+   map side) and each is encoded once.
+3. The ids are joined back to the blocks, where the positions put them in
+   order.  A pre-token that is in more than one of ``hot_share`` block rows is
+   hot; there are at most ``hot_share`` such, so their ids are broadcast.  All
+   others are joined by a shuffle, in which no key has more than that share.
 
-Only dictionaries travel: no document is shuffled token by token.  A frequent
-word adds one row per block, not one per occurrence, so no key is hot.
+Only dictionaries travel: no document is shuffled token by token.
 
 Defined results
 ---------------
@@ -32,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilwork.llm.workers import by_value, kept
+from veilwork.llm.workers import kept
 from veilwork.runtime import stage
 
 DEFAULT_TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -91,19 +93,13 @@ def _blocks(block_tokens: int, block_docs: int):
 
 
 def _encode(path: str):
-    """(block, k, word) -> (block, k, ids); a word is encoded once per task while the cache has room."""
+    """(word, n) of distinct words -> (word, n, ids)."""
 
     def run(batches):
-        encode, cache = kept(("bpe", path), lambda: _load(path)), {}
+        encode = kept(("bpe", path), lambda: _load(path))
         for b in batches:
-            d = b.column(2).dictionary_encode()
-            words = d.dictionary.to_pylist()
-            new = [w for w in words if w not in cache]
-            cache.update(zip(new, encode(new), strict=True))
-            ids = pa.array([cache[w] for w in words], pa.list_(pa.int32())).take(d.indices)
-            if len(cache) > 1 << 18:  # the cache saves time only
-                cache.clear()
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), ids], ["block", "k", "ids"])
+            ids = pa.array(encode(b.column(0).to_pylist()), pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), ids], ["word", "n", "ids"])
 
     return run
 
@@ -123,16 +119,22 @@ def _assemble(batches):
             yield pa.RecordBatch.from_arrays([b.column(0).slice(r, 1).flatten(), pa.ListArray.from_arrays(pa.array(ends), values)], ["id", "tokens"])
 
 
-@by_value
 def encode_corpus(
-    df: DataFrame, id_col: str, text_col: str, tokenizer: str = DEFAULT_TOKENIZER, block_tokens: int = 400_000, block_docs: int = 5_000
+    df: DataFrame, id_col: str, text_col: str, tokenizer: str = DEFAULT_TOKENIZER, block_tokens: int = 400_000, block_docs: int = 5_000, hot_share: int = 20_000
 ) -> DataFrame:
     """(id, tokens array<int>) for every row of ``df``; ``tokenizer`` is a path that executors can read."""
     kind = df.schema[id_col].dataType.simpleString()
     cut = df.select(F.col(id_col).alias("id"), F.regexp_extract_all(F.coalesce(F.col(text_col), F.lit("")), F.lit(PRETOKENS), F.lit(0)).alias("w"))
     blocks = stage(cut.mapInArrow(_blocks(block_tokens, block_docs), f"block long, ids array<{kind}>, lens array<int>, at binary, narrow boolean, words array<string>"))
-    words = blocks.select("block", F.posexplode("words").alias("k", "word")).repartition("word")
-    encoded = words.mapInArrow(_encode(tokenizer), "block long, k int, ids array<int>")
+    words = blocks.select("block", F.posexplode("words").alias("k", "word"))
+    counted = words.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    each = stage(counted.mapInArrow(_encode(tokenizer), "word string, n long, ids array<int>"))
+    total = each.agg(F.sum("n")).first()[0] or 0
+    is_hot = F.col("n") > F.lit(total / hot_share)
+    hot = each.where(is_hot).select("word", F.col("ids").alias("hot"))
+    marked = words.join(F.broadcast(hot), "word", "left")
+    rest = marked.where("hot IS NULL").drop("hot").join(each.where(~is_hot).select("word", "ids"), "word").select("block", "k", "ids")
+    encoded = rest.unionByName(marked.where("hot IS NOT NULL").select("block", "k", F.col("hot").alias("ids")))
     pieces = encoded.groupBy("block").agg(F.collect_list(F.struct("k", "ids")).alias("pieces"))
     whole = blocks.select("block", "ids", "lens", "at", "narrow").join(pieces, "block", "left")
     whole = whole.select("ids", "lens", "at", "narrow", F.coalesce("pieces", F.array().cast("array<struct<k:int,ids:array<int>>>")).alias("pieces"))
@@ -154,7 +156,6 @@ def _decode(path: str):
     return run
 
 
-@by_value
 def decode_corpus(encoded: DataFrame, tokenizer: str = DEFAULT_TOKENIZER) -> DataFrame:
     """(id, text) back from (id, tokens), by the token-byte table of a ``.tiktoken`` file."""
     kind = encoded.schema["id"].dataType.simpleString()

@@ -41,7 +41,6 @@ from pyspark.sql import functions as F
 
 from veilwork.llm.components import components
 from veilwork.llm.rolling import mix
-from veilwork.llm.workers import by_value
 from veilwork.runtime import join_sized, stage
 
 _FACTORS = [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53]
@@ -123,7 +122,6 @@ def _sets(words_per: int):
 class NearDuplicates:
     """``members`` (id, rep, n, cls) of each class of equal shingle sets, ``links`` between classes, ``groups``."""
 
-    @by_value
     def __init__(self, docs: DataFrame, id_col: str, text_col: str, threshold: float = 0.8, words_per: int = 5, bands: int = 32, width: int = 4, near: float = 0.35, leaves: int = 1000):
         if bands * width & (bands * width - 1):
             raise ValueError("bands * width must be a power of two")

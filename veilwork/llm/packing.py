@@ -31,7 +31,6 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilwork.llm.workers import by_value
 from veilwork.runtime import stage
 
 
@@ -78,7 +77,6 @@ def _pack(capacity, weights, rule):
     return run
 
 
-@by_value
 def pack(
     items: DataFrame,
     id_col: str,

@@ -44,7 +44,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veilwork.llm import pii_patterns as P
-from veilwork.llm.workers import by_value, kept
+from veilwork.llm.workers import kept
 from veilwork.runtime import stage
 
 KINDS = ["EMAIL", "ADDRESS", "ID_NUMBER", "PHONE", "NAME"]
@@ -461,7 +461,6 @@ def _redact_rows(fixed):
 class Sanitiser:
     """Finds and replaces personal information with the vocabulary of a corpus."""
 
-    @by_value
     def __init__(self, disclosure: Disclosure, broadcast_terms: int = 300_000, broadcast_frames: int = 100_000):
         spark = disclosure.terms.sparkSession
         self.disclosure = disclosure
@@ -475,7 +474,6 @@ class Sanitiser:
             frames = {r["frame"]: r["share"] for r in disclosure.frames.collect()}
         self.fixed = spark.sparkContext.broadcast((terms, frames, towns))
 
-    @by_value
     def _with_terms(self, rows: DataFrame) -> DataFrame:
         """The rows; with too large a vocabulary, also the terms (``own``) or frames (``cues``) that each text holds."""
         if not self.joined and not self.joined_frames:
@@ -493,14 +491,12 @@ class Sanitiser:
             out = out.join(cues, "_key", "left")
         return out.drop("_key")
 
-    @by_value
     def found(self, df: DataFrame, id_col: str, text_col: str) -> DataFrame:
         """(id, start_idx, end_idx, kind) of every finding, distinct."""
         kind = df.schema[id_col].dataType.simpleString()
         rows = self._with_terms(df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("text IS NOT NULL"))
         return rows.mapInArrow(_find_rows(self.fixed), f"id {kind}, start_idx int, end_idx int, kind string").distinct()
 
-    @by_value
     def redacted(self, df: DataFrame, id_col: str, text_col: str) -> DataFrame:
         """(id, redacted), one row per row of ``df``."""
         kind = df.schema[id_col].dataType.simpleString()

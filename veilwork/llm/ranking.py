@@ -30,7 +30,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from veilwork.llm.workers import by_value
 from veilwork.runtime import clean_key, stage
 
 
@@ -85,7 +84,6 @@ def _combine(curves, weights):
     return run
 
 
-@by_value
 def ranked(rows: DataFrame, scores: list[Score], group_col: str, id_col: str = "id", only: DataFrame | None = None, grid: int = 2000, accuracy: int = 20_000) -> DataFrame:
     """grp, id, rank_value of the rows, or of the groups in ``only`` (column ``grp``).
 

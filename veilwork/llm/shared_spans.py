@@ -41,7 +41,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from veilwork.llm import rolling
-from veilwork.llm.workers import by_value
 from veilwork.runtime import join_sized, stage
 
 _CHUNK = 1 << 20
@@ -239,7 +238,6 @@ def _parse_units(span: int, every: bool):
 class SharedSpans:
     """Classes of exact copies (``members``), factor lists, pairs and coverage of a collection."""
 
-    @by_value
     def __init__(self, docs: DataFrame, id_col: str, text_col: str, span: int = 200, k: int = 128, block_docs: int = 64, block_chars: int = 4_000_000):
         kind = docs.schema[id_col].dataType.simpleString()
         self.every = docs.select(F.col(id_col).alias("id"), F.coalesce(F.length(text_col), F.lit(0)).alias("n")).where("id IS NOT NULL")
@@ -255,7 +253,7 @@ class SharedSpans:
         wanted = stage(join_sized(held, shared, "h", "left_semi").groupBy("digest").agg(F.collect_list("h").alias("anchors")))
         # the texts that hold shared anchors are read once more and kept by their digest
         mine = join_sized(own, heads, ["id", "digest"], "left_semi")
-        mine = stage(join_sized(mine, wanted, "digest", weigh=F.size("anchors") + 4).dropDuplicates(["digest"]))
+        mine = stage(join_sized(mine, wanted, "digest").dropDuplicates(["digest"]))
         windows = mine.select("digest", "text", "anchors").mapInArrow(_window_rows(span, k), "key string, windows array<long>")
         windows = stage(windows.select("key", F.explode("windows").alias("w")))
         # windows of the same texts are one class
@@ -268,7 +266,6 @@ class SharedSpans:
         self._pairs: DataFrame | None = None
         self._factors: DataFrame | None = None
 
-    @by_value
     def _parsed(self, every: bool) -> DataFrame:
         """(key, ref, start, ref_start, n): factors of each text of a class against all smaller ones, or against its smallest."""
         c = self.classes

@@ -1,18 +1,10 @@
-"""Functions that run in Python workers are shipped by value, so that executors need no copy of this package."""
+"""Objects that Python workers keep."""
 
 from __future__ import annotations
 
 import sys
 import types
 
-from pyspark import cloudpickle
-
-
-def by_value(f):
-    """Decorator for the function that uses worker code of its module."""
-    cloudpickle.register_pickle_by_value(sys.modules[f.__module__])
-    return f
-
 
 def kept(key, make):
     """An object that a worker process builds once and keeps over tasks."""
@@ -20,6 +12,3 @@ def kept(key, make):
     if key not in store.__dict__:
         store.__dict__[key] = make()
     return store.__dict__[key]
-
-
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
