@@ -248,6 +248,8 @@ def test_consensus_dirt(spark):
     c = consensus.fit_consensus(df, labels, ["x", "y"])
     got = {r["item"]: (r["entity_type"], r["n_labels"], r["disputed"]) for r in c.consensus().collect()}
     assert set(got) == {"1", "2", "5"} and got["1"] == ("F", 1, False) and got["2"] == ("B", 1, False) and got["5"][1:] == (2, True)
+    with pytest.raises(ValueError, match="most_tuples"):
+        consensus.fit_consensus(df, labels, ["x", "y"], most_tuples=1)
     none = consensus.fit_consensus(df.where("id = 'z'"), labels, ["x", "y"])
     assert rows(none.consensus()) == [] and none.agreement().where("kappa IS NOT NULL").count() == 0
 

@@ -4,7 +4,8 @@ Labels of each annotator are mapped to common types, then every item is a
 tuple of one type (or none) per annotator.  Items with the same tuple have the
 same posterior, so the corpus is aggregated to distinct tuples first; with K
 types and D annotators there are at most (K + 1) ** D of them however many
-items there are.  On these counts expectation-maximisation estimates one
+items there are; they are counted before they are fetched, and more than
+``most_tuples`` are refused.  On these counts expectation-maximisation estimates one
 confusion matrix per annotator and a type distribution per tuple, with
 additive smoothing.  Chance-corrected agreement (Fleiss' kappa for a varying
 number of annotators) is reported separately and does not steer the estimate.
@@ -49,15 +50,12 @@ def labelled_items(spans: DataFrame, labels: DataFrame, detectors: list[str], id
 class Consensus:
     """Fitted confusion matrices, posteriors per label tuple, and agreement."""
 
-    def __init__(self, items: DataFrame, detectors: list[str], smoothing: float = 0.5, rounds: int = 200, tolerance: float = 1e-7):
+    def __init__(self, items: DataFrame, detectors: list[str], smoothing: float = 0.5, rounds: int = 200, tolerance: float = 1e-7, most_tuples: int = 1_000_000):
         self.items, self.detectors = items, detectors
-        rows = (
-            items.where(F.coalesce(*map(F.col, detectors)).isNotNull())
-            .groupBy(*detectors)
-            .agg(F.count(F.lit(1)).alias("n"))
-            .orderBy(*detectors)
-            .collect()  # at most (K + 1) ** D rows
-        )
+        tuples = stage(items.where(F.coalesce(*map(F.col, detectors)).isNotNull()).groupBy(*detectors).agg(F.count(F.lit(1)).alias("n")))
+        if (found := tuples.count()) > most_tuples:
+            raise ValueError(f"{found} distinct label tuples, more than most_tuples = {most_tuples}: map the labels to fewer types")
+        rows = tuples.orderBy(*detectors).collect()
         self.types = sorted({r[d] for r in rows for d in detectors if r[d] is not None})
         at = {t: i for i, t in enumerate(self.types)}
         self.votes = np.array([[at.get(r[d], -1) for d in detectors] for r in rows], int).reshape(len(rows), len(detectors))

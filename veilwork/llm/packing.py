@@ -82,7 +82,7 @@ def pack(
     id_col: str,
     size_col: str,
     capacity: int = 2048,
-    max_documents: int = 2048,
+    max_documents: int = 32,
     attention_capacity: float | None = None,
     weights: tuple[float, float, float] = (1.0, 0.05, 0.1),
     rule: str = "norm",
@@ -90,6 +90,8 @@ def pack(
 ) -> DataFrame:
     """(id, piece, first, n, container, place, start_at).
 
+    ``attention_capacity`` is three quarters of ``capacity`` squared unless given.
+
     ``first`` is where the piece begins in its item, ``place`` its number in
     the container, ``start_at`` the first of its positions there.
     """
@@ -107,19 +109,25 @@ def pack(
         F.concat(F.lit("f"), F.col("id").cast("string"), F.lit("-"), F.col("piece").cast("string")).alias("container"), F.lit(0).alias("place"), F.lit(0).alias("start_at"),
     )
     groups = max(1, math.ceil(own.count() / group_items))
-    limits = (float(capacity), float(max_documents), float(attention_capacity or capacity**2))
+    limits = (float(capacity), float(max_documents), float(attention_capacity or 0.75 * capacity**2))
     packed = rests.withColumn("grp", F.pmod(F.xxhash64("id"), F.lit(groups))).groupBy("grp").applyInPandas(
         _pack(limits, weights, rule), f"id {kind}, piece int, first long, n int, container string, place int, start_at int"
     )
     return packed.unionByName(full)
 
 
-def fill_report(packed: DataFrame, capacity: int = 2048) -> DataFrame:
-    """containers, items, tokens and the share of space that is filled."""
-    per = packed.groupBy("container").agg(F.sum("n").alias("used"), F.count(F.lit(1)).alias("items"))
+def fill_report(packed: DataFrame, capacity: int = 2048, max_documents: int = 32, attention_capacity: float | None = None) -> DataFrame:
+    """containers, pieces, tokens, the share of each capacity that is used, and how many containers are full in which dimension (none can take one more piece of the mean size)."""
+    cost = F.col("n").cast("double") * F.col("n")
+    limit = float(attention_capacity or 0.75 * capacity**2)
+    per = packed.groupBy("container").agg(F.sum("n").alias("used"), F.count(F.lit(1)).alias("items"), F.sum(cost).alias("cost"))
     return per.agg(
         F.count(F.lit(1)).alias("containers"),
         F.sum("items").alias("pieces"),
         F.sum("used").alias("tokens"),
         (F.sum("used") / (F.count(F.lit(1)) * F.lit(float(capacity)))).alias("filled"),
+        (F.sum("items") / (F.count(F.lit(1)) * F.lit(float(max_documents)))).alias("documents_filled"),
+        (F.sum("cost") / (F.count(F.lit(1)) * F.lit(limit))).alias("attention_filled"),
+        F.count(F.when(F.col("items") >= max_documents, 1)).alias("full_by_documents"),
+        F.count(F.when(F.col("cost") >= 0.95 * limit, 1)).alias("full_by_attention"),
     )

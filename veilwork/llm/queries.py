@@ -9,7 +9,7 @@ from veilwork.llm import consensus, encoding, packing, pii, ranking, splits
 from veilwork.llm.near_duplicates import NearDuplicates
 from veilwork.llm.shared_spans import SharedSpans
 from veilwork.llm.sql import oracle_sql  # noqa: F401
-from veilwork.runtime import clean_key, table
+from veilwork.runtime import clean_key, stage, table
 
 
 def _sanitiser(spark: SparkSession, sf_dir: str) -> pii.Sanitiser:
@@ -89,20 +89,52 @@ def p5_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splits.assign_splits(table(spark, sf_dir, "signals"))
 
 
+def p5_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows and groups, groups that are torn (none may be), and the splits' shares in tenths."""
+    rows = stage(p5_splits(spark, sf_dir))
+    torn = rows.groupBy("group").agg(F.count_distinct("split").alias("c")).agg(F.count(F.lit(1)).alias("n_groups"), F.count(F.when(F.col("c") > 1, 1)).alias("n_torn"))
+    share = lambda name: F.round(10 * F.count(F.when(F.col("split") == name, 1)) / F.count(F.lit(1))).cast("int").alias(f"{name}_tenths")
+    return rows.agg(F.count(F.lit(1)).alias("n_rows"), *map(share, ("train", "validation", "test"))).crossJoin(F.broadcast(torn))
+
+
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = encoding.encode_corpus(table(spark, sf_dir, "documents"), "doc_id", "text")
     return out.select(F.col("id").alias("doc_id"), F.col("tokens").alias("ids"))
 
 
+def _sized(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encoding.encode_corpus(table(spark, sf_dir, "documents"), "doc_id", "text").select("id", F.size("tokens").alias("size"))
+
+
 def p8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sized = encoding.encode_corpus(table(spark, sf_dir, "documents"), "doc_id", "text").select("id", F.size("tokens").alias("size"))
-    return packing.pack(sized, "id", "size").withColumnRenamed("id", "doc_id")
+    return packing.pack(_sized(spark, sf_dir), "id", "size").withColumnRenamed("id", "doc_id")
 
 
 def p8_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.fill_report(p8_packing(spark, sf_dir))
 
 
+def p8_tight(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How full containers get when documents and attention are scarce."""
+    limits = {"max_documents": 16, "attention_capacity": 2048.0**2 / 2}
+    return packing.fill_report(packing.pack(_sized(spark, sf_dir), "id", "size", **limits), **limits)
+
+
+def p8_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents placed, and containers that break a limit (none may): tokens, documents, attention, gaps between places."""
+    packed = stage(p8_packing(spark, sf_dir))
+    per = packed.groupBy("container").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("items"), F.sum(F.col("n").cast("double") * F.col("n")).alias("cost"), F.max(F.col("start_at") + F.col("n")).alias("end"))
+    whole = packed.groupBy("doc_id").agg(F.count(F.lit(1)).alias("pieces"), F.sum("n").alias("size"))
+    cut = whole.where((F.col("pieces") > 1) & (F.col("size") <= 2048)).agg(F.count(F.lit(1)).alias("cut_needlessly"))
+    over = per.agg(
+        F.count(F.when(F.col("n") > 2048, 1)).alias("over_tokens"),
+        F.count(F.when(F.col("items") > 32, 1)).alias("over_documents"),
+        F.count(F.when((F.col("cost") > 0.75 * 2048**2) & (F.col("items") > 1), 1)).alias("over_attention"),
+        F.count(F.when(F.col("end") != F.col("n"), 1)).alias("with_gaps"),
+    )
+    return whole.agg(F.count(F.lit(1)).alias("n_documents")).crossJoin(F.broadcast(over)).crossJoin(F.broadcast(cut))
+
+
 def p9_spans(spark: SparkSession, sf_dir: str) -> SharedSpans:
     return SharedSpans(table(spark, sf_dir, "documents"), "doc_id", "text")
 
@@ -121,5 +153,5 @@ def p9_factors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries():
-    names = "p1_found p1_redacted p2_found p2_groups p3_found p3_consensus p3_reliability p3_agreement p4_found p4_ranking p5_found p5_splits p7_ids p8_packing p8_fill p9_found p9_coverage p9_factors"
+    names = "p1_found p1_redacted p2_found p2_groups p3_found p3_consensus p3_reliability p3_agreement p4_found p4_ranking p5_found p5_splits p5_balance p7_ids p8_packing p8_fill p8_tight p8_limits p9_found p9_coverage p9_factors"
     return {n: globals()[n] for n in names.split()}

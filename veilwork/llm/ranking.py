@@ -8,7 +8,8 @@ deviation, squashed by the logistic function and combined by a weighted
 geometric mean.  A missing score takes standing 0, below every present one.
 
 The sketch holds ``grid`` quantiles per score whatever the number of rows;
-it covers every row.
+it covers every row.  A standing read off it is at most 1 / ``accuracy`` +
+1 / ``grid`` (0.00055) from the exact one.
 
 Defined results
 ---------------

@@ -2,11 +2,18 @@
 
 Records and the entities they name (document, conversation) form a bipartite
 graph.  Minimum labels are propagated over its distinct edges until nothing
-moves; the label is the group.  Groups are then assigned to splits: the few
-that are large against the table one by one, each to the split whose label
-counts it brings nearest to target; all others by their position in a random
-order within their stratum (their most frequent label), which is cut at the
-proportions that the large groups leave open.
+moves; the label is the group.  Groups are then assigned to splits so that the
+label counts of each split come near its share of all.  The few groups that
+are large against the table go one by one, each to the split where the sum of
+squared misses over all labels is least afterwards.  All others are placed by
+their position in a random order within their stratum (their most frequent
+label), which is cut at the proportions that the large groups leave open *for
+this label*, so what those have put out of balance is made up for.
+
+Labels are counted in ``label_classes`` classes of their hash, so what the
+driver holds is bounded; with fewer labels than that each has its own, but for
+chance.  Positions are sums over 1,024 bands of the random order and within a
+band, so no task orders a whole stratum.
 
 Defined results
 ---------------
@@ -21,6 +28,7 @@ Defined results
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -67,20 +75,19 @@ def assign_splits(
     conversation_col: str = "conversation_id",
     label_col: str = "merged_type",
     large_share: int = 500,
-    steering_labels: int = 1000,
+    label_classes: int = 4096,
     seed: int = 7,
 ) -> DataFrame:
     """(id, group, split), one row per id.
 
     A group is large if it holds more than one in ``large_share`` of the rows,
-    so at most ``large_share`` groups are assigned on the driver, by the
-    counts of the ``steering_labels`` most frequent labels.
+    so at most ``large_share`` groups are assigned on the driver.
     """
     proportions = proportions or {"train": 0.8, "validation": 0.1, "test": 0.1}
     names, whole = list(proportions), sum(proportions.values())
     target = [proportions[n] / whole for n in names]
     own = _members(
-        rows.select(F.col(id_col).cast("string").alias("id"), F.col(document_col).alias("doc"), F.col(conversation_col).alias("conv"), F.coalesce(F.col(label_col), F.lit("")).alias("label_of")),
+        rows.select(F.col(id_col).cast("string").alias("id"), F.col(document_col).alias("doc"), F.col(conversation_col).alias("conv"), F.pmod(F.xxhash64(F.coalesce(F.col(label_col), F.lit(""))), F.lit(label_classes)).cast("int").alias("label_of")),
         "doc",
         "conv",
     ).groupBy("id").agg(F.min("_node").alias("node"), F.min("label_of").alias("label_of"))
@@ -92,38 +99,42 @@ def assign_splits(
         .select("grp", "n", F.col("m.label_of").alias("stratum"))
     )
     total = sizes.agg(F.sum("n")).first()[0] or 0
-    large = sizes.where(F.col("n") > F.lit(total / large_share)).orderBy(F.desc("n"), "grp").collect()
-    overall = {r["label_of"]: r["n"] for r in own.groupBy("label_of").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "label_of").limit(steering_labels).collect()}
-    chosen_groups = F.broadcast(sizes.where(F.col("n") > F.lit(total / large_share)).select("grp"))
-    labels = own.where(F.col("label_of").isin(list(overall))).join(chosen_groups, "grp").groupBy("grp", "label_of").count().collect() if large else []
-    mix: dict[str, dict[str, int]] = {}
-    for r in labels:
-        mix.setdefault(r["grp"], {})[r["label_of"]] = r["count"]
-    filled, have, chosen = [0] * len(names), [dict() for _ in names], []
+    large = sizes.where(F.col("n") > F.lit(total / large_share)).select("grp", "n").orderBy(F.desc("n"), "grp").collect()
+    overall = np.zeros(label_classes)
+    for r in own.groupBy("label_of").agg(F.count(F.lit(1)).alias("n")).collect():
+        overall[r["label_of"]] = r["n"]
+    counts: dict[str, np.ndarray] = {r["grp"]: np.zeros(label_classes) for r in large}
+    if large:
+        chosen_groups = F.broadcast(sizes.where(F.col("n") > F.lit(total / large_share)).select("grp"))
+        for r in own.join(chosen_groups, "grp").groupBy("grp", "label_of").agg(F.count(F.lit(1)).alias("n")).collect():
+            counts[r["grp"]][r["label_of"]] = r["n"]
+    share, weight = np.array(target), 1 / np.maximum(overall, 1)
+    have, chosen = np.zeros((len(names), label_classes)), []
     for r in large:
-
-        def cost(k: int) -> float:
-            """Squared miss of size and label counts in units of the split's share, were the group put into split k."""
-            miss = max(0.0, filled[k] + r["n"] - target[k] * total) / (target[k] * total)
-            skew = sum(((have[k].get(x, 0) + n) / (target[k] * max(1, overall.get(x, n))) - 1) for x, n in mix.get(r["grp"], {}).items())
-            return 1000 * miss + skew / max(1, len(mix.get(r["grp"], {})))
-
-        k = min(range(len(names)), key=lambda k: (cost(k), k))
-        filled[k] += r["n"]
-        for x, n in mix.get(r["grp"], {}).items():
-            have[k][x] = have[k].get(x, 0) + n
+        # squared misses of all labels in units of their frequency, and of the size; what exceeds a share counts, what is still open does not
+        after = have + counts[r["grp"]]
+        over = np.maximum(after - share[:, None] * overall, 0) ** 2 - np.maximum(have - share[:, None] * overall, 0) ** 2
+        size = np.maximum(after.sum(1) - share * total, 0) ** 2 - np.maximum(have.sum(1) - share * total, 0) ** 2
+        filled = after.sum(1) / np.maximum(share * total, 1)
+        cost = over @ weight + size / max(total, 1)
+        k = min(range(len(names)), key=lambda k: (round(float(cost[k]), 6), round(float(filled[k]), 6), k))  # noqa: B023
+        have[k] += counts[r["grp"]]
         chosen.append((r["grp"], names[k]))
-    rest = [max(0.0, target[k] * total - filled[k]) for k in range(len(names))]
-    rest_sum = sum(rest) or 1.0
+    # what is open of each label, and the shares at which its stratum is cut
+    open_ = np.maximum(share[:, None] * overall - have, 0)
+    spare = np.maximum(share * total - have.sum(1), 0)
+    open_ = np.where(open_.sum(0) > 0, open_, spare[:, None])
+    upto = np.cumsum(open_, 0) / np.maximum(open_.sum(0), 1e-9)
     spark = rows.sparkSession
     fixed = F.broadcast(spark.createDataFrame(chosen, "grp string, fixed string"))
+    cuts = F.broadcast(spark.createDataFrame([(k, upto[:-1, k].tolist()) for k in np.flatnonzero(overall).tolist()], "stratum int, cuts array<double>"))
     h = F.xxhash64(F.lit(seed), "grp")
-    small = sizes.join(fixed, "grp", "left_anti").withColumn("cell", F.pmod(h, F.lit(max(1, total // 1_000_000))))
-    w = Window.partitionBy("stratum", "cell").orderBy(h, "grp")
-    middle = (F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, 0)) - F.col("n") / 2) / F.sum("n").over(Window.partitionBy("stratum", "cell"))
-    split, upto = F.lit(names[-1]), 1.0
-    for k in range(len(names) - 2, -1, -1):
-        upto -= rest[k + 1] / rest_sum
-        split = F.when(F.col("middle") < F.lit(upto), F.lit(names[k])).otherwise(split)
-    placed = small.withColumn("middle", middle).select("grp", split.alias("split")).unionByName(fixed.select("grp", F.col("fixed").alias("split")))
+    small = sizes.join(fixed, "grp", "left_anti").withColumn("band", F.shiftright(h, 54))
+    bands = small.groupBy("stratum", "band").agg(F.sum("n").alias("in_band"))
+    w = Window.partitionBy("stratum").orderBy("band")
+    bands = bands.select("stratum", "band", (F.sum("in_band").over(w) - F.col("in_band")).alias("before"), F.sum("in_band").over(Window.partitionBy("stratum")).alias("all"))
+    within = F.sum("n").over(Window.partitionBy("stratum", "band").orderBy(h, "grp")) - F.col("n") / 2
+    placed = small.withColumn("within", within).join(bands, ["stratum", "band"]).join(cuts, "stratum")
+    at = F.size(F.filter("cuts", lambda c: c <= (F.col("before") + F.col("within")) / F.col("all")))
+    placed = placed.select("grp", F.element_at(F.array(*map(F.lit, names)), at + 1).alias("split")).unionByName(fixed.select("grp", F.col("fixed").alias("split")))
     return own.join(placed, "grp").select("id", F.col("grp").alias("group"), "split")

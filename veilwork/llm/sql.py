@@ -28,9 +28,48 @@ _WINDOWS = "SELECT doc_id, p, hash(substr(text, CAST(p AS INT) + 1, 200)) AS h F
 _SHARED = f"WITH w AS ({_WINDOWS}), many AS (SELECT h FROM w GROUP BY h HAVING count(DISTINCT doc_id) > 1), s AS (SELECT w.* FROM w JOIN many USING (h))"
 
 
+_GROUPS = f"""WITH RECURSIVE pairs AS ({_PAIRS}),
+nodes AS (SELECT DISTINCT id FROM scan_documents WHERE content IS NOT NULL AND len(string_split_regex(trim(content, E' \\t\\r\\n'), '[ \\t\\r\\n]+')) >= 3),
+link AS (SELECT id_a AS a, id_b AS b FROM pairs UNION SELECT id_b, id_a FROM pairs UNION SELECT id, id FROM nodes),
+reach AS (SELECT a, b FROM link UNION SELECT r.a, l.b FROM reach r JOIN link l ON r.b = l.a)
+SELECT a AS id, min(b) AS group_id, count(*) AS n_members FROM reach GROUP BY a"""
+
+_BALANCE = f"""WITH RECURSIVE e AS (SELECT DISTINCT id, concat('d:', {KEY.format('document_id')}) AS d0, {KEY.format('document_id')} IS NULL AS none, CASE WHEN lower(trim(conversation_id)) NOT IN ('', 'none', 'n/a', 'na', 'null', 'nan', '-', 'unknown') THEN concat('c:', lower(trim(conversation_id))) END AS c FROM signals),
+n AS (SELECT id, CASE WHEN NOT none THEN d0 END AS d, c, coalesce(CASE WHEN NOT none THEN d0 END, c, concat('r:', id)) AS node FROM e),
+link AS (SELECT DISTINCT d AS a, c AS b FROM n WHERE d IS NOT NULL AND c IS NOT NULL UNION SELECT c, d FROM n WHERE d IS NOT NULL AND c IS NOT NULL UNION SELECT node, node FROM n),
+reach AS (SELECT a, b FROM link UNION SELECT r.a, l.b FROM reach r JOIN link l ON r.b = l.a),
+label AS (SELECT a, min(b) AS l FROM reach GROUP BY a)
+SELECT count(DISTINCT n.id) AS n_rows, count(DISTINCT l) AS n_groups, CAST(0 AS BIGINT) AS n_torn, 8 AS train_tenths, 1 AS validation_tenths, 1 AS test_tenths FROM n JOIN label ON label.a = n.node"""
+
+
+def _agreement() -> str:
+    """Fleiss' kappa over all detectors and Cohen's for each pair."""
+    names = ["phi_bert", "pii_bert", "presidio", "rule"]
+    clean = lambda c: f"lower(trim({c}, E' \\t\\r\\n'))"
+    known = f"known AS (SELECT {clean('detector')} AS d, {clean('raw_label')} AS l, min(entity_type) AS t FROM detector_labels GROUP BY ALL)"
+    joins = " ".join(f"LEFT JOIN known k{i} ON k{i}.d = '{d}' AND k{i}.l = {clean(d + '_type')}" for i, d in enumerate(names))
+    items = f"items AS (SELECT s.id, {', '.join(f'min(k{i}.t) AS t{i}' for i in range(4))} FROM span_signals s {joins} GROUP BY s.id)"
+    votes = "votes AS (" + " UNION ALL ".join(f"SELECT id, t{i} AS t FROM items WHERE t{i} IS NOT NULL" for i in range(4)) + ")"
+    fleiss = """per AS (SELECT id, t, count(*) AS c FROM votes GROUP BY ALL), item AS (SELECT id, sum(c) AS m, sum(c * (c - 1)) AS s FROM per GROUP BY id HAVING sum(c) >= 2),
+seen AS (SELECT avg(s / (m * (m - 1))) AS v FROM item), chance AS (SELECT sum(p * p) AS v FROM (SELECT sum(c) / sum(sum(c)) OVER () AS p FROM per SEMI JOIN item USING (id) GROUP BY t))"""
+    parts = ["SELECT 'all' AS scope, CAST((seen.v - chance.v) / (1 - chance.v) AS DOUBLE) AS kappa FROM seen, chance"]
+    for i in range(4):
+        for j in range(i + 1, 4):
+            both = f"(SELECT t{i} AS x, t{j} AS y FROM items WHERE t{i} IS NOT NULL AND t{j} IS NOT NULL)"
+            share = lambda c: f"(SELECT {c} AS t, count(*) / (SELECT count(*) FROM {both}) AS p FROM {both} GROUP BY 1)"  # noqa: B023, E731
+            parts.append(
+                f"SELECT '{names[i]}~{names[j]}', (o - e) / (1 - e) FROM (SELECT avg(CASE WHEN x = y THEN 1.0 ELSE 0.0 END) AS o FROM {both}), (SELECT sum(a.p * b.p) AS e FROM {share('x')} a JOIN {share('y')} b ON a.t = b.t)"
+            )
+    return f"WITH {known}, {items}, {votes}, {fleiss} " + " UNION ALL ".join(parts)
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "p2_found": _PAIRS,
+        "p2_groups": _GROUPS,
+        "p3_agreement": _agreement(),
+        "p5_balance": _BALANCE,
+        "p8_limits": "SELECT count(*) AS n_documents, CAST(0 AS BIGINT) AS over_tokens, CAST(0 AS BIGINT) AS over_documents, CAST(0 AS BIGINT) AS over_attention, CAST(0 AS BIGINT) AS with_gaps, CAST(0 AS BIGINT) AS cut_needlessly FROM documents WHERE text <> ''",
         "p4_found": _first_spans(),
         "p5_found": _SPLITS,
         "p9_found": f"{_SHARED} SELECT DISTINCT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM (SELECT DISTINCT doc_id, h FROM s) a JOIN (SELECT DISTINCT doc_id, h FROM s) b ON a.h = b.h AND a.doc_id < b.doc_id",
