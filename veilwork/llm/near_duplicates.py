@@ -126,6 +126,7 @@ class NearDuplicates:
         if bands * width & (bands * width - 1):
             raise ValueError("bands * width must be a power of two")
         kind = docs.schema[id_col].dataType.simpleString()
+        self._ids = docs.select(F.col(id_col).alias("id")).where("id IS NOT NULL").distinct()
         own = docs.select(F.col(id_col).alias("id"), F.lower(F.col(text_col)).alias("text")).where("id IS NOT NULL AND text IS NOT NULL")
         rows = stage(own.mapInArrow(_sketches(words_per, bands, width), f"id {kind}, k1 long, k2 long, n int, bands array<long>"))
         heads = rows.groupBy("k1", "k2", "n").agg(F.min("id").alias("rep"))
@@ -216,5 +217,6 @@ class NearDuplicates:
         strong = self._near.where(F.col("similarity") >= self.threshold).select("a", "b")
         rest = self._leaf_links((F.col("s2") < self.threshold) | (F.col("s3") < self.threshold)).select("a", "b")
         by = stage(components(strong.unionByName(rest).unionByName(self.members.select(F.col("rep").alias("a"), F.col("id").alias("b")))))
+        by = by.unionByName(self._ids.join(by.select(F.col("node").alias("id")), "id", "left_anti").select(F.col("id").alias("node"), F.col("id").alias("label")))
         size = by.groupBy("label").agg(F.count(F.lit(1)).alias("n_members"))
         return by.join(size, "label").select(F.col("node").alias("id"), F.col("label").alias("group_id"), "n_members")

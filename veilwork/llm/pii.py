@@ -1,7 +1,7 @@
 """Personal information inside free text (problem 1).
 
 Structured kinds (EMAIL, PHONE, ID_NUMBER, ADDRESS) have shapes and cue words.
-Names do not, so how strongly a term discloses a person is estimated from the
+Names have not, so how strongly a term discloses a person is estimated from the
 whole corpus, by co-occurrence:
 
 1. Every capitalised word is counted together with its frame, the token(s)
@@ -15,6 +15,10 @@ whole corpus, by co-occurrence:
 3. Protected terms, with the initials and hyphens around them, make up
    mentions; titles and genitive endings stay outside.
 
+Identity numbers are estimated likewise: a frame's disclosure is the share of
+numbers behind it that have the shape of an identity number; behind a frame
+that discloses them, numbers of any other shape are taken too.
+
 Every mention is replaced by a placeholder of its type; all else is kept.
 
 The tables of terms and frames grow with the vocabulary; they are broadcast
@@ -86,17 +90,34 @@ def frame(text: str, s: int) -> str:
     return f"{word} {mark}" if mark else word
 
 
+def numbers(text: str):
+    """(start, end) of runs of digits that can be identity numbers, dates not."""
+    for run in P.DIGIT_RUN.finditer(text):
+        s, e = run.span()
+        if not (e - s < 14 and P.DATE_ALONE.fullmatch(text, s, e)):
+            yield s, e
+
+
+def number_frame(text: str, s: int) -> str:
+    """Frame of a number, apart from those of words."""
+    return f"9 {frame(text, s)}"
+
+
 def _count(batches):
-    """Texts -> counted co-occurrences: F frame word, L lower-case word, T town."""
+    """Texts -> counted co-occurrences: F frame word, L lower-case word, T town, N frame and whether an identity number by shape is behind."""
     for b in batches:
         seen: Counter = Counter()
         low: Counter = Counter()
         towns: Counter = Counter()
+        behind: Counter = Counter()
         for text in b.column(0).to_pylist():
             seen.update([(frame(text, m.start()), m.group().lower()) for m in _CAPITAL.finditer(text)])
             low.update(_LOWER.findall(text))
             towns.update(_TOWN.findall(text))
-        rows = [("F", f, w, n) for (f, w), n in seen.items()] + [("L", "", w, n) for w, n in low.items()] + [("T", "", w.lower(), n) for w, n in towns.items()]
+            for s, e in numbers(text):
+                m = P.NUMBERS.match(text[max(0, s - 1) : e + 18].lower(), min(s, 1))
+                behind[number_frame(text, s), "1" if m and m.lastgroup != "phone" else "0"] += 1
+        rows = [("F", f, w, n) for (f, w), n in seen.items()] + [("L", "", w, n) for w, n in low.items()] + [("T", "", w.lower(), n) for w, n in towns.items()] + [("N", f, w, n) for (f, w), n in behind.items()]
         yield pa.RecordBatch.from_arrays([*(pa.array([r[k] for r in rows], pa.string()) for k in range(3)), pa.array([r[3] for r in rows], pa.int64())], ["what", "frame", "word", "n"])
 
 
@@ -137,6 +158,10 @@ class Disclosure:
         # names are no frames here (a mention beside a name is found by its neighbour)
         cues = shares.join(known.where("name").select(F.col("word").alias("frame")), "frame", "left_anti")
         self.frames = stage(cues.select("frame", "of", (F.col("hits") / (F.col("of") + 2)).alias("share")).where((F.col("of") >= 4 * support) & (F.col("share") >= 0.6)).select("frame", "share"))
+        # what stands before identity numbers of a known shape discloses numbers of any shape
+        told = table.where("what = 'N'").groupBy("frame").agg(F.sum("n").alias("of"), F.sum(F.when(F.col("word") == "1", F.col("n")).otherwise(0)).alias("hits"))
+        told = told.select("frame", "of", (F.col("hits") / (F.col("of") + 2)).alias("share")).where((F.col("of") >= 4 * support) & (F.col("share") >= 0.9)).select("frame", "share")
+        self.frames = stage(self.frames.unionByName(told))
         # a surname is what often stands behind a name
         forenames = known.where("name").select(F.col("word").alias("frame"))
         behind = pairs.join(forenames, "frame").groupBy("word").agg(F.sum("n").alias("behind"))
@@ -198,7 +223,7 @@ def _long_street(text: str, tag: int, done: int, s: int, right: int):
     return P.LONG_STREETS[2].search(text, max(done, i - 24), right)
 
 
-def structured(text: str, low: str, keys: list[tuple[int, int, str]], towns, mask: bytearray) -> list[tuple[int, int, str]]:
+def structured(text: str, low: str, keys: list[tuple[int, int, str]], frames, towns, mask: bytearray) -> list[tuple[int, int, str]]:
     """Findings of the structured kinds, none overlapping.
 
     ``keys``: places of the words that lead to them; ``mask`` gets a 1 at every
@@ -276,13 +301,12 @@ def structured(text: str, low: str, keys: list[tuple[int, int, str]], towns, mas
         if "N" in tags and low[s - 1 : s] == "(" and P.ID_NOTE.match(low, s - 2):
             number(P.ID_BEFORE.search(text, max(0, s - 26), s - 2))
         spelled += "D" in tags
-    for run in P.DIGIT_RUN.finditer(text):
-        s, e = run.span()
-        if e - s < 14 and P.DATE_ALONE.fullmatch(text, s, e):
-            continue
+    for s, e in numbers(text):
         for m in P.NUMBERS.finditer(low, s, min(len(text), e + 18)):
             if m.start() < e and not other(m.start()):  # what begins behind the run belongs to the next one
                 add(m.start(), m.end(), "PHONE" if m.lastgroup == "phone" else "ID_NUMBER")
+        if mask.find(1, s, e) < 0 and number_frame(text, s) in frames and not other(s):
+            number(P.ID_BEHIND.match(text, s))
     if spelled >= 7:  # the least a spelled number has
         for m in P.SPELLED.finditer(low):
             add(m.start(), m.end(), "PHONE")
@@ -391,7 +415,7 @@ def find(text: str, vocab, frames, towns) -> list[tuple[int, int, str]]:
     low = lowered(text)
     hits = _places(low, vocab)
     mask = bytearray(len(text))
-    taken = structured(text, low, [(s, e, v[2]) for s, e, v in hits if v[2]], towns, mask)
+    taken = structured(text, low, [(s, e, v[2]) for s, e, v in hits if v[2]], frames, towns, mask)
     return sorted(taken + mentions(text, hits, mask, vocab, frames))
 
 
@@ -422,7 +446,7 @@ def _held(what):
 
 
 def _frames_of(text: str) -> set[str]:
-    return {frame(text, m.start()) for m in _LETTERS.finditer(lowered(text))}
+    return {frame(text, m.start()) for m in _LETTERS.finditer(lowered(text))} | {number_frame(text, s) for s, _ in numbers(text)}
 
 
 def _words_of(text: str) -> set[str]:

@@ -29,7 +29,7 @@ _SHARED = f"WITH w AS ({_WINDOWS}), many AS (SELECT h FROM w GROUP BY h HAVING c
 
 
 _GROUPS = f"""WITH RECURSIVE pairs AS ({_PAIRS}),
-nodes AS (SELECT DISTINCT id FROM scan_documents WHERE content IS NOT NULL AND len(string_split_regex(trim(content, E' \\t\\r\\n'), '[ \\t\\r\\n]+')) >= 3),
+nodes AS (SELECT DISTINCT id FROM scan_documents WHERE id IS NOT NULL),
 link AS (SELECT id_a AS a, id_b AS b FROM pairs UNION SELECT id_b, id_a FROM pairs UNION SELECT id, id FROM nodes),
 reach AS (SELECT a, b FROM link UNION SELECT r.a, l.b FROM reach r JOIN link l ON r.b = l.a)
 SELECT a AS id, min(b) AS group_id, count(*) AS n_members FROM reach GROUP BY a"""
