@@ -127,7 +127,8 @@ class Disclosure:
     A term that gives ``threshold`` of the most information a term can give
     (that of a sure name, -log2 of the share of names) joins the known names,
     and the frames are weighed again, ``rounds`` times.  A term's own occurrences never count as
-    evidence for it.
+    evidence for it.  A term of fewer than ``support`` occurrences joins them if
+    all of these stand in sure frames.
     """
 
     def __init__(self, texts: DataFrame, text_col: str, names: DataFrame, threshold: float = 0.45, support: int = 3, rounds: int = 2):
@@ -152,7 +153,7 @@ class Disclosure:
             weighed = marked.join(shares, "frame").groupBy("word").agg((F.sum(F.col("n") * share) / F.sum("n")).alias("p"), F.sum(sure).alias("disclosed"))
             bits = F.log2(F.greatest(F.coalesce("p", F.lit(0.0)), F.lit(1e-9)) / F.lit(prior))
             scored = base.drop("name").join(weighed, "word", "left").withColumn("bits", bits)
-            over = (F.col("bits") >= F.lit(-threshold * math.log2(prior))) & (F.col("total") >= support)
+            over = (F.col("bits") >= F.lit(-threshold * math.log2(prior))) & ((F.col("total") >= support) | (F.col("disclosed") >= F.col("total")))
             known = stage(scored.withColumn("name", ~F.col("common") & (F.col("category").isNotNull() | over)))
         self.prior = prior
         # names are no frames here (a mention beside a name is found by its neighbour)
