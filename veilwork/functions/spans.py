@@ -31,7 +31,7 @@ def _offsets(m: Column, gaps: Column) -> Column:
 
 def spans(text: Column, m: Column, rule: Rule, inner: Column | None = None) -> Column:
     """Spans of one rule; ``m`` are its whole matches, ``inner`` its groups."""
-    whole = F.when(F.size(m) > 0, _offsets(m, F.split(text, rule.regex, -1))).otherwise(F.array().cast(f"array<{SPAN}>"))
+    whole = F.when(F.size(m) > 0, _offsets(m, F.split(text, rule.search, -1))).otherwise(F.array().cast(f"array<{SPAN}>"))
     if inner is None:
         return whole
 
@@ -57,8 +57,8 @@ def gate(low: Column, digit: Column, rule: Rule) -> Column | None:
     return out
 
 
-def extract(df: DataFrame, id_col: str, text_col: str, rules: list[Rule]) -> DataFrame:
-    """(id, rule, start, end, text) of all rules in one scan, before validation.
+def extract(df: DataFrame, id_col: str, text_col: str, rules: list[Rule], keep_text: bool = False) -> DataFrame:
+    """(id, k, start, end, text) of all rules in one scan, before validation; with ``keep_text`` also the whole text, ``t``.
 
     Null and empty texts give no rows.  The matches are not filtered before
     the explode, which would evaluate every pattern twice.
@@ -71,7 +71,7 @@ def extract(df: DataFrame, id_col: str, text_col: str, rules: list[Rule]) -> Dat
         for suffix, group in (("m", 0), ("g", 1)):
             if group and not r.group:
                 continue
-            x = F.regexp_extract_all("t", F.lit(r.regex), F.lit(group))
+            x = F.regexp_extract_all("t", F.lit(r.search), F.lit(group))
             found.append((F.when(g, x).otherwise(F.array().cast("array<string>")) if g is not None else x).alias(f"{suffix}{k}"))
     stepped = base.select("id", "t", *found)
     def numbered(k: int):
@@ -79,4 +79,5 @@ def extract(df: DataFrame, id_col: str, text_col: str, rules: list[Rule]) -> Dat
 
     each = [F.transform(spans(F.col("t"), F.col(f"m{k}"), r, F.col(f"g{k}") if r.group else None), numbered(k)) for k, r in enumerate(rules)]
     packed = F.flatten(F.array(*each))
-    return stepped.select("id", F.explode(packed).alias("s")).select("id", "s.k", "s.start", "s.end", "s.text")
+    kept = ["t"] if keep_text else []
+    return stepped.select("id", *kept, F.explode(packed).alias("s")).select("id", "s.k", "s.start", "s.end", "s.text", *kept)

@@ -118,8 +118,75 @@ def splice(text: Column, spans: Column) -> Column:
     return F.aggregate(ordered, first, step, lambda acc: acc["t"])
 
 
+def splice_log(text: Column, spans: Column) -> Column:
+    """struct(text, log): as :func:`splice`, and what it replaced: start, end (places in the new text), token, original."""
+    ordered = F.array_sort(F.array_distinct(spans))
+    # from the right, as in splice: a span that reaches into a kept one is skipped
+    begin = F.struct(F.length(text).alias("edge"), F.array().cast("array<struct<start:int,end:int,token:string>>").alias("kept"))
+
+    def choose(acc: Column, s: Column) -> Column:
+        ok = (s["end"] <= acc["edge"]) & (s["start"] >= 0) & (s["start"] < s["end"])
+        return F.struct(F.when(ok, s["start"]).otherwise(acc["edge"]).alias("edge"), F.when(ok, F.concat(F.array(s), acc["kept"])).otherwise(acc["kept"]).alias("kept"))
+
+    kept = F.aggregate(F.reverse(ordered), begin, choose, lambda acc: acc["kept"])
+    log_type = "array<struct<start:int,end:int,token:string,original:string>>"
+    first = F.struct(F.lit("").alias("t"), F.lit(0).alias("at"), F.array().cast(log_type).alias("log"))
+
+    def write(acc: Column, s: Column) -> Column:
+        head = F.concat(acc["t"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]))
+        one = F.struct(F.length(head).alias("start"), (F.length(head) + F.length(s["token"])).alias("end"), s["token"].alias("token"), F.substring(text, s["start"] + 1, s["end"] - s["start"]).alias("original"))
+        return F.struct(F.concat(head, s["token"]).alias("t"), s["end"].alias("at"), F.concat(acc["log"], F.array(one)).alias("log"))
+
+    return F.aggregate(kept, first, write, lambda acc: F.struct(F.concat(acc["t"], F.substring(text, acc["at"] + 1, F.length(text))).alias("text"), acc["log"].alias("log")))
+
+
+def restore_log(text: Column, log: Column) -> Column:
+    """The very text that :func:`splice_log` was given, from its result."""
+    back = F.transform(log, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["original"].alias("token")))
+    return splice(text, back)
+
+
+SAFE_KINDS = [*DATE_KINDS, "AGE", "ZIP", "ZIP_CODE", "ZIPCODE", "POSTAL_CODE"]
+
+
+def safe_harbor(texts: DataFrame, spans: DataFrame, doc: str = "doc", text: str = "doc_text", conversation: str | None = None) -> DataFrame:
+    """(doc, text, changes): every text with its dates, ages and postcodes generalised.
+
+    ``changes``: original, transformed, type, start, end (places in the
+    original) of each value that was changed.  Spans whose text is not at their
+    place are skipped, and so are those that reach into one further right.
+    Dates move by the offset of ``conversation`` (a column of ``spans``; the
+    document unless given).
+    """
+    conv = F.col(conversation or doc).cast("string")
+    s = spans.where(F.upper("entity_type").isin(SAFE_KINDS)).withColumn("_new", generalise(F.col("text"), F.col("entity_type"), conv)).where("_new <> text")
+    s = s.join(texts.select(doc, F.col(text).alias("_t")), doc).where((F.col("start") >= 0) & (F.substring(F.col("_t"), F.col("start") + 1, F.col("end") - F.col("start")) == F.col("text")))
+    w = Window.partitionBy(doc).orderBy(F.desc("start"), F.desc("end"), F.desc("_new"))
+    # from the right, a span is kept if it ends before the last kept one begins; of equal places one counts
+    one = F.struct("start", "end", F.col("_new").alias("token"), F.col("text").alias("original"), "entity_type")
+    kind = "array<struct<start:int,end:int,token:string,original:string,entity_type:string>>"
+    begin = F.struct(F.lit(1 << 30).alias("edge"), F.array().cast(kind).alias("kept"))
+
+    def choose(acc: Column, x: Column) -> Column:
+        ok = x["end"] <= acc["edge"]
+        return F.struct(F.when(ok, x["start"]).otherwise(acc["edge"]).alias("edge"), F.when(ok, F.concat(F.array(x), acc["kept"])).otherwise(acc["kept"]).alias("kept"))
+
+    per = s.withColumn("_k", F.row_number().over(w)).groupBy(doc).agg(F.array_sort(F.collect_list(F.struct("_k", one.alias("x")))).alias("s"))
+    per = per.select(doc, F.aggregate(F.transform("s", lambda y: y["x"]).cast(kind), begin, choose, lambda acc: acc["kept"]).alias("kept"))
+    out = texts.join(per, doc, "left")
+    none = F.array().cast(kind)
+    cut = F.transform(F.coalesce("kept", none), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["token"].alias("token")))
+    log = F.transform(F.coalesce("kept", none), lambda x: F.struct(x["original"].alias("original"), x["token"].alias("transformed"), x["entity_type"].alias("type"), x["start"].alias("start"), x["end"].alias("end")))
+    return out.select(doc, F.when(F.col("kept").isNull(), F.col(text)).otherwise(splice(F.col(text), cut)).alias("text"), log.alias("changes"))
+
+
 def redact(texts: DataFrame, spans: DataFrame, doc: str = "doc", text: str = "doc_text") -> DataFrame:
-    """(doc, redacted, token_map): every tokenised span replaced; the map leads back."""
+    """(doc, redacted, token_map, log): every tokenised span replaced.
+
+    The map leads a token back to one of its originals (they differ at most in
+    case and outer blanks); the log, with places in the redacted text, leads
+    back to the very text (:func:`restore_log`).
+    """
     # one original per token: the first in order of the text
     spans = spans.withColumn("original", F.min("text").over(Window.partitionBy(doc, "token")))
     per = spans.groupBy(doc).agg(
@@ -127,8 +194,8 @@ def redact(texts: DataFrame, spans: DataFrame, doc: str = "doc", text: str = "do
         F.collect_set(F.struct("token", "original")).alias("m"),
     )
     out = texts.join(per, doc, "left")
-    done = F.when(F.col("s").isNull(), F.col(text)).otherwise(splice(F.col(text), F.coalesce("s", F.array().cast("array<struct<start:int,end:int,token:string>>"))))
-    return out.select(doc, done.alias("redacted"), F.map_from_entries(F.coalesce("m", F.array().cast("array<struct<token:string,original:string>>"))).alias("token_map"))
+    out = out.withColumn("_o", splice_log(F.col(text), F.coalesce("s", F.array().cast("array<struct<start:int,end:int,token:string>>"))))
+    return out.select(doc, F.col("_o.text").alias("redacted"), F.col("_o.log").alias("log"), F.map_from_entries(F.coalesce("m", F.array().cast("array<struct<token:string,original:string>>"))).alias("token_map"))
 
 
 TOKEN = r"\[[A-Z_]+_\d+\]"
@@ -150,10 +217,15 @@ def derive_key(password: str, salt: bytes, rounds: int = 600_000) -> bytes:
     return hashlib.pbkdf2_hmac("sha256", password.encode(), salt, rounds)
 
 
-def encrypt(text: Column, key: bytes) -> Column:
-    """AES-256-GCM: nonce, cipher text and tag in one value."""
-    return F.aes_encrypt(text, F.lit(key), F.lit("GCM"))
+def _keyed(df: DataFrame, key: bytes) -> DataFrame:
+    """``df`` with the key as a column of a one-row table, so that no plan, and no log of plans, shows it."""
+    return df.crossJoin(F.broadcast(df.sparkSession.createDataFrame([(bytearray(key),)], "_key binary")))
+
+
+def encrypt(df: DataFrame, column: str, key: bytes) -> DataFrame:
+    """``df`` with a text column under AES-256-GCM: nonce, cipher text and tag in one value."""
+    return _keyed(df, key).withColumn(column, F.aes_encrypt(F.col(column), F.col("_key"), F.lit("GCM"))).drop("_key")
 
 
-def decrypt(data: Column, key: bytes) -> Column:
-    return F.aes_decrypt(data, F.lit(key), F.lit("GCM")).cast("string")
+def decrypt(df: DataFrame, column: str, key: bytes) -> DataFrame:
+    return _keyed(df, key).withColumn(column, F.aes_decrypt(F.col(column), F.col("_key"), F.lit("GCM")).cast("string")).drop("_key")

@@ -116,10 +116,8 @@ def _any_in(c: Column, words: list[str]) -> Column:
 
 def detect_secrets(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, start, end, text, confidence, entropy) of strings that look like passwords or keys."""
-    raw = extract(df, id_col, text_col, [Rule("secret", "PASSWORD", 0.6, R.SECRET_SHAPE)])
-    texts = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"))
-    # a document's candidates and its text meet again on the id; only documents with candidates take part
-    c = raw.join(texts.dropDuplicates(["id"]), "id")
+    # the words around a candidate are cut out where it is found
+    c = extract(df, id_col, text_col, [Rule("secret", "PASSWORD", 0.6, R.SECRET_SHAPE)], keep_text=True)
     before = F.lower(F.expr("substring(t, greatest(start - 20, 0) + 1, least(start, 20))"))
     around = F.lower(F.expr("substring(t, greatest(start - 100, 0) + 1, least(start, 100) + length(text) + 100)"))
     labelled = _any_in(before, R.SECRET_LABELS) & before.rlike(r"[:=]\s*$")

@@ -2,24 +2,44 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from veilwork.catalog.lists import TYPE_GROUPS
+from veilwork.catalog.lists import EVALUATION_CATEGORIES, EXCLUDED_LABELS, GOLD_LABELS, REPORT_TYPES, TYPE_GROUPS
+from veilwork.functions.folds import first_come
 
 
 def norm_type(c: Column) -> Column:
     return F.translate(F.upper(c), "_- ", "")
 
 
-def type_group(c: Column) -> Column:
-    """Group of compatible types, or the normalised type itself."""
-    n = norm_type(c)
+def _by_members(n: Column, groups: dict[str, list[str]]) -> Column:
     out = F.lit(None).cast("string")
-    for name, members in TYPE_GROUPS.items():
+    for name, members in groups.items():
         out = F.when(n.isin([m.replace("_", "").replace("-", "") for m in members]), F.lit(name)).otherwise(out)
-    return F.coalesce(out, n)
+    return out
+
+
+def type_group(c: Column) -> Column:
+    """Group of compatible types, or the normalised type itself."""
+    return F.coalesce(_by_members(norm_type(c), TYPE_GROUPS), norm_type(c))
+
+
+def report_type(c: Column) -> Column:
+    """The name a type is reported under."""
+    return F.coalesce(_by_members(F.translate(F.upper(c), "_", ""), REPORT_TYPES), F.upper(c))
+
+
+def evaluation_category(c: Column) -> Column:
+    """Category in the four-mode evaluation; null: the type is left out of it."""
+    return _by_members(norm_type(c), EVALUATION_CATEGORIES)
+
+
+def gold_label(label: Column) -> Column:
+    """The type that a data set's label means (B- and I- marks and punctuation aside); null: nothing personal; unknown labels stay."""
+    bare = F.upper(F.regexp_replace(F.trim(label), "^[BbIi]-", ""))
+    excluded = norm_type(bare).isin([x.replace("_", "") for x in EXCLUDED_LABELS])
+    return F.when(~excluded, F.coalesce(_by_members(norm_type(bare), GOLD_LABELS), bare))
 
 
 def compatible(a: Column, b: Column) -> Column:
@@ -33,36 +53,45 @@ def overlap_ratio(s1: Column, e1: Column, s2: Column, e2: Column, longer: bool =
     return F.when(base > 0, shared / base).otherwise(0.0)
 
 
-def _greedy(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-    """Predictions in order take the free gold span of the largest overlap."""
-    taken, rows = set(), []
-    for pred, part in pdf.sort_values(["p_start", "p_end", "pred", "ratio", "g_start", "gold"], ascending=[True, True, True, False, True, True]).groupby("pred", sort=False):
-        for g in part["gold"]:
-            if g not in taken:
-                taken.add(g)
-                rows.append((key[0], pred, g))
-                break
-    return pd.DataFrame(rows, columns=["doc", "pred", "gold"])
+_SIDE = "array<struct<start:int,end:int,span_id:string,entity_type:string,tg:string>>"
+_PAIR = "array<struct<pred:string,gold:string,same:boolean>>"
+
+
+def _islands(pred: DataFrame, gold: DataFrame) -> DataFrame:
+    """(doc, preds, golds): the spans of each stretch of overlapping ones, in order.
+
+    What a span is matched with lies in its own stretch, so only the spans of
+    one stretch are brought together, never those of a document.
+    """
+    cols = ["doc", F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end"), F.col("span_id").cast("string").alias("span_id"), "entity_type", type_group(F.col("entity_type")).alias("tg")]
+    both = pred.select(*cols, F.lit(True).alias("p")).distinct().unionByName(gold.select(*cols, F.lit(False).alias("p")).distinct())
+    w = Window.partitionBy("doc").orderBy("start", "end", "p", "span_id")
+    again = (F.lag("start").over(w) == F.col("start")) & (F.lag("end").over(w) == F.col("end"))
+    fresh = (F.col("start") >= F.coalesce(F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(-(1 << 31)))) & ~F.coalesce(again, F.lit(False))
+    cut = both.withColumn("fresh", fresh.cast("long")).withColumn("island", F.sum("fresh").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    one = F.struct("start", "end", "span_id", "entity_type", "tg")
+    side = lambda is_p: F.array_sort(F.collect_list(F.when(F.col("p") == is_p, one))).cast(_SIDE)
+    return cut.groupBy("doc", "island").agg(side(F.lit(True)).alias("preds"), side(F.lit(False)).alias("golds"))
+
+
+def _shared(p: Column, g: Column) -> Column:
+    return F.greatest(F.least(p["end"], g["end"]) - F.greatest(p["start"], g["start"]), F.lit(0))
 
 
 def greedy_matches(pred: DataFrame, gold: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """(doc, pred, gold): predictions in order of place, each to the best free gold span of a compatible type.
+    """(doc, pred, gold): predictions in order of place, each to the free gold span of a compatible type with the largest overlap.
 
-    ``pred`` and ``gold``: doc, span_id, start, end, entity_type.  Only
-    documents in which a span has more than one candidate need the fold; a
-    document's candidates are bounded by its own spans.
+    ``pred`` and ``gold``: doc, span_id, start, end, entity_type.
     """
-    kind = pred.schema["doc"].dataType.simpleString()
-    p = pred.select("doc", F.col("span_id").alias("pred"), F.col("start").alias("p_start"), F.col("end").alias("p_end"), F.col("entity_type").alias("p_type"))
-    g = gold.select("doc", F.col("span_id").alias("gold"), F.col("start").alias("g_start"), F.col("end").alias("g_end"), F.col("entity_type").alias("g_type"))
-    near = p.join(g, "doc").where((F.col("p_start") < F.col("g_end")) & (F.col("g_start") < F.col("p_end")) & compatible(F.col("p_type"), F.col("g_type")))
-    near = near.withColumn("ratio", overlap_ratio(F.col("p_start"), F.col("p_end"), F.col("g_start"), F.col("g_end"))).where(F.col("ratio") >= threshold)
-    many = F.greatest(F.count(F.lit(1)).over(Window.partitionBy("doc", "pred")), F.count(F.lit(1)).over(Window.partitionBy("doc", "gold")))
-    near = near.withColumn("busy", many > 1)
-    busy = near.withColumn("any", F.max("busy").over(Window.partitionBy("doc")))
-    easy = busy.where(~F.col("any")).select("doc", "pred", "gold")
-    hard = busy.where("any").groupBy("doc").applyInPandas(_greedy, f"doc {kind}, pred string, gold string")
-    return easy.unionByName(hard)
+
+    def of(p: Column) -> Column:
+        ratio = lambda g: F.try_divide(_shared(p, g), F.least(p["end"] - p["start"], g["end"] - g["start"]))
+        near = F.filter("golds", lambda g: (g["tg"] == p["tg"]) & (_shared(p, g) > 0) & (ratio(g) >= threshold))
+        best = F.array_sort(F.transform(near, lambda g: F.struct((-ratio(g)).alias("r"), g["start"].alias("s"), g["span_id"].alias("gold"))))
+        return F.transform(best, lambda x: F.struct(p["span_id"].alias("pred"), x["gold"].alias("gold"), F.lit(True).alias("same")))
+
+    m = first_come(F.flatten(F.transform("preds", of)), _PAIR, "pred", "gold")
+    return _islands(pred, gold).select("doc", F.explode(m).alias("x")).select("doc", "x.pred", "x.gold")
 
 
 def outcomes(pred: DataFrame, gold: DataFrame, matches: DataFrame) -> DataFrame:
@@ -92,38 +121,28 @@ def score_table(result: DataFrame) -> DataFrame:
     return scores(g)
 
 
-def _semeval(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-    """Equal borders first, then the first free overlap, gold in order."""
-    gold = pdf[pdf.side == "g"].sort_values(["start", "end", "span_id"]).to_dict("records")
-    pred = pdf[pdf.side == "p"].sort_values(["start", "end", "span_id"]).to_dict("records")
-    free, left, rows = [True] * len(pred), [], []
-    for g in gold:
-        for j, p in enumerate(pred):
-            if free[j] and (g["start"], g["end"]) == (p["start"], p["end"]):
-                free[j] = False
-                rows.append(("equal", g["entity_type"] == p["entity_type"]))
-                break
-        else:
-            left.append(g)
-    for g in left:
-        for j, p in enumerate(pred):
-            if free[j] and g["start"] < p["end"] and p["start"] < g["end"]:
-                free[j] = False
-                rows.append(("overlap", g["entity_type"] == p["entity_type"]))
-                break
-        else:
-            rows.append(("missed", False))
-    rows += [("spurious", False)] * sum(free)
-    return pd.DataFrame([(key[0], *r) for r in rows], columns=["doc", "pairing", "same_type"])
+def semeval_pairs(pred: DataFrame, gold: DataFrame) -> DataFrame:
+    """(doc, pairing, same_type, n): gold spans in order take a free prediction of equal borders, those left the first free overlapping one; the rest is missed or spurious."""
+
+    def pairs(golds: Column, preds: Column, test) -> Column:
+        of = lambda g: F.transform(F.filter(preds, lambda p: test(g, p)), lambda p: F.struct(p["span_id"].alias("pred"), g["span_id"].alias("gold"), F.equal_null(p["entity_type"], g["entity_type"]).alias("same")))
+        return first_come(F.flatten(F.transform(golds, of)), _PAIR, "pred", "gold")
+
+    x = _islands(pred, gold).withColumn("eq", pairs(F.col("golds"), F.col("preds"), lambda g, p: (g["start"] == p["start"]) & (g["end"] == p["end"])))
+    left = lambda side, key: F.filter(side, lambda y: ~F.exists("eq", lambda k: k[key] == y["span_id"]))
+    x = x.withColumns({"golds": left("golds", "gold"), "preds": left("preds", "pred")})
+    x = x.withColumn("ov", pairs(F.col("golds"), F.col("preds"), lambda g, p: (g["start"] < p["end"]) & (p["start"] < g["end"])))
+    count = lambda c, same: F.size(F.filter(c, lambda k: k["same"] == same))
+    row = lambda pairing, same, n: F.struct(F.lit(pairing).alias("pairing"), F.lit(same).alias("same_type"), n.cast("long").alias("n"))
+    rows = [row(name, same, count(col, same)) for name, col in (("equal", "eq"), ("overlap", "ov")) for same in (True, False)]
+    rows += [row("missed", False, F.size("golds") - F.size("ov")), row("spurious", False, F.size("preds") - F.size("ov"))]
+    return x.select("doc", F.explode(F.array(*rows)).alias("x")).select("doc", "x.pairing", "x.same_type", "x.n").where("n > 0")
 
 
 def semeval(pred: DataFrame, gold: DataFrame) -> DataFrame:
     """Counters and scores of the modes strict, exact, partial and type."""
-    kind = pred.schema["doc"].dataType.simpleString()
-    cols = ["doc", "span_id", "start", "end", "entity_type"]
-    both = pred.select(*cols, F.lit("p").alias("side")).unionByName(gold.select(*cols, F.lit("g").alias("side")))
-    pairs = both.groupBy("doc").applyInPandas(_semeval, f"doc {kind}, pairing string, same_type boolean")
-    n = lambda c: F.count_if(c)
+    pairs = semeval_pairs(pred, gold)
+    n = lambda c: F.coalesce(F.sum(F.when(c, F.col("n"))), F.lit(0))
     eq, ov, ty = F.col("pairing") == "equal", F.col("pairing") == "overlap", F.col("same_type")
     parts = {
         "strict": (n(eq & ty), n((eq & ~ty) | ov), F.lit(0)),
@@ -235,6 +254,38 @@ def run_trend(runs: DataFrame) -> DataFrame:
     return runs.withColumns({"delta_f1": F.round(F.col("f1") - F.lag("f1").over(w), 9), "is_latest": newest})
 
 
+def run_summary(runs: DataFrame, recent: int = 5, last: int = 100) -> DataFrame:
+    """Per data set, over its ``last`` newest runs: their number, F1 on average, best, worst, of the ``recent`` newest, and where it goes."""
+    w = Window.partitionBy("dataset").orderBy(F.desc("at"), F.desc("run_id"))
+    r = runs.withColumn("k", F.row_number().over(w)).where(F.col("k") <= last)
+    new = F.col("k") <= recent
+    g = r.groupBy("dataset").agg(
+        F.count(F.lit(1)).alias("n_runs"), F.avg("f1").alias("avg_f1"), F.max("f1").alias("best_f1"), F.min("f1").alias("worst_f1"), F.avg(F.when(new, F.col("f1"))).alias("recent_f1"),
+        F.max_by("f1", F.when(new, -F.col("k"))).alias("_new"), F.max_by("f1", F.when(new, F.col("k"))).alias("_old"),
+    )
+    trend = F.when(F.col("n_runs") < 2, "insufficient_data").when(F.col("_new") > F.col("_old"), "improving").when(F.col("_new") < F.col("_old"), "declining").otherwise("stable")
+    return g.withColumn("trend", trend).drop("_new", "_old")
+
+
+def error_examples(pairs: DataFrame, truth: str, named: str, example: str, most: int = 5) -> DataFrame:
+    """Confusions with their number and the first ``most`` examples of each (a top-k report)."""
+    wrong = pairs.where(~F.equal_null(F.col(truth), F.col(named)))
+    each = wrong.groupBy(F.col(truth).alias("truth"), F.col(named).alias("named"), F.col(example).alias("example")).agg(F.count(F.lit(1)).alias("n"))
+    w = Window.partitionBy("truth", "named").orderBy("example")
+    top = each.withColumn("k", F.row_number().over(w)).groupBy("truth", "named").agg(F.sum("n").alias("n"), F.array_sort(F.collect_list(F.when(F.col("k") <= most, F.col("example")))).alias("examples"))
+    return top
+
+
+def calibration_samples(spans: DataFrame, gold: DataFrame, detectors: list[str], least: float = 0.5) -> DataFrame:
+    """(doc, span_id, detector, score, actual): what each detector's raw score was, and whether a gold span of a compatible type overlaps by ``least`` or more."""
+    g = gold.select("doc", F.col("start").alias("g_s"), F.col("end").alias("g_e"), F.col("entity_type").alias("g_t"))
+    x = spans.join(g, "doc", "left")
+    hit = compatible(F.col("entity_type"), F.col("g_t")) & (overlap_ratio(F.col("start"), F.col("end"), F.col("g_s"), F.col("g_e")) >= least)
+    marked = x.groupBy("doc", "span_id", *detectors).agg(F.max(F.coalesce(hit, F.lit(False))).alias("actual"))
+    scores_ = F.array(*(F.struct(F.lit(d).alias("detector"), F.col(d).cast("double").alias("score")) for d in detectors))
+    return marked.select("doc", "span_id", "actual", F.explode(scores_).alias("x")).where("x.score IS NOT NULL AND NOT isnan(x.score)").select("doc", "span_id", "x.detector", "x.score", "actual")
+
+
 # Parts of type names that tell a category, in order.
 CATEGORY_PARTS = [
     ("NAME", "NAME FIRST LAST MIDDLE"), ("CONTACT", "EMAIL PHONE FAX URL TEL"), ("LOCATION", "ADDRESS STREET CITY STATE ZIP COUNTRY GPS COORDINATE LOCATION"), ("DATE", "DATE DOB BIRTH TIME"),

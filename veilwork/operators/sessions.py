@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from veilwork.operators.deidentify import assign_tokens, splice
+from veilwork.operators.deidentify import assign_tokens, decrypt, encrypt, generalise, restore, splice
 
 
 def token_estimate(chars: Column) -> Column:
@@ -40,9 +40,14 @@ def recent_messages(messages: DataFrame, n: int) -> DataFrame:
     return messages.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= n).drop("_rn")
 
 
+def _conversation() -> Column:
+    """A message without a conversation is one of its own."""
+    return F.coalesce("conversation_id", F.concat(F.lit("message:"), "id"))
+
+
 def tokenise_messages(messages: DataFrame, spans: DataFrame) -> DataFrame:
     """(id, redacted): tokens are shared by a conversation's messages; ``spans`` are keyed by ``message_id``."""
-    order = messages.select(F.col("id").alias("message_id"), F.col("conversation_id").alias("doc"), F.struct("created_at", "id").alias("seq"))
+    order = messages.select(F.col("id").alias("message_id"), _conversation().alias("doc"), F.struct("created_at", "id").alias("seq"))
     tokens = assign_tokens(spans.join(order, "message_id"), "doc", "seq")
     per = tokens.groupBy("message_id").agg(F.collect_set(F.struct("start", "end", "token")).alias("s"))
     out = messages.join(per, messages["id"] == per["message_id"], "left")
@@ -56,9 +61,7 @@ def process_user_messages(messages: DataFrame, spans: DataFrame) -> tuple[DataFr
     Dates, ages and postcodes are generalised first, so their tokens lead back
     to the general value only; ``spans`` are keyed by ``message_id``.
     """
-    from veilwork.operators.deidentify import generalise
-
-    order = messages.select(F.col("id").alias("message_id"), F.col("conversation_id").alias("doc"), F.struct("created_at", "id").alias("seq"))
+    order = messages.select(F.col("id").alias("message_id"), _conversation().alias("doc"), F.struct("created_at", "id").alias("seq"))
     tokens = assign_tokens(spans.join(order, "message_id"), "doc", "seq")
     per = tokens.groupBy("message_id").agg(F.collect_set(F.struct("start", "end", "token")).alias("s"))
     none = F.array().cast("array<struct<start:int,end:int,token:string>>")
@@ -69,13 +72,59 @@ def process_user_messages(messages: DataFrame, spans: DataFrame) -> tuple[DataFr
 
 def process_assistant_messages(messages: DataFrame, tokens: DataFrame) -> DataFrame:
     """(id, content): an answer's tokens replaced by what they stand for in its conversation."""
-    from veilwork.operators.deidentify import restore
-
     maps = tokens.groupBy(F.col("doc").alias("conversation_id")).agg(F.map_from_entries(F.collect_list(F.struct("token", "original"))).alias("m"))
-    out = messages.join(maps, "conversation_id", "left")
+    out = messages.withColumn("conversation_id", _conversation()).join(maps, "conversation_id", "left")
     return out.select("id", F.when(F.col("m").isNull(), F.col("content")).otherwise(restore(F.col("content"), F.coalesce("m", F.create_map().cast("map<string,string>")))).alias("content"))
 
 
+def lookup_tokens(tokens: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(doc, token, original) of the wanted (doc, token); the original of an unknown one is null."""
+    return wanted.select("doc", "token").distinct().join(tokens.select("doc", "token", "original"), ["doc", "token"], "left")
+
+
+def count_tokens(tokens: DataFrame) -> DataFrame:
+    """Tokens of each conversation, in all and by kind."""
+    kind = F.regexp_extract("token", r"^\[(.*)_\d+\]$", 1)
+    return tokens.groupBy("doc", kind.alias("kind")).agg(F.count_distinct("token").alias("n"))
+
+
+def seal(tokens: DataFrame, key: bytes) -> DataFrame:
+    """A token table whose originals only the holder of the key can read."""
+    return encrypt(tokens, "original", key)
+
+
+def unseal(tokens: DataFrame, key: bytes) -> DataFrame:
+    return decrypt(tokens, "original", key)
+
+
+def create_conversations(conversations: DataFrame, new: DataFrame, now: Column) -> DataFrame:
+    """``conversations`` (id, title, active_summary, token_count, created_at, updated_at) with new ones (id, title); known ids stay as they are."""
+    fresh = new.join(conversations.select("id"), "id", "left_anti").select("id", "title", now.alias("created_at"), now.alias("updated_at"), F.lit(0).cast("long").alias("token_count"))
+    return conversations.unionByName(fresh, allowMissingColumns=True)
+
+
+def update_conversations(conversations: DataFrame, changes: DataFrame, now: Column) -> DataFrame:
+    """Titles, summaries and token counts that ``changes`` (id, ...) gives; what was changed is updated ``now``."""
+    cols = [c for c in changes.columns if c != "id"]
+    c = changes.select("id", *(F.col(x).alias(f"_{x}") for x in cols), F.lit(True).alias("_hit"))
+    out = conversations.join(c, "id", "left")
+    new = {x: F.coalesce(F.col(f"_{x}"), F.col(x)) for x in cols} | {"updated_at": F.when(F.col("_hit"), now).otherwise(F.col("updated_at"))}
+    return out.withColumns(new).select(conversations.columns)
+
+
+def delete_conversations(conversations: DataFrame, messages: DataFrame, tokens: DataFrame, gone: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """All three tables without the conversations in ``gone`` (id)."""
+    g = gone.select(F.col("id").alias("_g")).distinct()
+    return tuple(df.join(g, df[col] == g["_g"], "left_anti") for df, col in ((conversations, "id"), (messages, "conversation_id"), (tokens, "doc")))
+
+
+def session_stats(messages: DataFrame, tokens: DataFrame) -> DataFrame:
+    """Per conversation: messages, of them the user's, and tokens."""
+    m = messages.groupBy(_conversation().alias("doc")).agg(F.count(F.lit(1)).alias("n_messages"), F.count_if(F.lower("role") == "user").alias("n_user"))
+    t = tokens.groupBy("doc").agg(F.count_distinct("token").alias("n_tokens"))
+    return m.join(t, "doc", "left").fillna(0, ["n_tokens"])
+
+
 def recent_conversations(messages: DataFrame, limit: int = 20) -> DataFrame:
     """The conversations written to last (a top-k report)."""
     g = messages.groupBy("conversation_id").agg(F.max("created_at").alias("last_at"), F.count(F.lit(1)).alias("n_messages"))

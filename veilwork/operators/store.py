@@ -26,6 +26,18 @@ def delete(old: DataFrame, gone: DataFrame, key: str) -> DataFrame:
     return old.join(gone.select(key).distinct(), key, "left_anti")
 
 
+def append(df: DataFrame, path: str) -> DataFrame:
+    """Rows added to the Parquet table at ``path``, which is made where there is none; the table as it is then."""
+    df.write.mode("append").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def delete_cascade(gone: DataFrame, key: str, tables: dict[str, tuple[DataFrame, str]]) -> dict[str, DataFrame]:
+    """Each table without the rows whose column names a deleted ``key``."""
+    g = gone.select(F.col(key).alias("_gone")).where("_gone IS NOT NULL").distinct()
+    return {name: df.join(g, df[col] == g["_gone"], "left_anti") for name, (df, col) in tables.items()}
+
+
 def latest(rows: DataFrame, key: str, order: list[Column]) -> DataFrame:
     """One row per key: the last in ``order``."""
     w = Window.partitionBy(key).orderBy(*[c.desc_nulls_last() for c in order])
@@ -51,6 +63,58 @@ def review_stats(entities: DataFrame, documents: DataFrame, corrections: DataFra
     return reduce(lambda a, b: a.crossJoin(b), [d, e, c])
 
 
+def document_entities(entities: DataFrame) -> DataFrame:
+    """Entities with ``place``: their number in the order of their document."""
+    return entities.withColumn("place", F.row_number().over(Window.partitionBy("doc").orderBy("start", "end", "span_id")))
+
+
+def newest_corrections(corrections: DataFrame, per: str = "detected_type", limit: int = 50) -> DataFrame:
+    """The ``limit`` newest corrections of each kind (a top-k report)."""
+    w = Window.partitionBy(per).orderBy(F.col("reviewed_at").desc_nulls_last(), "id")
+    return corrections.withColumn("place", F.row_number().over(w)).where(F.col("place") <= limit)
+
+
+def patterns_of_type(corrections: DataFrame, least: int = 2) -> DataFrame:
+    """Texts that reviewers decided alike ``least`` times or more, by type: (entity_type, text, decision, n)."""
+    kind = F.coalesce(F.when(F.col("decision") == "changed", F.col("correct_type")), F.col("detected_type"))
+    g = corrections.where("entity_text IS NOT NULL").groupBy(kind.alias("entity_type"), F.lower(F.trim("entity_text")).alias("text"), "decision").agg(F.count(F.lit(1)).alias("n"))
+    return g.where(F.col("n") >= least)
+
+
+def top_false_positives(corrections: DataFrame, limit: int = 10) -> DataFrame:
+    """The rejected (text, type) seen most (a top-k report)."""
+    g = corrections.where("decision = 'rejected'").groupBy("entity_text", "detected_type").agg(F.count(F.lit(1)).alias("n"))
+    return g.orderBy(F.desc("n"), "entity_text", "detected_type").limit(limit)
+
+
+def pending(signals: DataFrame, limit: int = 50, oldest_first: bool = True, threshold: float = 0.95) -> DataFrame:
+    """Signals waiting for review, oldest or newest first (a top-k report)."""
+    by = F.col("created_ts").asc_nulls_first() if oldest_first else F.col("created_ts").desc_nulls_last()
+    return signals.where((F.col("status") == "pending") & (F.col("merged_conf") < threshold)).orderBy(by, "id").limit(limit)
+
+
+def labelled_signals(signals: DataFrame) -> DataFrame:
+    """Reviewed signals with a truth, which a training run may take; ``place`` 1 is the feedback that came last."""
+    w = Window.orderBy(F.col("feedback_ts").desc_nulls_last(), "id")
+    return signals.where("status = 'reviewed' AND ground_truth_type IS NOT NULL").withColumn("place", F.row_number().over(w))
+
+
+def mark_used(signals: DataFrame, used: DataFrame, run_id: str) -> DataFrame:
+    """``signals`` with those in ``used`` (id) taken by training run ``run_id``."""
+    hit = used.select("id").distinct().withColumn("_hit", F.lit(True))
+    out = signals.join(hit, "id", "left")
+    return out.withColumns({"status": F.when(F.col("_hit"), "training").otherwise(F.col("status")), "run_id": F.when(F.col("_hit"), F.lit(run_id))}).drop("_hit")
+
+
+def store_stats(signals: DataFrame, archived: DataFrame, missed: DataFrame, models: DataFrame) -> DataFrame:
+    """One row: signals in all, pending, reviewed, labelled; missed reports pending; archived signals; the active model."""
+    status = lambda s: F.count_if(F.col("status") == s)
+    s = signals.agg(F.count(F.lit(1)).alias("n_active"), status("pending").alias("n_pending"), status("reviewed").alias("n_reviewed"), F.count_if((F.col("status") == "reviewed") & F.col("ground_truth_type").isNotNull()).alias("n_labelled"))
+    active = models.where("status = 'active'").agg(F.max_by("version", F.struct("promoted_at", "version")).alias("active_model"))
+    # four single rows
+    return s.crossJoin(missed.agg(F.count_if(F.col("status") == "pending").alias("n_missed"))).crossJoin(archived.agg(F.count(F.lit(1)).alias("n_archived"))).crossJoin(active)
+
+
 def feedback_truth(signals: DataFrame) -> DataFrame:
     """Ground truth from feedback: right type kept, wrong label corrected, false finding NONE, skipped null."""
     kind = F.lower(F.trim("feedback_type"))
@@ -88,6 +152,16 @@ def rollback_order(models: DataFrame) -> DataFrame:
     return models.where("status IN ('active', 'rolled_back')").orderBy(rank, F.desc("promoted_at"), F.desc("version")).limit(2)
 
 
+def rollback(models: DataFrame, now: Column) -> DataFrame:
+    """The version rolled back last becomes active again, the active one is rolled back; nothing changes without both."""
+    pair = rollback_order(models)
+    roles = F.broadcast(pair.select("version", F.col("status").alias("_was"), F.count(F.lit(1)).over(Window.partitionBy(F.lit(1))).alias("_n")).where("_n = 2").drop("_n"))
+    out = models.join(roles, "version", "left")
+    back = F.col("_was") == "rolled_back"
+    status = F.when(back, "active").when(F.col("_was") == "active", "rolled_back").otherwise(F.col("status"))
+    return out.withColumns({"promoted_at": F.when(back, now).otherwise(F.col("promoted_at")), "status": status}).drop("_was")
+
+
 def retained_models(models: DataFrame, keep: int = 2) -> DataFrame:
     """All versions but the rolled-back ones beyond the newest ``keep``."""
     w = Window.partitionBy("status").orderBy(F.desc("promoted_at"), F.desc("version"))
@@ -103,6 +177,35 @@ def should_train(labelled: int, least: int = 1000, last_f1: float | None = None,
     return True, "ready"
 
 
+def stage_model(models: DataFrame, version: str, metrics: dict[str, float], now: Column) -> DataFrame:
+    """``models`` with a new version that waits; ``metrics`` are columns of the registry."""
+    spark = models.sparkSession
+    row = spark.range(1).select(F.lit(version).alias("version"), F.lit("staged").alias("status"), now.alias("staged_at"), *(F.lit(float(v)).alias(k) for k, v in metrics.items()))
+    return models.unionByName(row, allowMissingColumns=True)
+
+
+def advance_models(models: DataFrame, now: Column, shadow_hours: int = 24, drop: float = 0.02) -> DataFrame:
+    """One step of the life of staged and shadow versions.
+
+    A staged version whose F1 falls by more than ``drop`` against the active
+    one is refused, any other runs in the shadow; after ``shadow_hours`` there
+    it becomes active and the active one is rolled back.
+    """
+    current = models.where("status = 'active'").agg(F.max("f1").alias("_f1"))  # a single row
+    m = models.crossJoin(current)
+    ready = (F.col("status") == "shadow") & (F.col("staged_at") <= now - F.expr(f"INTERVAL {shadow_hours} HOURS"))
+    first = F.row_number().over(Window.partitionBy(ready).orderBy(F.desc("staged_at"), F.desc("version"))) == 1
+    m = m.withColumn("_up", ready & first).withColumn("_any", F.max("_up").over(Window.partitionBy(F.lit(1))))
+    status = (
+        F.when(F.col("_up"), "active")
+        .when((F.col("status") == "active") & F.col("_any"), "rolled_back")
+        .when((F.col("status") == "staged") & (F.col("f1") < F.col("_f1") - drop), "refused")
+        .when(F.col("status") == "staged", "shadow")
+        .otherwise(F.col("status"))
+    )
+    return m.withColumns({"promoted_at": F.when(F.col("_up"), now).otherwise(F.col("promoted_at")), "status": status}).drop("_f1", "_up", "_any")
+
+
 def scan_unscanned(documents: DataFrame, detect, now: Column, threshold: float = 0.95) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(entities, documents as scanned, tally) of the documents not scanned yet; ``detect(df)`` gives spans keyed by ``id``."""
     todo = documents.where("scanned_at IS NULL")

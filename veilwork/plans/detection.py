@@ -16,15 +16,8 @@ def detect_spans(spark, sf_dir):
 
 
 def detect_messages(spark, sf_dir):
-    rows = table(spark, sf_dir, "messages").select("id", "content").distinct()
-    hits = D.detect(rows, "id", "content", D.Catalog([r for r in R.RULES if r.entity_type in ("EMAIL", "PHONE", "SSN", "DATE", "PASSPORT", "IP_ADDRESS")]))
-    return hits.select(F.col("id").alias("message_id"), "rule", "entity_type", "start", "end", "text", "confidence")
-
-
-def message_spans(spark, sf_dir):
-    """Every rule on messages; ``detect_messages`` has six kinds of it."""
     hits = D.detect(table(spark, sf_dir, "messages").select("id", "content").distinct(), "id", "content")
-    return hits.withColumnRenamed("id", "message_id")
+    return hits.withColumnRenamed("id", "message_id").drop("has_checksum")
 
 
 def rule_hits(spark, sf_dir):
@@ -36,7 +29,7 @@ def checksum_spans(spark, sf_dir):
 
 
 def secret_spans(spark, sf_dir):
-    return D.detect_secrets(table(spark, sf_dir, "documents"), "doc_id", "text").withColumnRenamed("id", "doc_id")
+    return D.detect_secrets(table(spark, sf_dir, "documents"), "doc_id", "text").withColumn("entropy", F.round("entropy", 9)).withColumnRenamed("id", "doc_id")
 
 
 def rule_catalog(spark, sf_dir):
@@ -133,11 +126,43 @@ def _number_sql() -> str:
     return f"SELECT o_orderkey, {checks}, {digit} AS check_digit FROM (SELECT o_orderkey, {made} FROM orders)"
 
 
+def _checksum_sql() -> str:
+    """The proven rules, each document's hits folded in order."""
+    hits = " UNION ALL ".join(span_sql(r, "documents", "doc_id", "text") for r in R.CHECKSUM_RULES)
+    one = "{'start': start, 'neg': -confidence, 'e': start + length(text), 'rule': rule, 'entity_type': entity_type, 'text': text}"
+    step = "CASE WHEN x[1].start >= kept[-1].e THEN list_concat(kept, x) WHEN x[1].neg < kept[-1].neg THEN list_concat(kept[1:len(kept) - 1], x) ELSE kept END"
+    lists = f"SELECT id, list([s] ORDER BY s.start, s.neg, s.e, s.rule, s.entity_type, s.text) AS h FROM (SELECT DISTINCT id, {one} AS s FROM ({hits})) GROUP BY id"
+    return f"""SELECT id AS doc_id, x.rule, x.entity_type, x.start, CAST(x.e AS INT) AS "end", x.text, -x.neg AS confidence FROM (SELECT id, unnest(list_reduce(h, lambda kept, x: {step})) AS x FROM ({lists}))"""
+
+
+def _entropy_sql(c: str) -> str:
+    return f"coalesce(-list_sum(list_transform(list_distinct(string_split({c}, '')), lambda x: (len(list_filter(string_split({c}, ''), lambda y: y = x)) / length({c})) * log2(len(list_filter(string_split({c}, ''), lambda y: y = x)) / length({c})))), 0)"
+
+
+def _secret_sql() -> str:
+    found = span_sql(R.Rule("secret", "PASSWORD", 0.6, R.SECRET_SHAPE), "documents", "doc_id", "text")
+    has = lambda c, words: "(" + " OR ".join(f"contains({c}, '{w}')" for w in words) + ")"
+    before, around = "lower(substr(t, greatest(start - 20, 0) + 1, least(start, 20)))", "lower(substr(t, greatest(start - 100, 0) + 1, least(start, 100) + length(text) + 100))"
+    # beside a letter or digit beyond ASCII there is no border
+    edge = "NOT regexp_matches(substr(t, start, CASE WHEN start = 0 THEN 0 ELSE 1 END), '[\\p{L}\\p{N}]') AND NOT regexp_matches(substr(t, start + length(text) + 1, 1), '[\\p{L}\\p{N}]')"
+    m = lambda p: f"regexp_matches(text, '{p}')"
+    special, letter, digit = m("[^\\p{L}\\p{N}]"), m("\\p{L}"), m("\\p{Nd}")
+    ok = f"""{edge} AND NOT ({has(before, R.SECRET_LABELS)} AND regexp_matches({before}, '[:=]\\s*$')) AND NOT {has('lower(text)', R.SECRET_SELF)} AND NOT {m('^[A-Z][a-z]+[._][A-Z][a-z]+$')}
+AND CAST({letter} AS INT) + CAST({digit} AS INT) + CAST({special} AS INT) >= 2 AND (({m('\\p{Lu}')} AND {m('\\p{Ll}')}) OR {special}) AND NOT {has(around, R.SECRET_NEGATIVES)}"""
+    conf = f"CASE WHEN entropy < 2.8 THEN NULL WHEN {has(around, R.SECRET_HINTS)} THEN 0.9 WHEN entropy >= 3.5 THEN 0.75 WHEN entropy >= 3.0 THEN 0.6 END"
+    return f"""SELECT doc_id, start, CAST(start + length(text) AS INT) AS "end", text, CAST(confidence AS DOUBLE) AS confidence, round(entropy, 9) AS entropy FROM (SELECT doc_id, start, text, entropy, {conf} AS confidence FROM (SELECT id AS doc_id, start, f.text, d.text AS t, {_entropy_sql('f.text')} AS entropy FROM ({found}) f JOIN documents d ON f.id = d.doc_id) WHERE {ok}) WHERE confidence IS NOT NULL"""
+
+
+def _catalog_sql() -> str:
+    text = lambda v: "NULL" if v is None else "'" + v.replace("'", "''") + "'"
+    rows = ", ".join(f"({text(r.name)}, {text(r.entity_type)}, CAST({r.confidence} AS DOUBLE), {text(r.regex)}, {text(r.check)}, {str(r.group is not None).lower()})" for r in R.RULES)
+    return f"SELECT * FROM (VALUES {rows}) AS t(rule, entity_type, confidence, pattern, validator, emits_group)"
+
+
 def queries():
     return {
         "detect_spans": detect_spans,
         "detect_messages": detect_messages,
-        "message_spans": message_spans,
         "rule_hits": rule_hits,
         "checksum_spans": checksum_spans,
         "secret_spans": secret_spans,
@@ -150,11 +175,13 @@ def queries():
 
 def oracle_sql():
     spans = _all(R.RULES, "documents", "doc_id", "text", 'id AS doc_id, rule, entity_type, start, CAST(start + length(text) AS INT) AS "end", text, confidence, has_checksum')
-    some = [r for r in R.RULES if r.entity_type in ("EMAIL", "PHONE", "SSN", "DATE", "PASSPORT", "IP_ADDRESS")]
     return {
         "detect_spans": spans,
-        "detect_messages": _all(some, "(SELECT DISTINCT id, content FROM messages)", "id", "content", 'id AS message_id, rule, entity_type, start, CAST(start + length(text) AS INT) AS "end", text, confidence'),
+        "detect_messages": _all(R.RULES, "(SELECT DISTINCT id, content FROM messages)", "id", "content", 'id AS message_id, rule, entity_type, start, CAST(start + length(text) AS INT) AS "end", text, confidence'),
         "rule_hits": f"SELECT rule, entity_type, count(*) AS n_hits, count(DISTINCT doc_id) AS n_docs FROM ({spans}) GROUP BY ALL",
+        "checksum_spans": _checksum_sql(),
+        "secret_spans": _secret_sql(),
+        "rule_catalog": _catalog_sql(),
         "rule_suggestions": "SELECT lower(trim(entity_text)) AS text, count(*) AS n_rejected FROM (SELECT DISTINCT id, decision, entity_text FROM corrections) WHERE decision = 'rejected' AND entity_text IS NOT NULL GROUP BY 1 HAVING count(*) >= 2 ORDER BY 2 DESC, 1 LIMIT 10",
         "term_entropy": "SELECT term, category, round(coalesce(-list_sum(list_transform(list_distinct(string_split(term, '')), lambda x: (len(list_filter(string_split(term, ''), lambda y: y = x)) / length(term)) * log2(len(list_filter(string_split(term, ''), lambda y: y = x)) / length(term)))), 0), 9) AS bits FROM dictionary_terms",
         "validator_checks": _number_sql(),

@@ -26,6 +26,11 @@ def detect_stream(texts: DataFrame, id_col: str, text_col: str, target: str, che
     return texts.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def append_stream(df: DataFrame, target: str, checkpoint: str):
+    """A stream's rows appended to ``target``; started, ends when the input is used up."""
+    return df.writeStream.format("parquet").option("path", target).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
+
+
 def counts_per_window(spans: DataFrame, at: str = "at", window: str = "1 hour", late: str = "2 hours") -> DataFrame:
     """Spans per type and window; rows later than the watermark are dropped by the engine."""
     return spans.withWatermark(at, late).groupBy(F.window(at, window).alias("w"), "entity_type").agg(F.count(F.lit(1)).alias("n")).select(F.col("w.start").alias("window_start"), "entity_type", "n")
