@@ -81,3 +81,18 @@ def extract(df: DataFrame, id_col: str, text_col: str, rules: list[Rule], keep_t
     packed = F.flatten(F.array(*each))
     kept = ["t"] if keep_text else []
     return stepped.select("id", *kept, F.explode(packed).alias("s")).select("id", "s.k", "s.start", "s.end", "s.text", *kept)
+
+
+def overlap_pairs(left: DataFrame, right: DataFrame, cell: int = 256) -> DataFrame:
+    """Every two spans of a document that share a character, once: the columns of ``left``, and those of ``right`` with ``r_``.
+
+    Both have doc, start, end.  Spans meet by document and cell of the text,
+    so the spans of a very long document are spread over its cells.
+    """
+    cells = lambda s, e: F.sequence(F.floor(s / cell), F.floor((e - 1) / cell))
+    a = left.where("start < end").withColumn("_c", F.explode(cells(F.col("start"), F.col("end"))))
+    r = right.where("start < end").select(*(F.col(c).alias(f"r_{c}") for c in right.columns))
+    r = r.withColumn("_r", F.explode(cells(F.col("r_start"), F.col("r_end"))))
+    both = (F.col("doc") == F.col("r_doc")) & (F.col("_c") == F.col("_r")) & (F.col("start") < F.col("r_end")) & (F.col("r_start") < F.col("end"))
+    once = F.col("_c") == F.floor(F.greatest("start", "r_start") / cell)
+    return a.join(r, both & once).drop("_c", "_r", "r_doc")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veilwork.functions.validators import npi_strict
@@ -58,6 +58,11 @@ def dictionary_hits(texts: DataFrame, terms: DataFrame, id_col: str = "doc", tex
     return found.withColumn("end", F.col("start") + F.length("term"))
 
 
+def contains_terms(texts: DataFrame, terms: DataFrame, id_col: str = "doc", text_col: str = "doc_text", min_length: int = 4) -> DataFrame:
+    """(id, category): the categories of which a text holds a term, at any of its places."""
+    return dictionary_hits(texts, terms, id_col, text_col, min_length).select("id", "category").distinct()
+
+
 def lookup(keys: DataFrame, terms: DataFrame, priority: list[str] | None = None) -> DataFrame:
     """(term, category): the first category by priority that holds the term."""
     order = priority or PRIORITY
@@ -69,8 +74,6 @@ def lookup(keys: DataFrame, terms: DataFrame, priority: list[str] | None = None)
 
 def capped(terms: DataFrame, most: int = 10_000) -> DataFrame:
     """The longest ``most`` terms of each category (a top-k report)."""
-    from pyspark.sql import Window
-
     w = Window.partitionBy("category").orderBy(F.desc(F.length("term")), "term")
     return terms.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= most).drop("rn")
 
@@ -82,6 +85,14 @@ def status(terms: DataFrame) -> DataFrame:
     return g.withColumn("issue", F.col("n_valid") * 2 < F.col("n_terms"))
 
 
+def rejected_terms(terms: DataFrame, samples: int = 5) -> DataFrame:
+    """(category, reason, n, samples): why terms are not usable, with the first ``samples`` of each reason (a top-k report)."""
+    bad = terms.withColumn("reason", term_reason(F.col("term"))).where("reason IS NOT NULL")
+    w = Window.partitionBy("category", "reason").orderBy("term")
+    k = bad.withColumn("k", F.row_number().over(w))
+    return k.groupBy("category", "reason").agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list(F.when(F.col("k") <= samples, F.coalesce("term", F.lit(""))))).alias("samples"))
+
+
 def registry_lookup(keys: DataFrame, registry: DataFrame, key: str = "npi") -> DataFrame:
     """Registry rows of valid provider numbers; invalid and unknown ones get nulls."""
     ok = npi_strict(F.col(key))
@@ -92,8 +103,8 @@ def registry_lookup(keys: DataFrame, registry: DataFrame, key: str = "npi") -> D
 
 
 def registry_search(registry: DataFrame, part: str, columns: list[str], limit: int = 20) -> DataFrame:
-    """Registry rows with ``part`` in any of the columns, case aside (a top-k report)."""
+    """Registry rows with ``part`` in any of the columns, case aside, in order of the columns (a top-k report)."""
     test = F.lit(False)
     for c in columns:
         test = test | F.contains(F.lower(F.coalesce(F.col(c), F.lit(""))), F.lit(part.lower()))
-    return registry.where(test).limit(limit)
+    return registry.where(test).orderBy(*columns, *(c for c in registry.columns if c not in columns)).limit(limit)

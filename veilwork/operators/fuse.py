@@ -168,6 +168,25 @@ def coref_anchors(mentions: DataFrame, spans: DataFrame) -> DataFrame:
     return best.select("doc", "cluster", F.col("a.t").alias("anchor_type"), F.col("a.confidence").alias("anchor_conf"), F.col("a.s").alias("anchor_start"), F.col("a.e").alias("anchor_end"))
 
 
+def coref_columns(spans: DataFrame, mentions: DataFrame) -> DataFrame:
+    """``spans`` with in_cluster, cluster, cluster_size, anchor_type and anchor_conf: the co-reference cluster of the mention at the very place."""
+    anchors = coref_anchors(mentions, spans).select("doc", "cluster", "anchor_type", "anchor_conf")
+    sizes = mentions.groupBy("doc", "cluster").agg(F.count(F.lit(1)).alias("cluster_size"))
+    place = mentions.groupBy("doc", F.col("m_start").alias("start"), F.col("m_end").alias("end")).agg(F.min("cluster").alias("cluster"))
+    out = spans.join(place, ["doc", "start", "end"], "left").join(sizes, ["doc", "cluster"], "left").join(anchors, ["doc", "cluster"], "left")
+    return out.withColumn("in_cluster", F.col("cluster").isNotNull()).fillna(0, ["cluster_size"]).fillna(0.0, ["anchor_conf"])
+
+
+def agreement(a: Column, b: Column) -> Column:
+    """How far two scores agree: their product; 0 where one is absent."""
+    return F.coalesce(a * b, F.lit(0.0))
+
+
+def disagreement(a: Column, b: Column) -> Column:
+    """How far two scores differ."""
+    return F.abs(F.coalesce(a, F.lit(0.0)) - F.coalesce(b, F.lit(0.0)))
+
+
 PRONOUNS = "he she they it his her their its him them who whom whose that this these those i we you me us my our your".split()
 
 

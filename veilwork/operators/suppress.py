@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veilwork.catalog import lists as L
+from veilwork.functions.spans import overlap_pairs
 
 ALLOWLIST = sorted({t for terms in L.ALLOWED.values() for t in terms})
 
@@ -100,9 +101,15 @@ def repair_positions(spans: DataFrame) -> DataFrame:
 
 
 def drop_covered(spans: DataFrame, proven: DataFrame, doc: str = "doc") -> DataFrame:
-    """The spans that touch no proven span of their document."""
-    p = proven.select(F.col(doc).alias("_d"), F.col("start").alias("_s"), F.col("end").alias("_e"))
-    return spans.join(p, (F.col(doc) == F.col("_d")) & (F.col("start") < F.col("_e")) & (F.col("_s") < F.col("end")), "left_anti")
+    """The spans that touch no proven span of their document; ``span_id`` names a span within its document."""
+    key = lambda df, *more: df.select(F.col(doc).alias("doc"), "start", "end", *more)
+    hit = overlap_pairs(key(spans, "span_id"), key(proven)).select(F.col("doc").alias(doc), "span_id").distinct()
+    return spans.join(hit, [doc, "span_id"], "left_anti")
+
+
+def drop_other(spans: DataFrame) -> DataFrame:
+    """The spans of a type that says something: OTHER goes."""
+    return spans.where(F.coalesce(F.upper("entity_type"), F.lit("")) != "OTHER")
 
 
 def span_problems(spans: DataFrame, doc: str = "doc") -> DataFrame:

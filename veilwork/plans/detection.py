@@ -110,7 +110,12 @@ FROM (SELECT {id_col}, m, g{', q' if rule.group else ''}{', whole' if edge else
     if edge:
         tests += ["NOT regexp_matches(substr(whole, start, 1), '[\\p{L}\\p{N}]')" if rule.name == "license_plate_us" else "true", "NOT regexp_matches(substr(whole, start + length(text) + 1, 1), '[^\\x00-\\x7F]') OR NOT regexp_matches(substr(whole, start + length(text) + 1, 1), '[\\p{L}\\p{N}]')"]
     cols = "id, rule, entity_type, start, text, confidence, has_checksum"
-    return f"SELECT {cols} FROM ({out}) WHERE ({') AND ('.join(tests)})" if tests else out
+    kept = f"SELECT * FROM ({out}) WHERE ({') AND ('.join(tests)})" if tests else out
+    if rule.name == "license_plate_us":
+        # a blank before a letter beyond ASCII ends at a border, and so belongs to the match
+        more = "regexp_matches(text, '[0-9]$') AND regexp_matches(substr(whole, start + length(text) + 1, 2), '^[-\\s][^\\x00-\\x7F]') AND regexp_matches(substr(whole, start + length(text) + 2, 1), '[\\p{L}\\p{N}]')"
+        kept = f"SELECT * REPLACE (CASE WHEN {more} THEN concat(text, substr(whole, start + length(text) + 1, 1)) ELSE text END AS text) FROM ({kept})"
+    return f"SELECT {cols} FROM ({kept})"
 
 
 def _all(rules, source, id_col, text_col, head):

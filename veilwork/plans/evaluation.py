@@ -165,6 +165,13 @@ def _group_sql(c: str) -> str:
     return f"coalesce({_member_sql(n, L.TYPE_GROUPS)}, {n})"
 
 
+def label_sql(c: str) -> str:
+    """The type that a label means, in SQL."""
+    bare = f"upper(regexp_replace(trim({c}), '^[BbIi]-', ''))"
+    n = f"translate({bare}, '_- ', '')"
+    return f"CASE WHEN {n} NOT IN ({B.quoted([x.replace('_', '') for x in L.EXCLUDED_LABELS])}) THEN coalesce({_member_sql(n, L.GOLD_LABELS)}, {bare}) END"
+
+
 def _greedy_sql() -> str:
     shared = "greatest(least(p_e, g_e) - greatest(p_s, g_s), 0)"
     near = f"""SELECT p.doc, pred, gold, p_s, p_e, g_s, ratio FROM (SELECT *, {shared} / nullif(least(p_e - p_s, g_e - g_s), 0) AS ratio, {shared} AS shared FROM (SELECT doc, span_id AS pred, start AS p_s, "end" AS p_e, {_group_sql('entity_type')} AS p_t FROM ({_PRED})) p JOIN (SELECT doc AS g_d, span_id AS gold, start AS g_s, "end" AS g_e, {_group_sql('entity_type')} AS g_t FROM ({_GOLD})) g ON doc = g_d AND p_t = g_t) p WHERE shared > 0 AND ratio >= 0.5"""
@@ -205,9 +212,7 @@ def oracle_sql():
     shared = 'greatest(least("end", g_e) - greatest(start, g_s), 0) / greatest("end" - start, g_e - g_s)'
     d = "SELECT entity_type AS t FROM entities UNION SELECT entity_type FROM detector_labels UNION SELECT raw_label FROM detector_labels UNION SELECT unnest([phi_bert_type, pii_bert_type, presidio_type, rule_type]) FROM span_signals"
     flat = "translate(upper(t), '_', '')"
-    norm, bare = "translate(upper(t), '_- ', '')", "upper(regexp_replace(trim(t), '^[BbIi]-', ''))"
-    bn = f"translate({bare}, '_- ', '')"
-    excluded = B.quoted([x.replace("_", "") for x in L.EXCLUDED_LABELS])
+    norm = "translate(upper(t), '_- ', '')"
     parts = " ".join(f"WHEN regexp_matches({norm}, '{'|'.join(p.split())}') THEN '{name}'" for name, p in M.CATEGORY_PARTS)
     runs = "(SELECT o_orderpriority AS dataset, o_custkey % 1000 / 1000 AS f1, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderdate DESC, o_orderkey DESC) AS k FROM orders)"
     scored_sweep = f"SELECT threshold, count_if(merged_conf >= threshold AND ok) AS tp, count_if(merged_conf < threshold AND ok) AS fn FROM ({_SCORED}), (SELECT CAST(unnest(range(10, 86, 5)) AS DOUBLE) / 100 AS threshold) WHERE ok IS NOT NULL GROUP BY threshold"
@@ -217,7 +222,7 @@ def oracle_sql():
         "greedy_matches": _greedy_sql(),
         "score_table": _score_sql(),
         "semeval_modes": _semeval_sql(),
-        "type_groups": f"SELECT t, {_group_sql('t')} AS type_group, coalesce({_member_sql(flat, L.REPORT_TYPES)}, upper(t)) AS reported, {_member_sql(norm, L.EVALUATION_CATEGORIES)} AS category, CASE WHEN {bn} NOT IN ({excluded}) THEN coalesce({_member_sql(bn, L.GOLD_LABELS)}, {bare}) END AS label FROM ({d}) WHERE t IS NOT NULL",
+        "type_groups": f"SELECT t, {_group_sql('t')} AS type_group, coalesce({_member_sql(flat, L.REPORT_TYPES)}, upper(t)) AS reported, {_member_sql(norm, L.EVALUATION_CATEGORIES)} AS category, {label_sql('t')} AS label FROM ({d}) WHERE t IS NOT NULL",
         "type_categories": f"SELECT t, CASE WHEN {norm} = '' THEN 'OTHER' {parts} ELSE 'OTHER' END AS category FROM ({d}) WHERE t IS NOT NULL",
         "run_summary": f"SELECT dataset, count(*) AS n_runs, round(avg(f1), 9) AS avg_f1, max(f1) AS best_f1, min(f1) AS worst_f1, round(avg(f1) FILTER (WHERE k <= 5), 9) AS recent_f1, CASE WHEN count(*) < 2 THEN 'insufficient_data' WHEN max(f1) FILTER (WHERE k = 1) > arg_max(f1, k) FILTER (WHERE k <= 5) THEN 'improving' WHEN max(f1) FILTER (WHERE k = 1) < arg_max(f1, k) FILTER (WHERE k <= 5) THEN 'declining' ELSE 'stable' END AS trend FROM {runs} WHERE k <= 100 GROUP BY dataset",
         "error_examples": "SELECT truth, named, CAST(sum(n) AS BIGINT) AS n, string_agg(example, '|' ORDER BY example) FILTER (WHERE k <= 5) AS examples FROM (SELECT *, row_number() OVER (PARTITION BY truth, named ORDER BY example NULLS FIRST) AS k FROM (SELECT ground_truth_type AS truth, merged_type AS named, span_text AS example, count(*) AS n FROM (SELECT DISTINCT id, ground_truth_type, merged_type, span_text FROM span_signals) WHERE ground_truth_type IS NOT NULL AND ground_truth_type IS DISTINCT FROM merged_type GROUP BY ALL)) GROUP BY truth, named",

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from veilwork.catalog import lists as L
 from veilwork.operators import fuse as E
+from veilwork.operators import plugins as P
 from veilwork.plans import base as B
 from veilwork.runtime import table
 
@@ -82,8 +83,83 @@ def coref_propagation(spark, sf_dir):
     return E.coref_spans(m, _seen(spark, sf_dir))
 
 
+def coref_columns(spark, sf_dir):
+    m = _mentions(spark, sf_dir).drop("span_id").distinct()
+    return E.coref_columns(_seen(spark, sf_dir), m).select("doc", "span_id", "in_cluster", F.coalesce("cluster", F.lit("")).alias("cluster"), "cluster_size", F.coalesce("anchor_type", F.lit("")).alias("anchor_type"), F.round("anchor_conf", 9).alias("anchor_conf"))
+
+
+def score_agreement(spark, sf_dir):
+    s = _signals(spark, sf_dir)
+    return s.select("signal_id", F.round(E.agreement(F.col("phi_conf"), F.col("pii_conf")), 12).alias("agreement"), F.round(E.disagreement(F.col("phi_conf"), F.col("pii_conf")), 12).alias("disagreement"))
+
+
+def listed_spans(spark, sf_dir):
+    """Spans through an allow list (towns) and a block list (drugs)."""
+    t = table(spark, sf_dir, "dictionary_terms")
+    out = E.apply_lists(B.entity_spans(spark, sf_dir), t.where("category = 'TOWN'"), t.where("category = 'DRUG'").select("term", F.lit("DRUG").alias("entity_type")))
+    return out.select("span_id", "entity_type", "confidence")
+
+
+def rule_mentions(spark, sf_dir):
+    """Mentions that the co-reference rule finds in messages."""
+    m = table(spark, sf_dir, "messages").select("id", "content").distinct()
+    return P.resolve_coref("same_last_word", m, "id", "content").groupBy("doc", "cluster").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _letters_only():
+    """A verifier by rule: a question about a text without digits is answered with yes."""
+    return lambda prompts: ["NO, it has digits" if any(c.isdigit() for c in p[4 : p.index('" a ')]) else "Yes." for p in prompts]
+
+
+def _broken():
+    def ask(prompts):
+        raise ConnectionError("no service")
+
+    return ask
+
+
+def verified_spans(spark, sf_dir):
+    """Verdicts on every span under the threshold, and what stays."""
+    P.register_verifier("letters", _letters_only)
+    s = B.entity_spans(spark, sf_dir)
+    v = P.verify(s, B.texts(spark, sf_dir), "letters")
+    kept = P.apply_verdicts(s, v).select("span_id", F.lit(True).alias("kept"))
+    return s.select("span_id").join(v, "span_id", "left").join(kept, "span_id", "left").select("span_id", F.coalesce("decision", F.lit("not asked")).alias("decision"), F.coalesce("verdict_conf", F.lit(0.0)).alias("verdict_conf"), F.coalesce("kept", F.lit(False)).alias("kept"))
+
+
+def unverified_spans(spark, sf_dir):
+    """A verifier that is down leaves every span uncertain."""
+    P.register_verifier("broken", _broken)
+    return P.verify(B.entity_spans(spark, sf_dir), B.texts(spark, sf_dir), "broken").groupBy("decision").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _emails():
+    import re
+
+    p = re.compile(r"[A-Za-z0-9._+-]+@[A-Za-z0-9.-]+")
+    return lambda texts: [[(m.start(), m.end(), "EMAIL", 0.9) for m in p.finditer(t)] for t in texts]
+
+
+def model_spans(spark, sf_dir):
+    """A detector that is a Python function, over messages."""
+    P.register_detector("emails", P.model_detector(_emails))
+    m = table(spark, sf_dir, "messages").select("id", "content").distinct()
+    return P.run_detector("emails", m, "id", "content").select("id", "start", "end", "text", "confidence", "source")
+
+
+def compared_detectors(spark, sf_dir):
+    """Two detectors against reviewed spans."""
+    from veilwork.plans.evaluation import _gold
+
+    P.register_detector("emails", P.model_detector(_emails))
+    P.register_detector("nothing", P.model_detector(lambda: lambda texts: [[] for _ in texts]))
+    gold = _gold(spark, sf_dir).where("entity_type = 'EMAIL'")
+    return P.compare_detectors(["emails", "nothing"], B.texts(spark, sf_dir), "doc", "doc_text", gold).select("detector", "fn", F.col("recall").isNotNull().alias("scored")).where("detector = 'nothing'")
+
+
 def queries():
-    return {f.__name__: f for f in (overlap_islands, signal_vector, tiered_merge, staged_decision, two_model_decision, evidence_decision, type_confusion, person_refine, document_features, coref_propagation)}
+    more = (coref_columns, score_agreement, listed_spans, rule_mentions, verified_spans, unverified_spans, model_spans, compared_detectors)
+    return {f.__name__: f for f in more} | {f.__name__: f for f in (overlap_islands, signal_vector, tiered_merge, staged_decision, two_model_decision, evidence_decision, type_confusion, person_refine, document_features, coref_propagation)}
 
 
 _ISLANDS = f"""SELECT *, CAST(sum(fresh) OVER (PARTITION BY doc ORDER BY start, "end" DESC, span_id ROWS UNBOUNDED PRECEDING) AS INT) AS grp FROM (SELECT *, CASE WHEN reach IS NULL OR start >= reach THEN 1 ELSE 0 END AS fresh FROM (SELECT *, max("end") OVER (PARTITION BY doc ORDER BY start, "end" DESC, span_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM ({B.SPANS})))"""
@@ -115,7 +191,26 @@ FROM (SELECT *, {_platt('phi_conf', 'phi')} AS phi_cal, {_platt('pii_conf', 'pii
     kinds = " ".join(f"WHEN {d}_detected = 1 AND {d}_conf >= {t} THEN {d}_type" for d, t in sure)
     confs = " ".join(f"WHEN {d}_detected = 1 AND {d}_conf >= {t} THEN {d}_conf" for d, t in sure)
     top = "greatest(" + ", ".join(f"coalesce({d}_conf, 0)" for d, _ in sure) + ")"
+    from veilwork.plans.evaluation import _GOLD
+
+    number = "regexp_matches(text, '[0-9]')"
+    asked = f"confidence < 0.95 AND doc IN (SELECT doc FROM ({B.TEXTS}))"
+    clusters = f"SELECT m.doc, cluster, arg_max(entity_type, row(confidence, span_id)) AS t, max(confidence) AS c FROM m JOIN s ON m.doc = s.doc AND least(m_end, \"end\") - greatest(m_start, start) > 0 AND (least(m_end, \"end\") - greatest(m_start, start)) / least(m_end - m_start, \"end\" - start) > 0.5 GROUP BY m.doc, cluster"
+    mail, word = "[A-Za-z0-9._+-]+@[A-Za-z0-9.-]+", "(?:[A-Z][\\w''-]+ )*[A-Z][\\w''-]+"
+    msg = "(SELECT DISTINCT id, content FROM messages WHERE content IS NOT NULL)"
+    from veilwork.catalog.rules import Rule
+    from veilwork.plans.detection import span_sql
+
     return {
+        "coref_columns": f"""WITH m AS ({m}), s AS ({seen}), a AS ({clusters}), z AS (SELECT doc, cluster, count(*) AS n FROM m GROUP BY ALL), p AS (SELECT doc, m_start, m_end, min(cluster) AS cluster FROM m GROUP BY ALL)
+SELECT s.doc, span_id, p.cluster IS NOT NULL AS in_cluster, coalesce(p.cluster, '') AS cluster, coalesce(n, 0) AS cluster_size, coalesce(t, '') AS anchor_type, round(coalesce(c, 0), 9) AS anchor_conf FROM s LEFT JOIN p ON p.doc = s.doc AND m_start = start AND m_end = "end" LEFT JOIN z ON z.doc = s.doc AND z.cluster = p.cluster LEFT JOIN a ON a.doc = s.doc AND a.cluster = p.cluster""",
+        "score_agreement": f"SELECT signal_id, round(coalesce(phi_conf * pii_conf, 0), 12) AS agreement, round(abs({a} - {b}), 12) AS disagreement FROM ({_SIGNALS})",
+        "listed_spans": f"SELECT span_id, CASE WHEN d.k IS NOT NULL THEN 'DRUG' ELSE entity_type END AS entity_type, CASE WHEN d.k IS NOT NULL THEN 0.99 ELSE confidence END AS confidence FROM ({B.SPANS}) s LEFT JOIN (SELECT DISTINCT lower(trim(term)) AS k FROM dictionary_terms WHERE category = 'DRUG') d ON lower(trim(text)) = d.k WHERE lower(trim(text)) NOT IN (SELECT lower(trim(term)) FROM dictionary_terms WHERE category = 'TOWN')",
+        "rule_mentions": f"SELECT id AS doc, lower(regexp_extract(text, '[^ ]+$')) AS cluster, count(*) AS n FROM ({span_sql(Rule('mention', 'MENTION', 1.0, word.replace(chr(39) * 2, chr(39))), msg, 'id', 'content')}) GROUP BY ALL",
+        "verified_spans": f"SELECT span_id, CASE WHEN NOT ({asked}) THEN 'not asked' WHEN {number} THEN 'no' ELSE 'yes' END AS decision, CASE WHEN {asked} THEN 0.9 ELSE 0.0 END AS verdict_conf, NOT ({asked} AND {number}) AS kept FROM ({B.SPANS})",
+        "unverified_spans": f"SELECT 'uncertain' AS decision, count(*) AS n FROM ({B.SPANS}) WHERE {asked}",
+        "model_spans": f"SELECT id, start, CAST(start + length(text) AS INT) AS \"end\", text, 0.9 AS confidence, 'emails' AS source FROM ({span_sql(Rule('m', 'EMAIL', 0.9, mail), msg, 'id', 'content')})",
+        "compared_detectors": f"SELECT 'nothing' AS detector, count(*) AS fn, true AS scored FROM (SELECT DISTINCT doc, span_id FROM ({_GOLD}) WHERE entity_type = 'EMAIL')",
         "evidence_decision": f"SELECT id, t AS evidence_type, round(c, 9) AS evidence_conf, t <> 'NONE' AS evidence_ok FROM (SELECT DISTINCT id, CASE {kinds} WHEN coalesce(sources_agree_count, 0) >= 1 THEN merged_type ELSE 'NONE' END AS t, CASE {confs} WHEN coalesce(sources_agree_count, 0) >= 2 THEN least(0.8, {top} + 0.1) WHEN sources_agree_count = 1 THEN merged_conf ELSE 0 END AS c FROM span_signals)",
         "overlap_islands": f"SELECT doc, span_id, grp FROM ({_ISLANDS})",
         "signal_vector": f"""SELECT *, CAST(length(text) AS INT) AS span_length, regexp_matches(text, '[0-9]') AS has_digits, regexp_matches(text, '\\p{{L}}') AS has_letters, regexp_matches(replace(replace(text, '-', ''), ' ', ''), '^[0-9]+$') AS all_digits, regexp_matches(text, '\\p{{Lu}}') AND NOT regexp_matches(text, '\\p{{Ll}}') AS all_caps, regexp_matches(text, '\\p{{Lu}}') AND regexp_matches(text, '\\p{{Ll}}') AS mixed_case, n_types = 1 AS consensus

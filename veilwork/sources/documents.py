@@ -16,9 +16,11 @@ import zipfile
 from xml.etree import ElementTree
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from veilwork.operators.evaluate import bio_spans, gold_label
+
 # fixed values: kinds by file extension
 KINDS = {
     "txt": "text", "text": "text", "md": "text", "log": "text", "csv": "csv", "tsv": "tsv", "html": "html", "htm": "html", "json": "json", "fhir": "fhir", "hl7": "hl7", "xml": "xml", "cda": "cda", "ccd": "ccd",
@@ -69,8 +71,11 @@ def hl7_text(text: Column) -> Column:
     return F.array_join(F.filter(F.transform(segments, line), lambda x: x.isNotNull()), "\n")
 
 
-def fhir_text(text: Column) -> Column:
-    """Patient, Observation, DiagnosticReport or Bundle (its first ten entries) as lines; other JSON as it is."""
+def fhir_text(text: Column, most_entries: int | None = None, most_chars: int | None = None) -> Column:
+    """Patient, Observation, DiagnosticReport or Bundle as lines; other JSON as it is.
+
+    Everything is read; ``most_entries`` of a bundle and ``most_chars`` of other JSON limit it where that is wanted.
+    """
 
     def lines(j: Column) -> Column:
         g = lambda path: F.get_json_object(j, path)
@@ -84,9 +89,9 @@ def fhir_text(text: Column) -> Column:
         return F.when(kind == "Patient", patient).when(kind == "Observation", observation).when(kind == "DiagnosticReport", report)
 
     listed = F.from_json(F.get_json_object(text, "$.entry"), "array<struct<resource:string>>")
-    entries = F.array_join(F.filter(F.transform(F.slice(listed, 1, 10), lambda e: lines(e["resource"])), lambda x: x.isNotNull()), "\n")
+    entries = F.array_join(F.filter(F.transform(F.slice(listed, 1, most_entries) if most_entries else listed, lambda e: lines(e["resource"])), lambda x: x.isNotNull()), "\n")
     bundle = F.get_json_object(text, "$.resourceType") == "Bundle"
-    return F.when(bundle, entries).otherwise(F.coalesce(lines(text), F.substring(text, 1, 2000)))
+    return F.when(bundle, entries).otherwise(F.coalesce(lines(text), F.substring(text, 1, most_chars) if most_chars else text))
 
 
 def xml_text(text: Column) -> Column:
@@ -214,9 +219,37 @@ def import_json(spark: SparkSession, path: str) -> DataFrame:
     return x.select(content.alias("content"), F.when(obj, F.get_json_object("x", "$.source")).alias("source")).where("length(trim(content)) > 0")
 
 
+def import_texts(spark: SparkSession, folder: str) -> DataFrame:
+    """(content, source) of a folder's ``.txt`` and ``.text`` files, each once, empty ones left out; source is the path."""
+    files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.{txt,text}").text(folder, wholetext=True)
+    return files.select(F.col("value").alias("content"), F.col("_metadata.file_path").alias("source")).where(F.length(F.trim("content")) > 0)
+
+
+def import_text(spark: SparkSession, text: str, source: str = "manual") -> DataFrame:
+    """One text as a document."""
+    return spark.createDataFrame([(text, source)], "content string, source string").where(F.length(F.trim("content")) > 0)
+
+
+def sample_id(text: Column) -> Column:
+    """The first twelve digits of a text's MD5."""
+    return F.substring(F.md5(text), 1, 12)
+
+
 def gold_samples(rows: DataFrame, text: str, spans: str) -> DataFrame:
-    """(id, label, start, end) of rows with an array of labelled spans; id: the first twelve digits of the text's MD5."""
-    return rows.select(F.substring(F.md5(text), 1, 12).alias("id"), F.explode(spans).alias("s")).select("id", F.col("s.label").alias("label"), F.col("s.start").alias("start"), F.col("s.end").alias("end"))
+    """(id, start, end, entity_type) of rows with an array of labelled spans, ``spans`` (label, start, end); labels that name nothing personal are left out."""
+    x = rows.select(sample_id(F.col(text)).alias("id"), F.explode(spans).alias("s"))
+    return x.select("id", F.col("s.start").alias("start"), F.col("s.end").alias("end"), gold_label(F.col("s.label")).alias("entity_type")).where("entity_type IS NOT NULL")
+
+
+def gold_from_tokens(rows: DataFrame, key: str, tokens: str, tags: str) -> DataFrame:
+    """(id, start, end, entity_type) of rows with arrays of tokens and of their B-/I-/O tags; the text is the tokens with a blank between."""
+    each = rows.select(F.col(key).alias("doc"), sample_id(F.array_join(tokens, " ")).alias("id"), F.posexplode(F.arrays_zip(F.col(tokens).alias("token"), F.col(tags).alias("tag"))).alias("pos", "x"))
+    w = Window.partitionBy("doc").orderBy("pos")
+    each = each.select("doc", "id", "pos", "x.tag", F.length("x.token").alias("n")).withColumn("end", F.sum(F.col("n") + 1).over(w) - 1)
+    spans = bio_spans(each.select("doc", "pos", "tag"))
+    at = lambda p: each.select("doc", F.col("pos").alias(p), (F.col("end") - F.col("n")).alias(f"{p}_start"), F.col("end").alias(f"{p}_end"), F.col("id").alias(f"{p}_id"))
+    out = spans.join(at("first"), ["doc", "first"]).join(at("last").drop("last_start"), ["doc", "last"])
+    return out.select(F.col("first_id").alias("id"), F.col("first_start").cast("int").alias("start"), F.col("last_end").cast("int").alias("end"), gold_label(F.col("entity_type")).alias("entity_type")).where("entity_type IS NOT NULL")
 
 
 def chunks(texts: DataFrame, id_col: str = "doc", text_col: str = "doc_text", size: int = 1000, overlap: int = 100) -> DataFrame:
