@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from veilwork import Client, Config, ConfigurationError, SessionExpired, scan
 from veilwork.operators import audit as A
 from veilwork.operators import curate as L
+from veilwork.operators import generate as G
 from veilwork.operators import deidentify as S
 from veilwork.operators import dictionary as C
 from veilwork.operators import evaluate as M
@@ -86,7 +87,12 @@ def test_tokens_redact_and_restore(spark):
     over = S.redact(texts, S.assign_tokens(s)).where("doc = 'd'").first()["redacted"]
     assert over.count("[") == 4  # of two overlapping spans one is replaced
     key = S.derive_key("pw", b"salt", 10)
-    assert one(spark, S.decrypt(S.encrypt(F.lit("geheim"), key), key)) == ["geheim"]
+    secret = spark.createDataFrame([("geheim",), (None,)], "t string")
+    sealed = S.encrypt(secret, "t", key)
+    assert [r["t"] for r in S.decrypt(sealed, "t", key).collect()] == ["geheim", None]
+    assert key.hex() not in sealed._jdf.queryExecution().toString().lower() and str(list(key))[1:-1] not in sealed._jdf.queryExecution().toString()
+    back = S.redact(texts, S.assign_tokens(s)).select("doc", S.restore_log(F.col("redacted"), F.col("log")).alias("t"))
+    assert dict(rows(back)) == {"d": text, "e": None, "f": "plain"}
 
 
 def test_conversations(spark):
@@ -202,8 +208,11 @@ def test_dictionary(spark):
 
 
 def test_generated_samples_are_reproducible(spark):
-    a, b = rows(L.generate(spark, 300)), rows(L.generate(spark, 300))
-    assert a == b and all(t[s:e] == v for _, t, s, e, k, v in a if k != "NONE") and {r[4] for r in a} == set(L.TEMPLATES)
+    for what, families in G.FAMILIES.items():
+        a, b = G.generate(spark, what, 400).collect(), G.generate(spark, what, 400).repartition(3).orderBy("id").collect()
+        assert a == b and {r["family"] for r in a} == set(families)
+        assert all(r["text"][e["start"] : e["end"]] == e["text"] for r in a for e in r["entities"])
+        assert (what == "negatives") == (not any(r["entities"] for r in a))
     r = L.reinject(spark.createDataFrame([("a", "Dear [NAME_1], ___ and 😀 [NAME]"), ("b", "none"), ("c", None)], "doc string, doc_text string"), ["Ana", "Boris"])
     for x in r.collect():
         assert all(x["text"][e["start"] : e["end"]] == e["value"] for e in x["entities"])

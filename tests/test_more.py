@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from veilwork.functions import registration
 from veilwork.operators import curate as L
+from veilwork.operators import generate as G
 from veilwork.operators import evaluate as M
 from veilwork.operators import fuse as E
 from veilwork.operators import sessions as X
@@ -82,7 +83,7 @@ def test_review_flow(spark):
 def test_evaluation_helpers(spark):
     one = spark.createDataFrame([("FIRSTNAME",), ("E-MAIL",), ("GPS_COORDINATE",), ("IBAN",), ("???",), (None,)], "t string")
     assert [r[0] for r in one.select(M.category(F.col("t"))).collect()] == ["NAME", "CONTACT", "LOCATION", "IDNUM", "OTHER", "OTHER"]
-    assert [r[0] for r in one.select(L.label_type(F.col("t"))).collect()][:2] == ["NAME_PERSON", "E-MAIL"]
+    assert [r[0] for r in one.select(M.gold_label(F.col("t"))).collect()][:2] == ["NAME_PERSON", "EMAIL"]
     gold = spark.createDataFrame([("d", "g1", 0, 3, "abc", "X", 1.0, "g"), ("d", "g2", 5, 8, "def", "X", 1.0, "g"), ("d", "g3", 10, 12, "hi", "X", 1.0, "g")], SPAN)
     seen = gold.where("span_id = 'g2'")
     got = {r["span_id"]: r["issue"] for r in M.trace_missed(gold, gold.where("span_id = 'g1'"), {"rule": seen, "model": seen.where("false")}).collect()}
@@ -93,13 +94,9 @@ def test_evaluation_helpers(spark):
 
 
 def test_generated_notes_and_mix(spark):
-    a = L.generate_notes(spark, 200)
-    assert rows(a) == rows(L.generate_notes(spark, 200))
-    for r in a.collect():
-        assert all(r["text"][e["start"] : e["end"]] == e["text"] for e in r["entities"])
-        assert (r["doc_type"] == "adversarial") == (not r["entities"])
-    mix = L.training_mix(a, a.where("doc_type = 'adversarial'"), a)
-    assert 200 < mix.count() < 400 and mix.select("_source").distinct().count() == 3
+    a = G.generate(spark, "notes", 200).drop("entities")
+    mix = L.training_mix(a, G.generate(spark, "adversarial", 50).drop("entities"), a)
+    assert 250 < mix.count() < 350 and mix.select("_source").distinct().count() == 3
 
 
 def test_sql_functions(spark):

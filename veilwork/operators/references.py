@@ -4,11 +4,16 @@ Every foreign key of a child table is checked against the keys of its parent
 table and the log of deletions.  Keys are compared in one spelling
 (:func:`veilwork.runtime.clean_key`).
 
-The plan is split by skew.  References are first counted per key (combined on
-the map side); a key that holds more than one in ``heavy_share`` of all
-references is *heavy*.  There can be at most ``heavy_share`` such keys, so
-their parent rows may be broadcast; the references to all other keys are
-joined by a shuffle on the key.  Both parts are united.  No row is dropped.
+The plan is split by skew.  References are first aggregated per key and period
+(number and earliest time, combined on the map side), and these groups, at most
+one per key and month, are joined to the parents' keys; what is left are the
+groups that hold an orphan.  The references are then looked at again, for those
+groups only.  A key that holds more than one in ``heavy_share`` of all
+references, and ``heavy_least`` at least, is *heavy*: there can be at most
+``heavy_share`` such keys, so their groups are broadcast; those of all other
+keys are broadcast too if they are few bytes, else joined by a shuffle on the
+key.  Both parts are united.  The thresholds choose the plan only; no row is
+dropped.
 
 Defined results
 ---------------
@@ -27,7 +32,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilwork.runtime import clean_key, stage
+from veilwork.runtime import clean_key, join_sized, stage
 
 
 @dataclass(frozen=True)
@@ -87,6 +92,7 @@ def orphan_references(
     deletions: DataFrame,
     refs: list[Reference],
     heavy_share: int = 200,
+    heavy_least: int = 1000,
 ) -> DataFrame:
     """Rows (child_table, ref_column, child_id, kind, period) of every orphan reference.
 
@@ -94,40 +100,26 @@ def orphan_references(
     log), ``late`` (the row was created after the time of the child).
     period: month of the child's time, ``unknown`` without one.
     """
-    children = _references(tables, refs)
-    counted = stage(children.groupBy("parent", "key").agg(F.count(F.lit(1)).alias("n")))
+    group = ["parent", "key", "period"]
+    children = _references(tables, refs).withColumn("period", F.coalesce(F.date_format("at", "yyyy-MM"), F.lit("unknown")))
+    counted = stage(children.groupBy(*group).agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("first_at")))
     total = counted.agg(F.sum("n")).first()[0] or 0
     # at most heavy_share keys can each hold more than this share
-    heavy = counted.where(F.col("n") > F.lit(max(1000, total // heavy_share))).select("parent", "key")
+    heavy = counted.groupBy("parent", "key").agg(F.sum("n").alias("n")).where(F.col("n") > F.lit(max(heavy_least, total // heavy_share))).select("parent", "key", F.lit(True).alias("hot"))
 
     known = _parents(tables, deletions, refs)
-    # what is known of the keys that are referred to at all
-    status = stage(
-        counted.select("parent", "key")
-        .join(known, ["parent", "key"], "left")
-        .select("parent", "key", F.coalesce("there", F.lit(False)).alias("there"), F.col("there").isNotNull().alias("logged"), "born")
-    )
-    hot_status = F.broadcast(status.join(F.broadcast(heavy), ["parent", "key"], "left_semi"))
-    marked = children.join(F.broadcast(heavy.withColumn("hot", F.lit(True))), ["parent", "key"], "left")
-    light = marked.where("hot IS NULL").drop("hot").join(status, ["parent", "key"])
-    hot = marked.where("hot").drop("hot").join(hot_status, ["parent", "key"])
+    status = counted.join(known, ["parent", "key"], "left").withColumns({"logged": F.col("there").isNotNull(), "there": F.coalesce("there", F.lit(False))})
+    held = status.where(~F.col("there") | (F.col("born") > F.col("first_at"))).join(F.broadcast(heavy), ["parent", "key"], "left")
+    orphaned = stage(held.select(*group, "there", "logged", "born", F.col("hot").isNotNull().alias("hot")))
+    hot = children.join(F.broadcast(orphaned.where("hot")), group)
+    light = join_sized(children, stage(orphaned.where("NOT hot")), group)
     kind = (
         F.when(~F.col("there") & F.col("logged"), F.lit("deleted"))
         .when(~F.col("there"), F.lit("missing"))
         .when(F.col("born") > F.col("at"), F.lit("late"))
     )
-    return (
-        light.unionByName(hot)
-        .select(
-            "child_table",
-            "ref_column",
-            "child_id",
-            kind.alias("kind"),
-            F.coalesce(F.date_format("at", "yyyy-MM"), F.lit("unknown")).alias("period"),
-        )
-        .where("kind IS NOT NULL")
-        .distinct()
-    )
+    found = light.unionByName(hot).select("child_table", "ref_column", "child_id", kind.alias("kind"), "period")
+    return found.where("kind IS NOT NULL").distinct()
 
 
 def orphan_counts(orphans: DataFrame) -> DataFrame:

@@ -194,7 +194,7 @@ FROM (SELECT *, {_platt('phi_conf', 'phi')} AS phi_cal, {_platt('pii_conf', 'pii
     from veilwork.plans.evaluation import _GOLD
 
     number = "regexp_matches(text, '[0-9]')"
-    asked = f"confidence < 0.95 AND doc IN (SELECT doc FROM ({B.TEXTS}))"
+    asked = f"coalesce(confidence < 0.95 AND doc IN (SELECT doc FROM ({B.TEXTS})), false)"
     clusters = f"SELECT m.doc, cluster, arg_max(entity_type, row(confidence, span_id)) AS t, max(confidence) AS c FROM m JOIN s ON m.doc = s.doc AND least(m_end, \"end\") - greatest(m_start, start) > 0 AND (least(m_end, \"end\") - greatest(m_start, start)) / least(m_end - m_start, \"end\" - start) > 0.5 GROUP BY m.doc, cluster"
     mail, word = "[A-Za-z0-9._+-]+@[A-Za-z0-9.-]+", "(?:[A-Z][\\w''-]+ )*[A-Z][\\w''-]+"
     msg = "(SELECT DISTINCT id, content FROM messages WHERE content IS NOT NULL)"
@@ -207,9 +207,9 @@ SELECT s.doc, span_id, p.cluster IS NOT NULL AS in_cluster, coalesce(p.cluster,
         "score_agreement": f"SELECT signal_id, round(coalesce(phi_conf * pii_conf, 0), 12) AS agreement, round(abs({a} - {b}), 12) AS disagreement FROM ({_SIGNALS})",
         "listed_spans": f"SELECT span_id, CASE WHEN d.k IS NOT NULL THEN 'DRUG' ELSE entity_type END AS entity_type, CASE WHEN d.k IS NOT NULL THEN 0.99 ELSE confidence END AS confidence FROM ({B.SPANS}) s LEFT JOIN (SELECT DISTINCT lower(trim(term)) AS k FROM dictionary_terms WHERE category = 'DRUG') d ON lower(trim(text)) = d.k WHERE lower(trim(text)) NOT IN (SELECT lower(trim(term)) FROM dictionary_terms WHERE category = 'TOWN')",
         "rule_mentions": f"SELECT id AS doc, lower(regexp_extract(text, '[^ ]+$')) AS cluster, count(*) AS n FROM ({span_sql(Rule('mention', 'MENTION', 1.0, word.replace(chr(39) * 2, chr(39))), msg, 'id', 'content')}) GROUP BY ALL",
-        "verified_spans": f"SELECT span_id, CASE WHEN NOT ({asked}) THEN 'not asked' WHEN {number} THEN 'no' ELSE 'yes' END AS decision, CASE WHEN {asked} THEN 0.9 ELSE 0.0 END AS verdict_conf, NOT ({asked} AND {number}) AS kept FROM ({B.SPANS})",
+        "verified_spans": f"SELECT span_id, CASE WHEN NOT ({asked}) THEN 'not asked' WHEN {number} THEN 'no' ELSE 'yes' END AS decision, CAST(CASE WHEN {asked} THEN 0.9 ELSE 0 END AS DOUBLE) AS verdict_conf, NOT ({asked} AND {number}) AS kept FROM ({B.SPANS})",
         "unverified_spans": f"SELECT 'uncertain' AS decision, count(*) AS n FROM ({B.SPANS}) WHERE {asked}",
-        "model_spans": f"SELECT id, start, CAST(start + length(text) AS INT) AS \"end\", text, 0.9 AS confidence, 'emails' AS source FROM ({span_sql(Rule('m', 'EMAIL', 0.9, mail), msg, 'id', 'content')})",
+        "model_spans": f"SELECT id, start, CAST(start + length(text) AS INT) AS \"end\", text, CAST(0.9 AS DOUBLE) AS confidence, 'emails' AS source FROM ({span_sql(Rule('m', 'EMAIL', 0.9, mail), msg, 'id', 'content')})",
         "compared_detectors": f"SELECT 'nothing' AS detector, count(*) AS fn, true AS scored FROM (SELECT DISTINCT doc, span_id FROM ({_GOLD}) WHERE entity_type = 'EMAIL')",
         "evidence_decision": f"SELECT id, t AS evidence_type, round(c, 9) AS evidence_conf, t <> 'NONE' AS evidence_ok FROM (SELECT DISTINCT id, CASE {kinds} WHEN coalesce(sources_agree_count, 0) >= 1 THEN merged_type ELSE 'NONE' END AS t, CASE {confs} WHEN coalesce(sources_agree_count, 0) >= 2 THEN least(0.8, {top} + 0.1) WHEN sources_agree_count = 1 THEN merged_conf ELSE 0 END AS c FROM span_signals)",
         "overlap_islands": f"SELECT doc, span_id, grp FROM ({_ISLANDS})",

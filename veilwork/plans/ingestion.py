@@ -121,7 +121,7 @@ def imported_texts(spark, sf_dir):
     path = _new(spark, "texts")
     for r in [*(x["r_name"] for x in table(spark, sf_dir, "region").select("r_name").collect()), " "]:  # five regions
         spark.createDataFrame([(r,)], "value string").coalesce(1).write.mode("append").text(f"{path}/{uuid.uuid4().hex}")
-    return D.import_texts(spark, path).select(F.trim("content").alias("content"), F.col("source").endswith(".txt").alias("is_text")).unionByName(D.import_text(spark, "one text").select("content", F.lit(False).alias("is_text")))
+    return D.import_texts(spark, path).select(F.regexp_replace("content", r"\s+$", "").alias("content"), F.col("source").endswith(".txt").alias("is_text")).unionByName(D.import_text(spark, "one text").select("content", F.lit(False).alias("is_text")))
 
 
 def gold_masks(spark, sf_dir):
@@ -141,7 +141,7 @@ def gold_tokens(spark, sf_dir):
 def note_rows(spark, sf_dir):
     """Transcriptions of a hundred characters or more, from CSV."""
     path = _new(spark, "notes")
-    p = table(spark, sf_dir, "part").select(F.repeat(F.concat("p_name", F.lit(', "x"\n')), (F.col("p_partkey") % 9 + 1).cast("int")).alias("transcription"), F.col("p_type").alias("medical_specialty"), F.col("p_brand").alias("description"), F.col("p_brand").alias("sample_name"))
+    p = table(spark, sf_dir, "part").select(F.concat(F.repeat(F.concat("p_name", F.lit(', "x"\n')), (F.col("p_partkey") % 9 + 1).cast("int")), F.lit("end.")).alias("transcription"), F.col("p_type").alias("medical_specialty"), F.col("p_brand").alias("description"), F.col("p_brand").alias("sample_name"))
     p.write.option("header", True).option("escape", '"').option("quoteAll", True).csv(path)
     return V.clinical_notes(spark, path)
 
@@ -258,7 +258,7 @@ def oracle_sql():
         "gold_masks": f"""SELECT substr(md5(doc_text), 1, 12) AS id, start, "end", {label_sql('entity_type')} AS entity_type FROM ({B.IN_TEXTS}) WHERE {label_sql('entity_type')} IS NOT NULL""",
         "gold_tokens": f"""WITH t AS (SELECT o_custkey AS doc, o_orderkey AS pos, concat('w', o_orderkey) AS token, CAST(sum(length(concat('w', o_orderkey)) + 1) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS INT) AS e FROM orders), i AS (SELECT doc, substr(md5(string_agg(token, ' ' ORDER BY pos)), 1, 12) AS id FROM t GROUP BY doc)
 SELECT i.id, CAST(a.e - length(a.token) AS INT) AS start, b.e AS "end", {label_sql('s.entity_type')} AS entity_type FROM ({bio}) s JOIN t a ON a.doc = s.doc AND a.pos = s.first JOIN t b ON b.doc = s.doc AND b.pos = s.last JOIN i ON i.doc = s.doc WHERE {label_sql('s.entity_type')} IS NOT NULL""",
-        "note_rows": "SELECT trim(t, ' ') AS text, p_type AS specialty, p_brand AS description, p_brand AS sample_name FROM (SELECT *, repeat(concat(p_name, ', \"x\"', chr(10)), CAST(p_partkey % 9 + 1 AS INT)) AS t FROM part) WHERE length(trim(t, ' ')) >= 100",
+        "note_rows": "SELECT trim(t, ' ') AS text, p_type AS specialty, p_brand AS description, p_brand AS sample_name FROM (SELECT *, repeat(concat(p_name, ', \"x\"', chr(10)), CAST(p_partkey % 9 + 1 AS INT)) || 'end.' AS t FROM part) WHERE length(trim(t, ' ')) >= 100",
         "term_file": f"SELECT DISTINCT lower(trim(term)) AS term FROM dictionary_terms WHERE NOT {bad_term()} AND NOT starts_with(trim(term), '#')",
         "vocabulary_terms": f"""SELECT 'drug' AS kind, term FROM (SELECT DISTINCT trim(unnest(list_concat([term], string_split(concat(term, ', 5mg'), ','), [concat('base ', term)]))) AS term FROM dictionary_terms WHERE category = 'DRUG') WHERE {is_drug('term')}
 UNION ALL SELECT DISTINCT 'diagnosis', concat(p_name, ' in full') FROM part WHERE p_partkey % 2 = 0

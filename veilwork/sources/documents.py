@@ -222,7 +222,7 @@ def import_json(spark: SparkSession, path: str) -> DataFrame:
 def import_texts(spark: SparkSession, folder: str) -> DataFrame:
     """(content, source) of a folder's ``.txt`` and ``.text`` files, each once, empty ones left out; source is the path."""
     files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.{txt,text}").text(folder, wholetext=True)
-    return files.select(F.col("value").alias("content"), F.col("_metadata.file_path").alias("source")).where(F.length(F.trim("content")) > 0)
+    return files.select(F.col("value").alias("content"), F.col("_metadata.file_path").alias("source")).where(F.col("content").rlike(r"\S"))
 
 
 def import_text(spark: SparkSession, text: str, source: str = "manual") -> DataFrame:
