@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Callable
 from dataclasses import asdict, replace
 
@@ -13,6 +14,17 @@ from veilwork.catalog import rules as R
 from veilwork.catalog.rules import CHECKSUM_RULES, RULES, Rule
 from veilwork.functions import validators as V
 from veilwork.functions.spans import extract
+from veilwork.runtime import stage
+
+
+def _sound(rule: Rule) -> None:
+    """Raises unless type, confidence and group can be."""
+    if not re.fullmatch(r"[A-Z][A-Z_]*", rule.entity_type):
+        raise ValueError(f"type {rule.entity_type!r}")
+    if not 0 <= rule.confidence <= 1:
+        raise ValueError(f"confidence {rule.confidence}")
+    if rule.group not in (None, "lead", "trail", "inner"):
+        raise ValueError(f"group {rule.group!r}")
 
 
 class Catalog:
@@ -25,6 +37,7 @@ class Catalog:
     def add(self, rule: Rule, check: Callable[[Column], Column] | None = None) -> Catalog:
         if any(r.name == rule.name for r in self.rules):
             raise ValueError(f"there is a rule {rule.name} already")
+        _sound(rule)
         if check is not None:
             self.checks[rule.name] = check
             rule = replace(rule, check=rule.name)
@@ -34,6 +47,12 @@ class Catalog:
     def add_pattern(self, name: str, pattern: str, entity_type: str, confidence: float = 0.8, check=None) -> Catalog:
         return self.add(Rule(name, entity_type, confidence, pattern), check)
 
+    def enable(self, name: str, on: bool = True) -> bool:
+        """Switch a rule on or off; whether there is such a rule."""
+        there = self.get(name) is not None
+        self.rules = [replace(r, enabled=on) if r.name == name else r for r in self.rules]
+        return there
+
     def remove(self, name: str) -> bool:
         before = len(self.rules)
         self.rules = [r for r in self.rules if r.name != name]
@@ -54,7 +73,22 @@ class Catalog:
     @classmethod
     def load(cls, path: str) -> Catalog:
         with open(path, encoding="utf-8") as f:
-            return cls([Rule(**(r | {"need": tuple(r["need"])})) for r in json.load(f)["rules"]])
+            rules = [Rule(**(r | {"need": tuple(r["need"])})) for r in json.load(f)["rules"]]
+        if len({r.name for r in rules}) < len(rules):
+            raise ValueError("two rules have one name")
+        for r in rules:
+            _sound(r)
+        return cls(rules)
+
+    def check(self, spark: SparkSession) -> dict[str, str]:
+        """Rules whose pattern the engine cannot compile, with what it says."""
+        bad = {}
+        for r in self.rules:
+            try:
+                spark.sql("SELECT rlike('', :p)", args={"p": r.regex}).collect()
+            except Exception as e:
+                bad[r.name] = str(e).split("\n")[0]
+        return bad
 
     def try_pattern(self, spark: SparkSession, pattern: str, text: str) -> list[tuple[str, int, int]]:
         """(text, start, end) of each match of a pattern; raises if it does not compile."""
@@ -68,15 +102,21 @@ def detect(df: DataFrame, id_col: str, text_col: str, catalog: Catalog | None =
     Null and empty texts have no hits; one row per hit, also for repeated rows.
     """
     catalog = catalog or Catalog()
-    rules = catalog.rules
-    raw = extract(df, id_col, text_col, rules)
+    rules = [r for r in catalog.rules if r.enabled]
+    return _typed(extract(df, id_col, text_col, rules), rules, catalog.checks).drop("k")
+
+
+def _typed(raw: DataFrame, rules: list[Rule], checks: dict[str, Callable[[Column], Column]]) -> DataFrame:
+    """Hits that pass the check of their rule, with what the rule says; other columns of ``raw`` stay."""
     ok = F.lit(True)
     for name in sorted({r.check for r in rules if r.check}):
         here = [k for k, r in enumerate(rules) if r.check == name]
-        ok = ok & F.when(F.col("k").isin(here), catalog.checks[name](F.col("text"))).otherwise(True)
+        ok = ok & F.when(F.col("k").isin(here), checks[name](F.col("text"))).otherwise(True)
     pick = lambda values: F.element_at(F.array(*map(F.lit, values)), F.col("k") + 1)
+    more = [c for c in raw.columns if c not in ("id", "k", "start", "end", "text")]
     return raw.where(ok).select(
         "id",
+        "k",
         pick([r.name for r in rules]).alias("rule"),
         pick([r.entity_type for r in rules]).alias("entity_type"),
         "start",
@@ -84,9 +124,29 @@ def detect(df: DataFrame, id_col: str, text_col: str, catalog: Catalog | None =
         "text",
         pick([float(r.confidence) for r in rules]).alias("confidence"),
         pick([r.check is not None for r in rules]).alias("has_checksum"),
+        *more,
     )
 
 
+SECRET_RULE = Rule("secret", "PASSWORD", 0.6, R.SECRET_SHAPE)
+
+
+def all_hits(df: DataFrame, id_col: str, text_col: str, catalog: Catalog | None = None, window: int = 60) -> DataFrame:
+    """Hits of the catalogue's rules, the proven ones and the shape of secrets in one scan of the texts, staged.
+
+    ``family`` (rule, proven, secret) tells them apart; ``context`` is what
+    stands before a hit, ``before`` and ``around`` are what secrets are judged by.
+    """
+    catalog = catalog or Catalog()
+    own = [r for r in catalog.rules if r.enabled]
+    rules = [*own, *CHECKSUM_RULES, SECRET_RULE]
+    t = _typed(extract(df, id_col, text_col, rules, keep_text=True), rules, V.CHECKS | catalog.checks)
+    family = F.when(F.col("k") < len(own), "rule").when(F.col("k") < len(rules) - 1, "proven").otherwise("secret")
+    context = F.expr(f"substring(t, greatest(start - {window}, 0) + 1, least(start, {window}))")
+    secret = {"before": F.when(F.col("family") == "secret", _before()), "around": F.when(F.col("family") == "secret", _around())}
+    return stage(t.withColumns({"family": family, "context": context}).withColumns(secret).drop("k", "t"))
+
+
 def detect_checksums(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Hits of the proven rules without overlaps.
 
@@ -94,7 +154,11 @@ def detect_checksums(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     hit is kept if it starts behind the last kept one, and takes its place if
     it overlaps with a strictly higher confidence.
     """
-    hits = detect(df, id_col, text_col, Catalog(CHECKSUM_RULES))
+    return fold_proven(detect(df, id_col, text_col, Catalog(CHECKSUM_RULES)))
+
+
+def fold_proven(hits: DataFrame) -> DataFrame:
+    """The hits of proven rules, of every document folded as above."""
     one = F.struct("start", (-F.col("confidence")).alias("neg"), "end", "rule", "entity_type", "text")
     kind = "struct<start:int,neg:double,end:int,rule:string,entity_type:string,text:string>"
 
@@ -117,9 +181,21 @@ def _any_in(c: Column, words: list[str]) -> Column:
 def detect_secrets(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, start, end, text, confidence, entropy) of strings that look like passwords or keys."""
     # the words around a candidate are cut out where it is found
-    c = extract(df, id_col, text_col, [Rule("secret", "PASSWORD", 0.6, R.SECRET_SHAPE)], keep_text=True)
-    before = F.lower(F.expr("substring(t, greatest(start - 20, 0) + 1, least(start, 20))"))
-    around = F.lower(F.expr("substring(t, greatest(start - 100, 0) + 1, least(start, 100) + length(text) + 100)"))
+    c = extract(df, id_col, text_col, [SECRET_RULE], keep_text=True)
+    return judge_secrets(c.withColumns({"before": _before(), "around": _around()}))
+
+
+def _before() -> Column:
+    return F.lower(F.expr("substring(t, greatest(start - 20, 0) + 1, least(start, 20))"))
+
+
+def _around() -> Column:
+    return F.lower(F.expr("substring(t, greatest(start - 100, 0) + 1, least(start, 100) + length(text) + 100)"))
+
+
+def judge_secrets(c: DataFrame) -> DataFrame:
+    """Candidates (id, start, end, text, before, around) that are no labels, names or samples, with confidence and entropy."""
+    before, around = F.col("before"), F.col("around")
     labelled = _any_in(before, R.SECRET_LABELS) & before.rlike(r"[:=]\s*$")
     letters, digit, special = F.col("text").rlike(r"\p{L}"), F.col("text").rlike(r"\p{Nd}"), F.col("text").rlike(r"[^\p{L}\p{N}]")
     mixed = F.col("text").rlike(r"\p{Lu}") & F.col("text").rlike(r"\p{Ll}")

@@ -206,6 +206,21 @@ def advance_models(models: DataFrame, now: Column, shadow_hours: int = 24, drop:
     return m.withColumns({"promoted_at": F.when(F.col("_up"), now).otherwise(F.col("promoted_at")), "status": status}).drop("_f1", "_up", "_any")
 
 
+def learn_from(hits: DataFrame, signals: DataFrame, now: Column, threshold: float = 0.95) -> tuple[DataFrame, DataFrame]:
+    """(hits, signals): the hits as they are, and ``signals`` with those under the threshold that it has not yet, as pending.
+
+    ``hits``: doc, span_id, entity_type, confidence; a signal's id is the span's.
+    """
+    new = hits.where(F.col("confidence") < threshold).select(F.col("span_id").alias("id"), F.col("doc").alias("document_id"), F.col("entity_type").alias("merged_type"), F.col("confidence").alias("merged_conf"), F.lit("pending").alias("status"), now.alias("created_ts"))
+    return hits, signals.unionByName(new.dropDuplicates(["id"]).join(signals.select("id"), "id", "left_anti"), allowMissingColumns=True)
+
+
+def due_steps(hour: int, labelled: int, least: int = 1000, window: tuple[int, int] = (2, 6)) -> list[str]:
+    """What an hourly scheduler has to do: promote always, train with enough labels inside the window of hours, archive at its end."""
+    train, _ = should_train(labelled, least)
+    return ["promote"] + (["train"] if train and window[0] <= hour < window[1] else []) + (["archive"] if hour == window[1] else [])
+
+
 def scan_unscanned(documents: DataFrame, detect, now: Column, threshold: float = 0.95) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(entities, documents as scanned, tally) of the documents not scanned yet; ``detect(df)`` gives spans keyed by ``id``."""
     todo = documents.where("scanned_at IS NULL")

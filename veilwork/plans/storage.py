@@ -140,6 +140,13 @@ def captured_signals(spark, sf_dir):
     return K.capture_uncertain(s)
 
 
+def learned_signals(spark, sf_dir):
+    """Detections that a learning loop captures, beside the signals it has."""
+    e = B.entity_spans(spark, sf_dir)
+    have = e.where("source = 'rule' AND confidence < 0.95").select(F.col("span_id").alias("id"), F.lit("reviewed").alias("status")).distinct()
+    return K.learn_from(e, have, F.expr("TIMESTAMP '2026-01-01 00:00:00'"))[1].select("id", "status", "merged_type")
+
+
 def missed_reports(spark, sf_dir):
     """Reports of what reviewers confirmed: where the text stands first in its document."""
     c = table(spark, sf_dir, "corrections").where("decision = 'confirmed'").select(clean_key(F.col("document_id")).alias("doc"), F.col("entity_text").alias("missed_text"), F.col("detected_type").alias("correct_type")).where("doc IS NOT NULL AND missed_text IS NOT NULL").distinct()
@@ -224,7 +231,7 @@ def audit_stats(spark, sf_dir):
 def queries():
     fs = (
         review_queue, review_stats, top_false_positives, document_entities, newest_corrections, patterns_of_type, entities_latest, entities_upserted, entities_patched, appended_rows, deleted_cascade, marked_scanned, applied_decisions,
-        entities_without_deleted, unscanned_documents, span_signal_counts, feedback_truth, signal_archive, pending_signals, pending_newest, captured_signals, missed_reports, labelled_signals, signals_used, store_stats,
+        entities_without_deleted, unscanned_documents, span_signal_counts, feedback_truth, signal_archive, pending_signals, pending_newest, captured_signals, learned_signals, missed_reports, labelled_signals, signals_used, store_stats,
         model_registry, model_rollback, model_shadow, audit_chain, audit_tampered, audit_page, audit_stats,
     )
     return {f.__name__: f for f in fs}
@@ -256,6 +263,7 @@ def oracle_sql():
         "applied_decisions": f"""SELECT sha256(concat(span_id, '|', decision)) AS id, span_id AS entity_id, decision, CASE WHEN decision = 'changed' THEN 'OTHER' END AS correct_type, substr(doc_text, {before} + 1, start - {before}) AS context_before, substr(doc_text, "end" + 1, 50) AS context_after FROM (SELECT *, {how} AS decision FROM ({B.SPANS})) e LEFT JOIN ({B.TEXTS}) t ON e.doc = t.doc""",
         "pending_newest": f"SELECT id, merged_type, merged_conf FROM ({_SIG}) WHERE status = 'pending' AND merged_conf < 0.95 ORDER BY created_ts DESC NULLS LAST, id LIMIT 30",
         "captured_signals": "SELECT DISTINCT id, merged_type, merged_conf, 'pending' AS status FROM span_signals WHERE merged_conf < 0.95 AND NOT isnan(merged_conf)",
+        "learned_signals": f"WITH h AS (SELECT DISTINCT span_id FROM ({B.SPANS}) WHERE source = 'rule' AND confidence < 0.95) SELECT span_id AS id, 'reviewed' AS status, NULL AS merged_type FROM h UNION ALL SELECT span_id, 'pending', entity_type FROM ({B.SPANS}) WHERE confidence < 0.95 AND span_id NOT IN (FROM h)",
         "missed_reports": f"SELECT c.doc, missed_text, correct_type, CAST(CASE WHEN instr(doc_text, missed_text) > 0 THEN instr(doc_text, missed_text) - 1 END AS INT) AS missed_start, CAST(CASE WHEN instr(doc_text, missed_text) > 0 THEN instr(doc_text, missed_text) - 1 + length(missed_text) END AS INT) AS missed_end FROM (SELECT DISTINCT {B.KEY.format('document_id')} AS doc, entity_text AS missed_text, detected_type AS correct_type FROM corrections WHERE decision = 'confirmed' AND entity_text IS NOT NULL) c LEFT JOIN ({B.TEXTS}) t ON c.doc = t.doc WHERE c.doc IS NOT NULL",
         "labelled_signals": f"SELECT id, ground_truth_type, row_number() OVER (ORDER BY feedback_ts DESC NULLS LAST, id) AS place FROM ({rev}) WHERE status = 'reviewed' AND ground_truth_type IS NOT NULL",
         "signals_used": f"WITH u AS (SELECT id FROM ({rev}) WHERE status = 'reviewed' AND ground_truth_type IS NOT NULL) SELECT CASE WHEN id IN (FROM u) THEN 'training' ELSE status END AS status, CASE WHEN id IN (FROM u) THEN 'run-1' END AS run_id, count(*) AS n FROM ({rev}) GROUP BY ALL",
