@@ -11,7 +11,8 @@ from veilwork.operators import plugins as P
 from veilwork.operators import store as K
 from veilwork.operators.detect import Catalog, Rule, detect
 
-NOW = F.expr("TIMESTAMP '2026-01-01 00:00:00'")
+def now():
+    return F.expr("TIMESTAMP '2026-01-01 00:00:00'")
 
 
 def rows(df):
@@ -53,12 +54,12 @@ def test_catalog_checks_its_rules(spark, tmp_path):
 def test_learning_loop(spark):
     hits = spark.createDataFrame([("d", "s1", "X", 0.5), ("d", "s1", "X", 0.5), ("d", "s2", "X", 0.99), ("d", "s3", None, 0.1), ("d", "s4", "X", None)], "doc string, span_id string, entity_type string, confidence double")
     have = spark.createDataFrame([("s3", "reviewed")], "id string, status string")
-    out = K.learn_from(hits, have, NOW)[1]
+    out = K.learn_from(hits, have, now())[1]
     assert sorted((r["id"], r["status"]) for r in out.collect()) == [("s1", "pending"), ("s3", "reviewed")]
     assert K.due_steps(3, 2000) == ["promote", "train"] and K.due_steps(3, 5) == ["promote"] and K.due_steps(6, 2000) == ["promote", "archive"]
     models = spark.createDataFrame([], "version string, status string, promoted_at timestamp, staged_at timestamp, f1 double")
-    m = K.advance_models(K.stage_model(models, "m1", {"f1": 0.5}, NOW), NOW)
-    assert [r["status"] for r in m.collect()] == ["shadow"] and rows(K.rollback(m, NOW).select("status")) == [("shadow",)]
+    m = K.advance_models(K.stage_model(models, "m1", {"f1": 0.5}, now()), now())
+    assert [r["status"] for r in m.collect()] == ["shadow"] and rows(K.rollback(m, now()).select("status")) == [("shadow",)]
 
 
 def test_overlap_pairs_meet_once(spark):

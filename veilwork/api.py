@@ -39,6 +39,7 @@ class Config:
     mode: str = "staged"
     review_below: float = 0.95
     secrets: bool = True
+    other: bool = True  # whether findings of type OTHER stay
     plugins: tuple[str, ...] = ()
     catalog: Catalog = field(default_factory=Catalog)
 
@@ -71,7 +72,7 @@ def scan(df: DataFrame, id_col: str, text_col: str, config: Config | None = None
     kept = merged.join(contexts, ["doc", "start"], "left")
     excluded = context_excluded(F.col("entity_type"), F.coalesce("context", F.lit("")))
     kept = kept.where(~is_allowed(F.col("text")) & exclusion_reason(F.col("text"), F.col("entity_type"), F.col("context")).isNull() & ~excluded)
-    kept = drop_other(kept)
+    kept = kept if config.other else drop_other(kept)
     return kept.select("doc", "start", "end", "text", "entity_type", "confidence", (F.col("confidence") < config.review_below).alias("needs_review"))
 
 
