@@ -2,7 +2,6 @@
 
 import collections
 import itertools
-import os
 import random
 
 import numpy as np
@@ -448,17 +447,12 @@ def test_parse_loses_no_stretch():
 
 def test_a_footer_of_many_texts_costs_blocks_not_pairs(spark):
     footer = "".join(random.Random(1).choice("abcdefgh ") for _ in range(260))
-    df = spark.range(600).selectExpr("id", f"concat(repeat(sha(cast(id as string)), 3), '{footer}') AS t")
-    s = SharedSpans(df, "id", "t", block_docs=32)
-    assert s.pairs().count() == 600 * 599 // 2
-    assert s.factors.count() < 5 * 600  # some share a character before the footer too
-    texts = {r["id"]: r["t"] for r in df.collect()}
-    ends = {i: t[::-1] for i, t in texts.items()}
-    # with its neighbours in the order of reversed texts a text has most in common
-    order = sorted(ends, key=ends.get)
-    both = {frozenset(p): len(os.path.commonprefix([ends[p[0]], ends[p[1]]])) for p in itertools.pairwise(order)}
-    want = {i: max(n for p, n in both.items() if i in p) for i in order}
-    assert {r["id"]: r["shared_chars"] for r in s.coverage().collect()} == want and min(want.values()) >= 260
+    df = spark.range(200).selectExpr("id", f"concat(repeat(sha(cast(id as string)), 3), '{footer}') AS t")
+    s = SharedSpans(df, "id", "t", block_docs=16)
+    assert s.pairs().count() == 200 * 199 // 2
+    assert s.factors.count() < 5 * 200  # some share a character before the footer too
+    _, cover = shared_brute({r["id"]: r["t"] for r in df.collect()}, 200)
+    assert {r["id"]: r["shared_chars"] for r in s.coverage().collect()} == cover and min(cover.values()) >= 260
 
 
 def test_rolling_hash_is_positionless():
